@@ -142,7 +142,9 @@ def _token_id(char: str) -> int:
     return (point if point < 0xD800 else point - 0x800) - FIRST_CODE
 
 
-def _safe_prefix(ranking: list[tuple[int, int, int]], full: bool, known) -> list[tuple[int, int]]:
+def _safe_prefix(
+    ranking: list[tuple[int, int, int]], full: bool, tokens: list[str], ids: dict[str, int]
+) -> list[tuple[int, int]]:
     """How many of the best pairs can be merged in one pass with the same result as one by one.
 
     A merge changes counts only of pairs that share a symbol with it, and a pair it creates
@@ -152,15 +154,19 @@ def _safe_prefix(ranking: list[tuple[int, int, int]], full: bool, known) -> list
     """
     taken: list[tuple[int, int, int]] = []
     symbols: set[int] = set()
+    products: set[str] = set()
     floor = ranking[-1][2] if full else 0
     for a, b, cnt in ranking:
-        if taken and (a == b or known(a, b) or a in symbols or b in symbols):
+        product = tokens[a] + tokens[b]
+        alone = a == b or product in ids
+        if taken and (alone or product in products or a in symbols or b in symbols):
             floor = cnt
             break
+        if alone:
+            return [(a, b)]
         taken.append((a, b, cnt))
         symbols |= {a, b}
-        if a == b or known(a, b):
-            return [(a, b)]
+        products.add(product)
     return [(a, b) for i, (a, b, cnt) in enumerate(taken) if i == 0 or cnt > floor]
 
 
@@ -218,9 +224,7 @@ def train_bpe(
         ]
         if not best:
             break
-        for a, b in _safe_prefix(
-            best, len(best) == PAIRS_PER_PASS, lambda x, y: tokens[x] + tokens[y] in ids
-        ):
+        for a, b in _safe_prefix(best, len(best) == PAIRS_PER_PASS, tokens, ids):
             if len(tokens) >= vocab_size:
                 break
             product = tokens[a] + tokens[b]

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from strandmill.operators.skew import HOT_ROWS, lookup_join
 
@@ -21,7 +22,7 @@ def token_ids(
     return joined.withColumn("token_id", F.coalesce("token_id", F.lit(unk_id)))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _ends(sizes: pd.Series) -> pd.Series:
     return sizes.map(lambda n: np.cumsum(n, dtype="int32"))
 
