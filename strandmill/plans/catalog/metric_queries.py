@@ -107,14 +107,18 @@ def _drained(spark, stream, name):
 
 
 @query("metric_window_stream", f"""
-    SELECT {_WINDOW_OUT} FROM ({_WINDOW_SQL})
+    SELECT CAST(epoch(ws) AS BIGINT) AS window_start, tag, {_round_sql('loss', 'loss')}, n FROM ({_WINDOW_SQL})
     WHERE ws + INTERVAL '{WIDTH}' <= (SELECT max(ts) FROM events) - INTERVAL '{LATENESS}'
 """)
 def metric_window_stream(spark, sf_dir):
-    """The windows that have closed by the end of the stream."""
-    rows = _rows(_stream_table(spark, sf_dir, "events"))
-    windows = streams.stream_metric_windows(rows, WIDTH, LATENESS)
-    return _window_columns(_drained(spark, windows, "windows"))
+    """The windows that have closed by the end of the stream, starts in epoch seconds."""
+    # The table's times carry no zone, which a watermark needs; they are taken as UTC.
+    utc = F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z")))
+    rows = _rows(_stream_table(spark, sf_dir, "events")).withColumn("ts", utc)
+    windows = _drained(spark, streams.stream_metric_windows(rows, WIDTH, LATENESS), "windows")
+    return windows.select(
+        F.col("window_start").cast("bigint").alias("window_start"), "tag", _round("loss"), "n"
+    )
 
 
 MAX_LENGTH = 512

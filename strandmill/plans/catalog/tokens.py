@@ -368,8 +368,8 @@ def _training_sql(rounds: int) -> str:
     return f"WITH {','.join(steps)} {rows}"
 
 
-# The alphabet of the conversations has at least 70 characters, which leaves at most 43 merges.
-@query("bpe_train", _training_sql(VOCAB_SIZE - len(SPECIAL_TOKENS) - 70))
+# The alphabet of the conversations has at least 55 characters, which leaves at most 58 merges.
+@query("bpe_train", _training_sql(VOCAB_SIZE - len(SPECIAL_TOKENS) - 55))
 def bpe_train(spark, sf_dir):
     model = bpe.train_bpe(table(spark, sf_dir, "conversations").select("text"), VOCAB_SIZE)
     return model.merge_table(spark).withColumnsRenamed({"left": "left_token", "right": "right_token"})
