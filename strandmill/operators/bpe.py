@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from strandmill.functions.fim import FIM_TAGS
 from strandmill.functions.text import SPECIAL_TOKENS, UNK
 from strandmill.operators.bpe_kernel import EncoderTables, build_tables, encode, encode_with_dropout
-from strandmill.session import materialize
+from strandmill.session import materialize, spread
 
 # Characters encoded together in one task step.
 CHARS_PER_STEP = 4_000_000
@@ -103,18 +103,20 @@ class BpeModel:
 # ---------------------------------------------------------------- pair counts and training
 
 
+# Two characters, looked at without moving on, so that pairs overlap. Surrogates are excluded
+# because the search may stop between the two halves of a character.
+_PAIR = r"(?=([^\x{D800}-\x{DFFF}]{2}))"
+
+
 def _adjacent_pairs(symbols: Column) -> Column:
     """Array of all neighbouring pairs of characters of a text."""
-    chars = F.split(symbols, "")
-    rest = F.greatest(F.size(chars) - F.lit(1), F.lit(0))
-    return F.zip_with(
-        F.slice(chars, F.lit(1), rest), F.slice(chars, F.lit(2), rest), lambda a, b: F.concat(a, b)
-    )
+    return F.regexp_extract_all(symbols, F.lit(_PAIR), F.lit(1))
 
 
 def distinct_texts(corpus: DataFrame, text: str = "text") -> DataFrame:
     """Each text once with its number of copies; all later work is per distinct text."""
-    return corpus.filter(F.col(text) != "").groupBy(F.col(text).alias("text")).agg(
+    rows = spread(corpus.filter(F.col(text) != ""), [text])
+    return rows.groupBy(F.col(text).alias("text")).agg(
         F.count(F.lit(1)).alias("copies")
     )
 
@@ -184,7 +186,11 @@ def train_bpe(
     spark = corpus.sparkSession
     if vocab_size > MAX_TOKENS:
         raise ValueError(f"vocab_size must not exceed {MAX_TOKENS}")
-    words = materialize(distinct_texts(corpus, text), "bpe-texts")
+    # Every pass is heavy on CPU per byte, so the texts are laid out in no fewer files than cores.
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    words = materialize(distinct_texts(corpus, text).repartition(tasks, "text"), "bpe-texts")
     # Bounded by the number of Unicode characters.
     alphabet = sorted(
         r[0] for r in words.select(F.explode(F.array_distinct(F.split("text", "")))).distinct()
@@ -257,6 +263,7 @@ def tokenize(
     Special tokens stay whole and unknown characters become one unknown token each. The tables
     broadcast to the tasks grow with the vocabulary, not with the data.
     """
+    df = spread(df, [key, text])
     tables = df.sparkSession.sparkContext.broadcast(model.tables())
 
     def run(texts: list[str], keys: list[str]) -> list[pa.Array]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.keyed import uniform
-from strandmill.operators.skew import HOT_ROWS, hot_keys, lookup_join
+from strandmill.operators.skew import HOT_ROWS, lookup_join
 
 CLUSTER = ["source", "cluster_id"]
 # Weights are counted in millionths, so that sums are exact whatever the order.
@@ -30,13 +30,9 @@ def weight_of(n):
 
 def cluster_members(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Members in file order, with the place ``cluster_ord`` where their cluster first appears."""
-    firsts = members.groupBy(*CLUSTER).agg(
-        F.min("ord").alias("cluster_ord"), F.count(F.lit(1)).alias("_rows")
-    )
+    firsts = members.groupBy(*CLUSTER).agg(F.min("ord").alias("cluster_ord"))
     return lookup_join(
-        members, firsts.drop("_rows"), CLUSTER, "inner",
-        salt_on=[*CLUSTER, "member_id", "ord"], hot=hot_keys(firsts, CLUSTER, "_rows", hot_rows),
-        hot_rows=hot_rows,
+        members, firsts, CLUSTER, "inner", ["member_id", "ord"], hot_rows
     )
 
 
@@ -45,7 +41,7 @@ def cluster_filter(members: DataFrame, dataset: DataFrame, hot_rows: int = HOT_R
     ids = dataset.select(F.col("id").cast("string").alias("member_id")).distinct()
     return lookup_join(
         members.filter(F.col("member_id").isNotNull()), ids, ["member_id"], "left_semi",
-        salt_on=[*CLUSTER, "ord"], hot_rows=hot_rows,
+        salt_on=[*CLUSTER, "ord"], hot_rows=hot_rows, hot_in=members,
     )
 
 
@@ -78,18 +74,16 @@ def member_weights(members: DataFrame, dataset: DataFrame, hot_rows: int = HOT_R
     collapsed = _collapsed(members)
     flagged = lookup_join(
         collapsed, ids.withColumn("present", F.lit(True)), ["member_id"], "left",
-        salt_on=[*CLUSTER, "member_id"], hot_rows=hot_rows,
+        salt_on=CLUSTER, hot_rows=hot_rows, hot_in=members,
     ).withColumn("present", F.coalesce("present", F.lit(False)))
     sizes = flagged.groupBy(*CLUSTER).agg(
         F.sum(F.when(F.col("present"), F.col("repeats"))).alias("n"),
         F.min("ord").alias("cluster_ord"),
-        F.count_if("present").alias("_rows"),
     ).filter(F.col("n") > 0)
     place = F.struct("source", "cluster_ord", "cluster_id")
     weighted = lookup_join(
-        flagged.filter("present").select(*CLUSTER, "member_id"), sizes.drop("_rows"),
-        CLUSTER, "inner", salt_on=["member_id"],
-        hot=hot_keys(sizes, CLUSTER, "_rows", hot_rows), hot_rows=hot_rows,
+        flagged.filter("present").select(*CLUSTER, "member_id"), sizes,
+        CLUSTER, "inner", salt_on=["member_id"], hot_rows=hot_rows, hot_in=members,
     )
     return (
         weighted.groupBy(F.col("member_id").alias("id"))

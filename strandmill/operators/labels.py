@@ -40,13 +40,14 @@ def labels(ids: Column, mask: Column) -> Column:
     return F.zip_with(ids, mask, lambda i, m: F.when(m > 0, i).otherwise(F.lit(IGNORE)))
 
 
-def sft_labels(plain: Column, middle_id: int | Column) -> Column:
+def sft_labels(plain: Column, middle_id: int) -> Column:
     """Labels after the first middle tag only; without that tag nothing contributes."""
-    marker = middle_id if isinstance(middle_id, Column) else F.lit(middle_id)
-    first = F.array_position(plain, marker)
-    return F.transform(
-        plain,
-        lambda x, i: F.when((first > 0) & (i >= first), x).otherwise(F.lit(IGNORE)),
+    # Built from two pieces: a lambda over the array would look for the tag once per token.
+    first = F.array_position(plain, middle_id).cast("int")
+    cut = F.when(first > 0, first).otherwise(F.size(plain))
+    return F.concat(
+        F.array_repeat(F.lit(IGNORE), cut),
+        F.slice(plain, cut + F.lit(1), F.size(plain) - cut),
     )
 
 

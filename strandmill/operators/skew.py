@@ -4,42 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-# A key is hot from this many rows on. At most (rows / HOT_ROWS) keys can be hot.
+# A key is hot from this many rows on, and is cut into slices of about this size.
 HOT_ROWS = 1_000_000
-# Bound on the broadcast list of hot keys. Keys beyond it take the plain shuffle path.
+# Bound on the list of hot keys, which goes through the driver and is broadcast. Keys beyond it
+# take the plain shuffle path, like all cold keys.
 HOT_KEYS = 4096
+# A hot key shows up at least about this often in the sample it is looked for in.
+SAMPLED_ROWS = 1000
 # Rows without a key match nothing; they are spread over this many slices.
 NULL_SLICES = 1024
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """From a table of key counts, the largest hot keys and the slices each is cut into."""
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[Row]:
+    """The largest hot keys of ``df`` with their number of slices; usually an empty list.
+
+    Counted on a sample, so that distinct keys are not shuffled in full. A key judged wrongly
+    costs time, never rows.
+    """
+    fraction = min(1.0, SAMPLED_ROWS / hot_rows)
+    rows = df.select(*keys)
+    if fraction < 1.0:
+        rows = rows.sample(fraction, seed=1)
     return (
-        counts.filter(F.col(n) >= hot_rows)
-        .orderBy(F.desc(n), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.ceil(F.col(n) / F.lit(hot_rows)).cast("int").alias("_slices"))
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") >= max(1.0, hot_rows * fraction / 2))
+        .orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
+        .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows * fraction)).cast("int").alias("_slices"))
+        .collect()
     )
 
 
 def lookup_join(
     facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str,
-    salt_on: Sequence[str], hot_rows: int = HOT_ROWS, hot: DataFrame | None = None,
+    salt_on: Sequence[str], hot_rows: int = HOT_ROWS, hot_in: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``dim``, where any key of ``facts`` may be hot.
 
-    Rows of a hot key are cut into slices by a hash of ``salt_on`` (columns that tell the rows
-    apart), and its ``dim`` row is repeated per slice, so a slice holds about ``hot_rows``
-    rows. Cold keys join as usual. Every row takes exactly one of the two ways.
+    Without hot keys this is the plain join, for Spark to plan. Otherwise rows of a hot key are
+    cut into slices by a hash of ``salt_on`` (columns that tell the rows apart) and its ``dim``
+    rows are repeated per slice. Every row takes part exactly once either way. Hot keys are
+    looked for in ``hot_in``, where a table cheaper to read than ``facts`` has the same keys.
     """
     keys = list(keys)
-    if hot is None:
-        counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        hot = hot_keys(counts, keys, "_rows", hot_rows)
-    hot = F.broadcast(hot.select(*keys, "_slices"))
+    found = hot_keys(facts if hot_in is None else hot_in, keys, hot_rows)
+    if not found:
+        return facts.join(dim, keys, how)
+    source = facts if hot_in is None else hot_in
+    schema = StructType(
+        [source.schema[k] for k in keys] + [StructField("_slices", IntegerType())]
+    )
+    hot = F.broadcast(facts.sparkSession.createDataFrame(found, schema))
     any_null = F.lit(False)
     for key in keys:
         any_null = any_null | F.col(key).isNull()
@@ -49,12 +67,11 @@ def lookup_join(
         .withColumn(
             "_slice",
             F.when(any_null, F.pmod(row_hash, F.lit(NULL_SLICES)))
-            .when(F.col("_slices").isNull(), F.lit(0).cast("bigint"))
-            .otherwise(F.pmod(row_hash, F.col("_slices"))),
+            .otherwise(F.pmod(row_hash, F.coalesce("_slices", F.lit(1)))),
         )
         .drop("_slices")
     )
-    last = F.coalesce(F.col("_slices").cast("bigint"), F.lit(1).cast("bigint")) - F.lit(1)
+    last = F.coalesce("_slices", F.lit(1)).cast("bigint") - F.lit(1)
     repeated = (
         dim.join(hot, keys, "left")
         .withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.functions.text import BLANK, fasta_record, wrap_lines
+from strandmill.functions.text import BLANKS, fasta_record, wrap_lines
 from strandmill.plans.catalog.registry import (
     docs, query, sql_body, sql_strip, sql_wrap, table,
 )
-from strandmill.session import fresh_path
+from strandmill.session import fresh_path, spread
 from strandmill.sources.fasta import read_fasta, segment_lines
 from strandmill.sources.lines import read_lines
 from strandmill.sources.tables import (
@@ -49,8 +49,8 @@ def line_source(spark, sf_dir):
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as FASTA records: header, and a body without blanks and header marks."""
-    body = F.regexp_replace("text", f"{BLANK}|>", "")
-    return table(spark, sf_dir, "documents").select(
+    body = F.translate("text", BLANKS + ">", "")
+    return spread(table(spark, sf_dir, "documents"), ["doc_id"]).select(
         F.concat_ws(" ", F.col("doc_id").cast("string"), "source").alias("id"),
         F.when(F.col("source") == EMPTY_SOURCE, "").otherwise(body).alias("text"),
         "doc_id", "source",

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandmill.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -98,4 +100,5 @@ DOCS_SQL = "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) id", "text")
+    rows = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) id", "text")
+    return spread(rows, ["id"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.fim import (
@@ -47,12 +47,10 @@ def encode_text(
     ).drop("starts", "ends")
     names = ["input_ids", "attention_mask", "offset_mapping"]
     if not generate:
-        plain = labels(ids, F.col("attention_mask"))
-        chosen: Column = plain
+        out = out.withColumn("labels", labels(ids, F.col("attention_mask")))
         if fim_sft_style:
-            masked = sft_labels(plain, model.ids[FIM_MIDDLE])
-            chosen = F.when(F.col("is_fim"), masked).otherwise(plain)
-        out = out.withColumn("labels", chosen)
+            masked = sft_labels(F.col("labels"), model.ids[FIM_MIDDLE])
+            out = out.withColumn("labels", F.when(F.col("is_fim"), masked).otherwise(F.col("labels")))
         names.append("labels")
     return out.withColumnsRenamed({n: f"{prefix}{n}" for n in names}) if prefix else out
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 
@@ -53,3 +55,17 @@ def pin_splits(spark: SparkSession) -> None:
         spark.conf.set(
             "spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism)
         )
+
+
+def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Spread a small input over all cores ahead of work that is heavy per byte.
+
+    Fewer scan tasks than cores means a few files or row groups at most. Larger inputs, and
+    streams, are returned as they are: there the scan has tasks enough and nothing is moved.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, F.xxhash64(*by))
