@@ -21,7 +21,7 @@ from strandmill.session import materialize, spread
 CHARS_PER_STEP = 4_000_000
 # Best pairs looked at per training pass, and merges applied before the corpus is rewritten.
 PAIRS_PER_PASS = 64
-MERGES_PER_REWRITE = 32
+MERGES_PER_REWRITE = 16
 # While training, token i is written as one character from here on, leaving out surrogates.
 FIRST_CODE = 0x100
 MAX_TOKENS = 0x110000 - 0x800 - FIRST_CODE

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.keyed import uniform
 from strandmill.operators.skew import HOT_ROWS, lookup_join
+from strandmill.session import materialize
 
 CLUSTER = ["source", "cluster_id"]
 # Weights are counted in millionths, so that sums are exact whatever the order.
@@ -45,13 +46,6 @@ def cluster_filter(members: DataFrame, dataset: DataFrame, hot_rows: int = HOT_R
     )
 
 
-def _collapsed(members: DataFrame) -> DataFrame:
-    """One row per (cluster, member) with its number of repeats."""
-    return members.groupBy(*CLUSTER, "member_id").agg(
-        F.count(F.lit(1)).alias("repeats"), F.min("ord").alias("ord")
-    )
-
-
 def cluster_sizes(members: DataFrame) -> DataFrame:
     """Size, member weight and total mass of each cluster; repeats of a member count."""
     sizes = members.groupBy(*CLUSTER).agg(F.count("member_id").alias("n")).filter("n > 0")
@@ -65,47 +59,72 @@ def cluster_count(members: DataFrame) -> DataFrame:
     return cluster_sizes(members).agg(F.count(F.lit(1)).alias("n_clusters"))
 
 
-def member_weights(members: DataFrame, dataset: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Weight per dataset id that some cluster holds: ``id, weight``.
+def _matched(members: DataFrame, dataset: DataFrame, hot_rows: int) -> DataFrame:
+    """Members with ``row_ord``, the last dataset row of their id, or NULL where there is none.
 
-    A member of several clusters keeps the weight of the cluster that comes last.
+    Written once: cluster sizes are counted on it and then joined back to it.
     """
-    ids = dataset.select(F.col("id").cast("string").alias("member_id")).distinct()
-    collapsed = _collapsed(members)
-    flagged = lookup_join(
-        collapsed, ids.withColumn("present", F.lit(True)), ["member_id"], "left",
-        salt_on=CLUSTER, hot_rows=hot_rows, hot_in=members,
-    ).withColumn("present", F.coalesce("present", F.lit(False)))
-    sizes = flagged.groupBy(*CLUSTER).agg(
-        F.sum(F.when(F.col("present"), F.col("repeats"))).alias("n"),
-        F.min("ord").alias("cluster_ord"),
-    ).filter(F.col("n") > 0)
+    last_rows = dataset.groupBy(F.col("id").cast("string").alias("member_id")).agg(
+        F.max("row_ord").alias("row_ord")
+    )
+    rows = members.select(*CLUSTER, "member_id", "ord")
+    matched = lookup_join(
+        rows, last_rows, ["member_id"], "left", [*CLUSTER, "ord"], hot_rows, hot_in=members
+    )
+    return materialize(matched.select(*CLUSTER, "member_id", "ord", "row_ord"), "members")
+
+
+def _matched_sizes(matched: DataFrame) -> DataFrame:
+    return matched.groupBy(*CLUSTER).agg(
+        F.count("row_ord").alias("n"), F.min("ord").alias("cluster_ord")
+    ).filter("n > 0")
+
+
+def _weights(matched: DataFrame, hot_rows: int) -> DataFrame:
     place = F.struct("source", "cluster_ord", "cluster_id")
     weighted = lookup_join(
-        flagged.filter("present").select(*CLUSTER, "member_id"), sizes,
-        CLUSTER, "inner", salt_on=["member_id"], hot_rows=hot_rows, hot_in=members,
+        matched.filter("row_ord IS NOT NULL"), _matched_sizes(matched), CLUSTER, "inner",
+        ["member_id", "ord"], hot_rows,
     )
-    return (
-        weighted.groupBy(F.col("member_id").alias("id"))
-        .agg(F.max_by(weight_of(F.col("n")), place).alias("weight"))
+    return weighted.groupBy(F.col("member_id").alias("id"), "row_ord").agg(
+        F.max_by(weight_of(F.col("n")), place).alias("weight")
     )
 
 
-def cluster_weights(dataset: DataFrame, members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Every dataset row (``id, row_ord``) with its sampling weight, 0.0 where it has none.
+def member_weights(members: DataFrame, dataset: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The dataset rows that can be drawn: ``id, row_ord, weight``.
 
-    Of rows sharing an id only the last can be drawn; the others weigh 0.0.
+    A member of several clusters keeps the weight of the cluster that comes last. Of dataset
+    rows sharing an id only the last can be drawn.
     """
-    last = dataset.groupBy(F.col("id").cast("string").alias("id")).agg(
-        F.max("row_ord").alias("row_ord")
-    )
-    reachable = member_weights(members, dataset, hot_rows).join(last, "id")
+    return _weights(_matched(members, dataset, hot_rows), hot_rows)
+
+
+def cluster_weights(dataset: DataFrame, members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every dataset row (``id, row_ord``) with its sampling weight, 0.0 where it has none."""
+    reachable = member_weights(members, dataset, hot_rows)
     rows = dataset.select(F.col("id").cast("string").alias("id"), "row_ord")
     return rows.join(reachable, ["id", "row_ord"], "left").withColumn(
         "weight", F.coalesce("weight", F.lit(0.0))
     )
 
 
+def balanced_sample(
+    dataset: DataFrame, members: DataFrame, seed: int, k: int | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Draw dataset ids so that large clusters do not dominate: ``draw_id, id``.
+
+    By default as many draws as there are clusters with a member in the dataset. The weights
+    (id and number only) are written once, since the draw reads them three times.
+    """
+    matched = _matched(members, dataset, hot_rows)
+    if k is None:
+        k = _matched_sizes(matched).count()
+    weights = materialize(_weights(matched, hot_rows).select("id", "weight"), "weights")
+    return weighted_sample(weights, k, seed)
+
+
 def unclustered_rows(
     dataset: DataFrame, members: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:

@@ -10,7 +10,6 @@ from strandmill.operators.idmapping import (
     idmapping_clusters, idmapping_filter, idmapping_key_count,
 )
 from strandmill.plans.catalog.registry import SEED, docs, query, sql_uniform, table
-from strandmill.plans.prepare import balanced_sample
 from strandmill.session import fresh_path
 from strandmill.sources.clusters import explode_cluster_lines, read_cluster_store
 from strandmill.sources.writers import write_cluster_store
@@ -141,7 +140,7 @@ def unclustered_rows(spark, sf_dir):
     SELECT draw_id, id FROM draws ASOF JOIN laid ON draws.at >= laid.start
 """)
 def cluster_sample(spark, sf_dir):
-    return balanced_sample(_dataset(spark, sf_dir), _members(spark, sf_dir), SEED)
+    return C.balanced_sample(_dataset(spark, sf_dir), _members(spark, sf_dir), SEED)
 
 
 @query("epoch_shuffle", f"""

@@ -1,4 +1,4 @@
-"""From corpus rows to training rows, and from clusters to a balanced sample."""
+"""From corpus rows to training rows."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ from strandmill.functions.fim import (
     FIM_MIDDLE, FIM_RESERVE, WRAP_RESERVE, fim_apply, fim_flag, random_crop, wrap_tokens,
 )
 from strandmill.operators.bpe import BpeModel, tokenize
-from strandmill.operators.clusters import cluster_count, cluster_filter, cluster_weights, weighted_sample
 from strandmill.operators.labels import labels, sft_labels
-from strandmill.session import materialize
 
 
 def arrange_text(
@@ -70,19 +68,3 @@ def prepare_corpus(
         arranged, model, seed=seed, bpe_dropout=bpe_dropout, fim_sft_style=fim_sft_style,
         generate=generate, text=text, key=key, prefix=prefix,
     )
-
-
-def balanced_sample(
-    dataset: DataFrame, members: DataFrame, seed: int, k: int | None = None
-) -> DataFrame:
-    """Draw dataset ids so that large clusters do not dominate: ``draw_id, id``.
-
-    By default as many draws as there are clusters with a member in the dataset. The weights
-    (id and number only) are written once, since the draw reads them three times.
-    """
-    weights = materialize(
-        cluster_weights(dataset, members).filter("weight > 0").select("id", "weight"), "weights"
-    )
-    if k is None:
-        k = cluster_count(cluster_filter(members, dataset)).first()["n_clusters"]
-    return weighted_sample(weights, k, seed)
