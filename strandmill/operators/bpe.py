@@ -222,7 +222,9 @@ def train_bpe(
                 counts.withColumn("code", F.substring("pair", 1, 1)).join(sizes, "code")
                 .withColumnRenamed("n", "n1").drop("code")
                 .withColumn("code", F.substring("pair", 2, 1)).join(sizes, "code")
-                .filter(F.col("n1") + F.col("n") <= max_token_length)
+                .withColumn("size", F.col("n1") + F.col("n"))
+                # The public trainer bounds longer tokens strictly and lets two characters pass.
+                .filter((F.col("size") < max_token_length) | (F.col("size") == 2))
             )
         best = [
             (_token_id(r["pair"][0]), _token_id(r["pair"][1]), r["cnt"])
