@@ -24,17 +24,18 @@ def sub_batch_size(longest: Column, chunk_rows: Column) -> Column:
     return size.otherwise(F.lit(FULL_SIZE))
 
 
-def fold_batch_plan(numbered: DataFrame, text: str = "text") -> DataFrame:
-    """Chunks of 8, sub-batches and output names for rows ``file_ord, row_id``.
+def fold_batch_plan(numbered: DataFrame, length: str = "length") -> DataFrame:
+    """Chunks of 8, sub-batches and output names for rows ``file_ord, row_id, length``.
 
-    ``row_id`` counts from 0 within each file. A chunk is at most 8 rows, so the window is small.
+    ``row_id`` counts from 0 within each file. A chunk is at most 8 rows, so the window is
+    small. The plan needs lengths only; texts join it by row when they are folded.
     """
     start = batch_number(F.col("row_id"), CHUNK) * F.lit(CHUNK)
     chunk = Window.partitionBy("file_ord", "chunk_start")
     index = (F.col("row_id") - F.col("chunk_start")).cast("int")
     return (
         numbered.withColumn("chunk_start", start)
-        .withColumn("max_length", F.max(F.length(text)).over(chunk))
+        .withColumn("max_length", F.max(length).over(chunk))
         .withColumn(
             "batch_size",
             sub_batch_size(F.col("max_length"), F.count(F.lit(1)).over(chunk)),

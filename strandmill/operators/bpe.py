@@ -15,13 +15,15 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from strandmill.functions.fim import FIM_TAGS
 from strandmill.functions.text import SPECIAL_TOKENS, UNK
 from strandmill.operators.bpe_kernel import EncoderTables, build_tables, encode, encode_with_dropout
-from strandmill.session import materialize, spread
+from strandmill.session import materialize, spread, two_paths
 
 # Characters encoded together in one task step.
 CHARS_PER_STEP = 4_000_000
 # Best pairs looked at per training pass, and merges applied before the corpus is rewritten.
 PAIRS_PER_PASS = 64
 MERGES_PER_REWRITE = 16
+# Pair counts are updated, not counted anew, when merges touch less than this share of the texts.
+UPDATE_SHARE = 0.25
 # While training, token i is written as one character from here on, leaving out surrogates.
 FIRST_CODE = 0x100
 MAX_TOKENS = 0x110000 - 0x800 - FIRST_CODE
@@ -172,6 +174,37 @@ def _safe_prefix(
     return [(a, b) for i, (a, b, cnt) in enumerate(taken) if i == 0 or cnt > floor]
 
 
+def _replaced(text: Column, merges: list[tuple[int, int, int]]) -> Column:
+    """Coded text after the merges. Replacing goes from the left, as merging a run does."""
+    for a, b, new in merges:
+        text = F.replace(text, F.lit(_code(a) + _code(b)), F.lit(_code(new)))
+    return text
+
+
+def _pair_changes(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """What the merges add to and take from the pair counts, from the texts they touch."""
+    touched = F.lit(False)
+    for a, b, _ in merges:
+        touched = touched | F.contains("text", F.lit(_code(a) + _code(b)))
+    sides = F.array(
+        F.struct("text", (-F.col("copies")).alias("copies")),
+        F.struct(_replaced(F.col("text"), merges).alias("text"), "copies"),
+    )
+    return pair_counts(words.filter(touched).select(F.inline(sides)))
+
+
+def _short_pairs(counts: DataFrame, tokens: list[str], max_token_length: int) -> DataFrame:
+    """Pairs whose product is short enough; the joined table has one row per token."""
+    sizes = F.broadcast(counts.sparkSession.createDataFrame(
+        [(_code(i), len(t)) for i, t in enumerate(tokens)], "code string, n int"
+    ))
+    first = counts.withColumn("code", F.substring("pair", 1, 1)).join(sizes, "code")
+    both = first.withColumnRenamed("n", "n1").withColumn("code", F.substring("pair", 2, 1)).join(sizes, "code")
+    size = F.col("n1") + F.col("n")
+    # The public trainer bounds longer tokens strictly and lets two characters pass.
+    return both.filter((size < max_token_length) | (size == 2)).select("pair", "cnt")
+
+
 def train_bpe(
     corpus: DataFrame, vocab_size: int = 30_000, min_frequency: int = 0,
     max_token_length: int | None = None, text: str = "text",
@@ -179,9 +212,11 @@ def train_bpe(
 ) -> BpeModel:
     """Learn a vocabulary; a whole text is one word.
 
-    Every token is one character of a coded text, so a merge is a literal replacement and a
-    pass over the corpus is one scan, one small aggregation and a top-k. The driver only holds
-    the vocabulary. The coded corpus is rewritten to the shared folder from time to time.
+    Every token is one character of a coded text, so a merge is a literal replacement. A pass
+    makes all merges that cannot influence each other. While merges touch many texts, a pass
+    counts all pairs anew; once they are rare, it scans for the texts they touch and updates
+    the table of counts. The driver only holds the vocabulary. The coded corpus is rewritten
+    to the shared folder from time to time.
     """
     spark = corpus.sparkSession
     if vocab_size > MAX_TOKENS:
@@ -198,40 +233,29 @@ def train_bpe(
     )
     tokens = list(specials) + [c for c in alphabet if c not in specials]
     ids = {t: i for i, t in enumerate(tokens)}
-    coded = F.translate("text", "".join(alphabet), "".join(_code(ids[c]) for c in alphabet))
-    state = words.select(coded.alias("text"), "copies")
-    if alphabet:
-        state = materialize(state, "bpe-coded")
     merges: list[tuple[int, int, int]] = []
+    if not alphabet:
+        return BpeModel(tokens, merges, list(specials))
+    total_copies = words.agg(F.sum("copies")).first()[0]
+    coded = F.translate("text", "".join(alphabet), "".join(_code(ids[c]) for c in alphabet))
+    texts_at, counts_at = two_paths(spark, "bpe-coded"), two_paths(spark, "bpe-counts")
+    state = materialize(words.select(coded.alias("text"), "copies"), path=next(texts_at))
     pending: list[tuple[int, int, int]] = []
-
-    def current() -> Column:
-        column = F.col("text")
-        for a, b, new in pending:
-            column = F.replace(column, F.lit(_code(a) + _code(b)), F.lit(_code(new)))
-        return column
+    kept_counts: DataFrame | None = None
 
     while len(tokens) < vocab_size:
-        now = state.select(current().alias("text"), "copies")
-        counts = pair_counts(now).filter(F.col("cnt") >= max(1, min_frequency))
+        now = state.select(_replaced(F.col("text"), pending).alias("text"), "copies")
+        counts = pair_counts(now) if kept_counts is None else kept_counts
+        eligible = counts.filter(F.col("cnt") >= max(1, min_frequency))
         if max_token_length is not None:
-            sizes = F.broadcast(spark.createDataFrame(
-                [(_code(i), len(t)) for i, t in enumerate(tokens)], "code string, n int"
-            ))
-            counts = (
-                counts.withColumn("code", F.substring("pair", 1, 1)).join(sizes, "code")
-                .withColumnRenamed("n", "n1").drop("code")
-                .withColumn("code", F.substring("pair", 2, 1)).join(sizes, "code")
-                .withColumn("size", F.col("n1") + F.col("n"))
-                # The public trainer bounds longer tokens strictly and lets two characters pass.
-                .filter((F.col("size") < max_token_length) | (F.col("size") == 2))
-            )
+            eligible = _short_pairs(eligible, tokens, max_token_length)
         best = [
             (_token_id(r["pair"][0]), _token_id(r["pair"][1]), r["cnt"])
-            for r in top_pairs(counts.select("pair", "cnt"), PAIRS_PER_PASS).collect()
+            for r in top_pairs(eligible, PAIRS_PER_PASS).collect()
         ]
         if not best:
             break
+        batch = []
         for a, b in _safe_prefix(best, len(best) == PAIRS_PER_PASS, tokens, ids):
             if len(tokens) >= vocab_size:
                 break
@@ -239,11 +263,21 @@ def train_bpe(
             if product not in ids:
                 ids[product] = len(tokens)
                 tokens.append(product)
-            merge = (a, b, ids[product])
-            merges.append(merge)
-            pending.append(merge)
+            batch.append((a, b, ids[product]))
+        if sum(cnt for _, _, cnt in best[: len(batch)]) < UPDATE_SHARE * total_copies:
+            if kept_counts is None:
+                kept_counts = materialize(counts, path=next(counts_at))
+            updated = kept_counts.unionByName(_pair_changes(now, batch)).groupBy("pair").agg(
+                F.sum("cnt").alias("cnt")
+            )
+            kept_counts = materialize(updated.filter("cnt > 0"), path=next(counts_at))
+        else:
+            kept_counts = None
+        merges += batch
+        pending += batch
         if len(pending) >= MERGES_PER_REWRITE:
-            state = materialize(state.select(current().alias("text"), "copies"), "bpe-coded")
+            now = state.select(_replaced(F.col("text"), pending).alias("text"), "copies")
+            state = materialize(now, path=next(texts_at))
             pending = []
     return BpeModel(tokens, merges, list(specials))
 

@@ -11,14 +11,23 @@ from pyspark.sql.types import ArrayType, IntegerType
 from strandmill.operators.skew import HOT_ROWS, lookup_join
 
 IGNORE = -100
+# Largest vocabulary that is broadcast to all tasks; about 100 MB.
+BROADCAST_TOKENS = 1_000_000
 
 
 def token_ids(
     tokens: DataFrame, vocab: DataFrame, salt_on: list[str], unk_id: int,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Attach ``token_id`` to rows of ``token``; frequent tokens are cut into slices."""
-    joined = lookup_join(tokens, vocab, ["token"], "left", salt_on, hot_rows)
+    """Attach ``token_id`` to rows of ``token``.
+
+    A vocabulary within the bound is broadcast, and the tokens stay where they are. With a
+    larger one the tokens are shuffled, and frequent ones cut into slices.
+    """
+    if vocab.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
+        joined = tokens.join(F.broadcast(vocab), "token", "left")
+    else:
+        joined = lookup_join(tokens, vocab, ["token"], "left", salt_on, hot_rows)
     return joined.withColumn("token_id", F.coalesce("token_id", F.lit(unk_id)))
 
 
@@ -55,7 +64,10 @@ def pad_batches(
     df: DataFrame, batch: str, ids: str, pad_id: int, salt_on: list[str],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Pad every row to the longest of its batch and add the attention mask."""
+    """Pad every row to the longest of its batch and add the attention mask.
+
+    Reads ``df`` for the sizes and again for the rows, so a costly one should be written first.
+    """
     sizes = df.select(batch, F.size(ids).alias("_size"))
     longest = sizes.groupBy(batch).agg(F.max("_size").alias("_longest"))
     fill = F.col("_longest") - F.size(ids)

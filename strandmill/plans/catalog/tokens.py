@@ -195,9 +195,9 @@ def sft_labels(spark, sf_dir):
     FROM sized
 """)
 def fold_batch_plan_query(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("length"))
     numbered = with_row_id(rows, ["conv_id", "turn"]).withColumn("file_ord", F.lit(0))
-    return fold_batch_plan(numbered).drop("text", "row_id", "file_ord")
+    return fold_batch_plan(numbered).drop("length", "row_id", "file_ord")
 
 
 @query("latest_by_suffix", """

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
+SMALL_BYTES_PER_CORE = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,18 +35,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage and makes everything computed from the result consistent: values such as
     ``monotonically_increasing_id`` are fixed on disk, whichever executors are lost later.
+    A given ``path`` is written over.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
+    mode = "errorifexists" if path is None else "overwrite"
+    path = path or fresh_path(spark, name)
+    df.write.mode(mode).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def two_paths(spark: SparkSession, name: str) -> Iterator[str]:
+    """Two paths in turn, for a loop whose next table is computed from the last one."""
+    return itertools.cycle([fresh_path(spark, name), fresh_path(spark, name)])
+
+
 def pin_splits(spark: SparkSession) -> None:
     """Fix how files are cut into splits for the rest of the session.
 
@@ -60,12 +70,19 @@ def pin_splits(spark: SparkSession) -> None:
 def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Spread a small input over all cores ahead of work that is heavy per byte.
 
-    Fewer scan tasks than cores means a few files or row groups at most. Larger inputs, and
-    streams, are returned as they are: there the scan has tasks enough and nothing is moved.
+    Small means fewer files than cores, and few bytes per core; such a scan may well be a
+    single task. Larger inputs, streams and tables not read from files are returned as they
+    are, so nothing is moved at scale.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = [unquote(f) for f in df.inputFiles()]
+    if not files or len(files) >= cores:
+        return df
+    # Lists the files; their content is not read.
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    if size >= cores * SMALL_BYTES_PER_CORE:
         return df
     return df.repartition(cores, F.xxhash64(*by))

@@ -61,13 +61,16 @@ def test_training_matches_the_library(spark, seed, options, alphabet):
     assert got.ids == want.get_vocab()
 
 
-def test_several_merges_per_pass(spark, monkeypatch):
-    """Few looked-at pairs and frequent rewrites give the same merges."""
-    texts = proteins(11)
-    want = bpe.train_bpe(corpus(spark, texts), vocab_size=60)
+@pytest.mark.parametrize("share", [0.0, 0.4, 100.0])
+def test_counting_updating_and_rewriting_agree(spark, monkeypatch, share):
+    """Few looked-at pairs, frequent rewrites, and updated counts give the library's merges."""
+    texts = proteins(11, n=60)
+    want = library(texts, vocab_size=48)
+    monkeypatch.setattr(bpe, "UPDATE_SHARE", share)
     monkeypatch.setattr(bpe, "PAIRS_PER_PASS", 3)
     monkeypatch.setattr(bpe, "MERGES_PER_REWRITE", 2)
-    assert bpe.train_bpe(corpus(spark, texts), vocab_size=60) == want
+    got = bpe.train_bpe(corpus(spark, texts), vocab_size=48)
+    assert [(got.tokens[a], got.tokens[b]) for a, b, _ in got.merges] == merges_of(want)
 
 
 def test_training_on_nothing(spark):

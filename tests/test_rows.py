@@ -27,11 +27,13 @@ def test_padding(spark, hot_rows):
         ([1, 2], [1, 1]), ([4, 3], [1, 0]), ([], []), ([3, 3], [0, 0])]
 
 
-def test_token_ids_and_offsets(spark):
+def test_token_ids_and_offsets(spark, monkeypatch):
     vocab = spark.createDataFrame([("a", 7), ("b", 8)], "token string, token_id int")
     tokens = spark.createDataFrame([(0, "a"), (1, "zz"), (2, "a"), (3, "a")], "pos int, token string")
-    got = labels.token_ids(tokens, vocab, ["pos"], 0, hot_rows=2)
-    assert rows(got.select("pos", "token_id")) == [(0, 7), (1, 0), (2, 7), (3, 7)]
+    for bound in (10, 1):
+        monkeypatch.setattr(labels, "BROADCAST_TOKENS", bound)
+        got = labels.token_ids(tokens, vocab, ["pos"], 0, hot_rows=2)
+        assert rows(got.select("pos", "token_id")) == [(0, 7), (1, 0), (2, 7), (3, 7)]
     spans = spark.createDataFrame([(["ab", "c", "déf"],), ([],)], "t array<string>").select(labels.token_offsets(F.col("t")))
     assert [[tuple(x) for x in r[0]] for r in spans.collect()] == [[(0, 2), (2, 3), (3, 6)], []]
 
@@ -40,7 +42,7 @@ def test_token_ids_and_offsets(spark):
 def test_fold_plan_sizes(spark, longest, size):
     df = spark.range(9).select(
         F.lit(2).alias("file_ord"), F.col("id").alias("row_id"),
-        F.repeat(F.lit("A"), F.when(F.col("id") == 3, longest).otherwise(5)).alias("text"))
+        F.when(F.col("id") == 3, longest).otherwise(5).alias("length"))
     out = batches.fold_batch_plan(df).orderBy("row_id").collect()
     assert [r["batch_size"] for r in out] == [size] * 8 + [8]
     assert [r["sub_batch"] for r in out] == [i // size for i in range(8)] + [0]
@@ -48,7 +50,7 @@ def test_fold_plan_sizes(spark, longest, size):
 
 
 def test_fold_plan_takes_any_chunk(spark):
-    df = spark.range(3).select(F.lit(0).alias("file_ord"), F.col("id").alias("row_id"), F.repeat(F.lit("A"), 600).alias("text"))
+    df = spark.range(3).select(F.lit(0).alias("file_ord"), F.col("id").alias("row_id"), F.lit(600).alias("length"))
     assert [(r["batch_size"], r["sub_batch"]) for r in batches.fold_batch_plan(df).orderBy("row_id").collect()] == [(2, 0), (2, 0), (2, 1)]
 
 
