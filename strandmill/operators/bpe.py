@@ -367,6 +367,15 @@ def tokenizer_score(tokenized: DataFrame, unk_id: int, text: str = "text") -> Da
         F.coalesce(F.sum(unknown), F.lit(0)).alias("unk_tokens"),
     )
     tokens, chars, unk = F.col("total_tokens"), F.col("total_chars"), F.col("unk_tokens")
+    # Called tokens per word where it is printed, but the divisor is characters.
     return totals.withColumn(
         "tokens_per_char", F.when(chars > 0, tokens / chars).otherwise(0.0)
     ).withColumn("unk_rate", F.when(tokens > 0, unk / tokens * 100).otherwise(0.0))
+
+
+def score_lines(score: DataFrame) -> DataFrame:
+    """The two printed lines of a score, with two decimals."""
+    return score.select(
+        F.format_string("Tokens per Word: %.2f", "tokens_per_char").alias("tokens_line"),
+        F.format_string("UNK Token Rate:  %.2f%%", "unk_rate").alias("unk_line"),
+    )

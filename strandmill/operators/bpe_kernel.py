@@ -10,6 +10,7 @@ import heapq
 import random
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -30,6 +31,10 @@ class EncoderTables:
     product: np.ndarray
     early: frozenset[int]  # ranks whose product takes part in a merge of lower rank
 
+    @cached_property
+    def rank_of(self) -> dict[int, int]:
+        return dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist()))
+
 
 def build_tables(tokens: list[str], merges: list[tuple[int, int, int]],
                  specials: list[tuple[str, int]], unk_id: int) -> EncoderTables:
@@ -94,6 +99,11 @@ def _ranks(left: np.ndarray, right: np.ndarray, t: EncoderTables) -> np.ndarray:
     return np.where(t.pair_keys[slot] == keys, t.pair_ranks[slot], -1)
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a sorted array differs from the element before."""
+    return np.concatenate(([True], values[1:] != values[:-1]))
+
+
 def _every_second(places: np.ndarray, nxt: np.ndarray) -> np.ndarray:
     """Of places that overlap in a run (``aaaa``), every second one from the left."""
     linked = np.concatenate(([False], nxt[places[:-1]] == places[1:]))
@@ -123,16 +133,19 @@ def encode(texts: list[str], t: EncoderTables):
         if not len(places):
             return
         order = np.argsort(rank, kind="stable")
-        values, first = np.unique(rank[order], return_index=True)
-        for r, group in zip(values.tolist(), np.split(places[order], first[1:])):
+        places, rank = places[order], rank[order]
+        first = np.flatnonzero(_changes(rank))
+        bounds = [*first.tolist(), len(rank)]
+        for r, begin, end in zip(rank[first].tolist(), bounds, bounds[1:]):
             if r not in waiting:
                 heapq.heappush(queue, r)
-            waiting[r].append(group)
+            waiting[r].append(places[begin:end])
 
     push(np.arange(n))
     while queue:
         rank = heapq.heappop(queue)
-        places = np.unique(np.concatenate(waiting.pop(rank)))
+        places = np.sort(np.concatenate(waiting.pop(rank)))
+        places = places[_changes(places)]
         a, b = t.left[rank], t.right[rank]
         places = places[alive[places] & (nxt[places] >= 0)]
         places = places[(sym[places] == a) & (sym[nxt[places]] == b)]
@@ -142,7 +155,7 @@ def encode(texts: list[str], t: EncoderTables):
             places = _every_second(places, nxt)
         if rank in t.early:
             # The product may enable an earlier merge, which then comes first in its text.
-            head = np.unique(text_no[places], return_index=True)[1]
+            head = np.flatnonzero(_changes(text_no[places]))
             rest = np.delete(places, head)
             places = places[head]
             if len(rest):
@@ -157,7 +170,7 @@ def encode(texts: list[str], t: EncoderTables):
         has_after = after >= 0
         prv[after[has_after]] = places[has_after]
         before = prv[places]
-        push(np.unique(np.concatenate((before[before >= 0], places))))
+        push(np.concatenate((before[before >= 0], places)))
     counts = np.bincount(text_no[alive], minlength=len(texts))
     return sym[alive], start[alive], stop[alive], counts
 
@@ -172,13 +185,12 @@ def encode_with_dropout(text: str, key: str, seed: int, rate: float, t: EncoderT
     n = len(sym)
     nxt = [*range(1, n), -1]
     prv = list(range(-1, n - 1))
-    rank_of = dict(zip(t.pair_keys.tolist(), t.pair_ranks.tolist()))
     rng = random.Random(f"{seed}|dropout|{key}")
     queue: list[tuple[int, int]] = []
 
     def offer(i: int) -> None:
         if i >= 0 and nxt[i] >= 0:
-            rank = rank_of.get(sym[i] * t.n_tokens + sym[nxt[i]])
+            rank = t.rank_of.get(sym[i] * t.n_tokens + sym[nxt[i]])
             if rank is not None:
                 heapq.heappush(queue, (rank, i))
 

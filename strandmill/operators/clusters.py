@@ -113,16 +113,17 @@ def balanced_sample(
     dataset: DataFrame, members: DataFrame, seed: int, k: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Draw dataset ids so that large clusters do not dominate: ``draw_id, id``.
+    """Draw dataset rows so that large clusters do not dominate: ``draw_id, id, row_ord``.
 
     By default as many draws as there are clusters with a member in the dataset. The weights
-    (id and number only) are written once, since the draw reads them three times.
+    (no texts) are written once, since the draw reads them three times.
     """
     matched = _matched(members, dataset, hot_rows)
     if k is None:
         k = _matched_sizes(matched).count()
-    weights = materialize(_weights(matched, hot_rows).select("id", "weight"), "weights")
-    return weighted_sample(weights, k, seed)
+    weights = materialize(_weights(matched, hot_rows), "weights")
+    # An id is drawn about weight * k / total times, so no id is hot.
+    return weighted_sample(weights, k, seed).join(weights.select("id", "row_ord"), "id")
 
 
 def unclustered_rows(

@@ -62,10 +62,11 @@ def sft_labels(plain: Column, middle_id: int) -> Column:
 
 def pad_batches(
     df: DataFrame, batch: str, ids: str, pad_id: int, salt_on: list[str],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, also: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pad every row to the longest of its batch and add the attention mask.
 
+    ``also`` names more arrays to fill up to the same length, with their fill value.
     Reads ``df`` for the sizes and again for the rows, so a costly one should be written first.
     """
     sizes = df.select(batch, F.size(ids).alias("_size"))
@@ -77,6 +78,10 @@ def pad_batches(
     return (
         lookup_join(df, longest, [batch], "left", salt_on, hot_rows)
         .withColumn("attention_mask", mask)
+        .withColumns({
+            name: F.concat(F.col(name), F.array_repeat(F.lit(value), fill))
+            for name, value in (also or {}).items()
+        })
         .withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(pad_id), fill)))
         .drop("_longest")
     )

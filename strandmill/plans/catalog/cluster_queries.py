@@ -140,7 +140,8 @@ def unclustered_rows(spark, sf_dir):
     SELECT draw_id, id FROM draws ASOF JOIN laid ON draws.at >= laid.start
 """)
 def cluster_sample(spark, sf_dir):
-    return C.balanced_sample(_dataset(spark, sf_dir), _members(spark, sf_dir), SEED)
+    draws = C.balanced_sample(_dataset(spark, sf_dir), _members(spark, sf_dir), SEED)
+    return draws.select("draw_id", "id")
 
 
 @query("epoch_shuffle", f"""
