@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from strandmill.functions.fim import FIM_TAGS
 from strandmill.functions.text import SPECIAL_TOKENS, UNK
 from strandmill.operators.bpe_kernel import EncoderTables, build_tables, encode, encode_with_dropout
-from strandmill.session import materialize, spread, two_paths
+from strandmill.session import materialize, two_paths
 
 # Characters encoded together in one task step.
 CHARS_PER_STEP = 4_000_000
@@ -117,8 +117,7 @@ def _adjacent_pairs(symbols: Column) -> Column:
 
 def distinct_texts(corpus: DataFrame, text: str = "text") -> DataFrame:
     """Each text once with its number of copies; all later work is per distinct text."""
-    rows = spread(corpus.filter(F.col(text) != ""), [text])
-    return rows.groupBy(F.col(text).alias("text")).agg(
+    return corpus.filter(F.col(text) != "").groupBy(F.col(text).alias("text")).agg(
         F.count(F.lit(1)).alias("copies")
     )
 
@@ -299,7 +298,6 @@ def tokenize(
     Special tokens stay whole and unknown characters become one unknown token each. The tables
     broadcast to the tasks grow with the vocabulary, not with the data.
     """
-    df = spread(df, [key, text])
     tables = df.sparkSession.sparkContext.broadcast(model.tables())
 
     def run(texts: list[str], keys: list[str]) -> list[pa.Array]:

@@ -60,12 +60,12 @@ def read_fasta(
     scan = scan_text(spark, paths, lineSep="\n>").withColumn(
         "_mid", F.monotonically_increasing_id()
     )
-    firsts = scan.groupBy("file_ord", "file_path").agg(
-        F.min(F.struct("block_start", "_mid")).alias("_first")
-    ).select("file_ord", "file_path", F.col("_first._mid").alias("_first"))
+    firsts = scan.filter("block_start = 0").groupBy("file_ord", "file_path").agg(
+        F.min("_mid").alias("_first")
+    )
     if len(scan.inputFiles()) <= BROADCAST_SPLITS:
         firsts = F.broadcast(firsts)
-    is_first = (F.col("_mid") == F.col("_first")) & (F.col("block_start") == 0)
+    is_first = (F.col("block_start") == 0) & (F.col("_mid") == F.col("_first"))
     chunks = scan.join(firsts, ["file_ord", "file_path"]).select(
         F.when(is_first, F.col("value")).otherwise(F.concat(F.lit(">"), "value")).alias("_chunk")
     )
