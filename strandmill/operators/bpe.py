@@ -14,7 +14,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from strandmill.functions.fim import FIM_TAGS
 from strandmill.functions.text import SPECIAL_TOKENS, UNK
-from strandmill.operators.bpe_kernel import EncoderTables, build_tables, encode, encode_with_dropout
+from strandmill.operators.bpe_kernel import (
+    EncoderTables, build_tables, encode, encode_with_dropout, replace_all, weighted_pairs,
+)
 from strandmill.session import materialize, two_paths
 
 # Characters encoded together in one task step.
@@ -102,6 +104,19 @@ class BpeModel:
         return spark.createDataFrame(rows, "rank int, left string, right string")
 
 
+def _steps(texts: list[str], limit: int | None = None):
+    """Slices of a batch with a bounded number of characters, at least one text each."""
+    limit = limit or CHARS_PER_STEP
+    at = 0
+    while at < len(texts):
+        stop, chars = at, 0
+        while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= limit):
+            chars += len(texts[stop])
+            stop += 1
+        yield at, stop
+        at = stop
+
+
 # ---------------------------------------------------------------- pair counts and training
 
 
@@ -180,16 +195,41 @@ def _replaced(text: Column, merges: list[tuple[int, int, int]]) -> Column:
     return text
 
 
-def _pair_changes(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """What the merges add to and take from the pair counts, from the texts they touch."""
-    touched = F.lit(False)
-    for a, b, _ in merges:
-        touched = touched | F.contains("text", F.lit(_code(a) + _code(b)))
-    sides = F.array(
-        F.struct("text", (-F.col("copies")).alias("copies")),
-        F.struct(_replaced(F.col("text"), merges).alias("text"), "copies"),
-    )
-    return pair_counts(words.filter(touched).select(F.inline(sides)))
+def _coded_pair_counts(
+    words: DataFrame, pending: list[tuple[int, int, int]],
+    batch: list[tuple[int, int, int]] | None = None,
+) -> DataFrame:
+    """As ``pair_counts`` for coded texts to which the pending merges still have to be applied.
+
+    With a ``batch`` of further merges, what these change: the pairs of the texts they touch,
+    counted negatively before and positively after. Runs in Arrow batches.
+    """
+
+    def pairs_of(merges):
+        return [(_code(x) + _code(y), _code(new)) for x, y, new in merges]
+
+    first, second = pairs_of(pending), pairs_of(batch or [])
+
+    def task(batches):
+        for record in batches:
+            texts, copies = record.column("text").to_pylist(), record.column("copies").to_numpy()
+            for at, stop in _steps(texts):
+                part = replace_all(texts[at:stop], first)
+                weight = copies[at:stop]
+                if batch is None:
+                    counted = [weighted_pairs(part, weight)]
+                else:
+                    hit = [i for i, t in enumerate(part) if any(p in t for p, _ in second)]
+                    before, weight = [part[i] for i in hit], weight[hit]
+                    counted = [
+                        weighted_pairs(before, -weight),
+                        weighted_pairs(replace_all(before, second), weight),
+                    ]
+                for pairs, cnt in counted:
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array(cnt)], ["pair", "cnt"])
+
+    counted = words.select("text", "copies").mapInArrow(task, "pair string, cnt bigint")
+    return counted.groupBy("pair").agg(F.sum("cnt").alias("cnt"))
 
 
 def _short_pairs(counts: DataFrame, tokens: list[str], max_token_length: int) -> DataFrame:
@@ -214,8 +254,8 @@ def train_bpe(
     Every token is one character of a coded text, so a merge is a literal replacement. A pass
     makes all merges that cannot influence each other. While merges touch many texts, a pass
     counts all pairs anew; once they are rare, it scans for the texts they touch and updates
-    the table of counts. The driver only holds the vocabulary. The coded corpus is rewritten
-    to the shared folder from time to time.
+    the table of counts. Only counts are shuffled, and the driver only holds the vocabulary.
+    The coded corpus is rewritten to the shared folder from time to time.
     """
     spark = corpus.sparkSession
     if vocab_size > MAX_TOKENS:
@@ -243,8 +283,7 @@ def train_bpe(
     kept_counts: DataFrame | None = None
 
     while len(tokens) < vocab_size:
-        now = state.select(_replaced(F.col("text"), pending).alias("text"), "copies")
-        counts = pair_counts(now) if kept_counts is None else kept_counts
+        counts = _coded_pair_counts(state, pending) if kept_counts is None else kept_counts
         eligible = counts.filter(F.col("cnt") >= max(1, min_frequency))
         if max_token_length is not None:
             eligible = _short_pairs(eligible, tokens, max_token_length)
@@ -266,17 +305,16 @@ def train_bpe(
         if sum(cnt for _, _, cnt in best[: len(batch)]) < UPDATE_SHARE * total_copies:
             if kept_counts is None:
                 kept_counts = materialize(counts, path=next(counts_at))
-            updated = kept_counts.unionByName(_pair_changes(now, batch)).groupBy("pair").agg(
-                F.sum("cnt").alias("cnt")
-            )
+            changes = _coded_pair_counts(state, pending, batch)
+            updated = kept_counts.unionByName(changes).groupBy("pair").agg(F.sum("cnt").alias("cnt"))
             kept_counts = materialize(updated.filter("cnt > 0"), path=next(counts_at))
         else:
             kept_counts = None
         merges += batch
         pending += batch
         if len(pending) >= MERGES_PER_REWRITE:
-            now = state.select(_replaced(F.col("text"), pending).alias("text"), "copies")
-            state = materialize(now, path=next(texts_at))
+            merged = _replaced(F.col("text"), pending).alias("text")
+            state = materialize(state.select(merged, "copies"), path=next(texts_at))
             pending = []
     return BpeModel(tokens, merges, list(specials))
 
@@ -316,18 +354,12 @@ def tokenize(
         for batch in batches:
             texts = [x or "" for x in batch.column(text).to_pylist()]
             keys = batch.column(key).cast(pa.string()).to_pylist() if dropout else []
-            at = 0
-            while at < len(texts):
-                stop, chars = at, 0
-                while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= CHARS_PER_STEP):
-                    chars += len(texts[stop])
-                    stop += 1
+            for at, stop in _steps(texts):
                 lists = run(texts[at:stop], keys[at:stop])
                 part = batch.slice(at, stop - at)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *lists], [*part.schema.names, "input_ids", "starts", "ends"]
                 )
-                at = stop
 
     ints = ArrayType(IntegerType())
     schema = StructType(

@@ -216,3 +216,32 @@ def encode_with_dropout(text: str, key: str, seed: int, rate: float, t: EncoderT
         offer(i)
     left = [i for i in range(n) if sym[i] >= 0]
     return [sym[i] for i in left], [start[i] for i in left], [stop[i] for i in left]
+
+
+# ---------------------------------------------------------------- counting pairs while training
+
+
+def replace_all(texts: list[str], pairs: list[tuple[str, str]]) -> list[str]:
+    """Apply replacements in order; NUL, which no coded text holds, keeps texts apart."""
+    if not texts or not pairs:
+        return texts
+    whole = "\0".join(texts)
+    for pair, product in pairs:
+        whole = whole.replace(pair, product)
+    return whole.split("\0")
+
+
+def weighted_pairs(texts: list[str], weight: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Neighbouring characters of all texts with the summed weight of the texts they are in."""
+    codes = np.frombuffer("\0".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    inside = (codes[:-1] != 0) & (codes[1:] != 0)
+    if not inside.any():
+        return [], np.zeros(0, dtype=np.int64)
+    keys = (codes[:-1] << 32 | codes[1:])[inside]
+    of_text = np.cumsum(codes[:-1] == 0)[inside]
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(_changes(keys))
+    sums = np.add.reduceat(weight[of_text[order]].astype(np.int64), first)
+    pairs = [chr(k >> 32) + chr(k & 0xFFFFFFFF) for k in keys[first].tolist()]
+    return pairs, sums
