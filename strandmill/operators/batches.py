@@ -15,6 +15,8 @@ CHUNK = 8
 SIZE_ABOVE = ((700, 1), (500, 2), (200, 4))
 FULL_SIZE = 8
 CHECKPOINT = r"checkpoint-(\d+)$"
+# Fixed value: output name by place in the chunk, file and chunk start.
+OUT_NAME = "esm_%d.pdb_esm_%d_%d.pdb"
 
 
 def sub_batch_size(longest: Column, chunk_rows: Column) -> Column:
@@ -44,7 +46,7 @@ def fold_batch_plan(numbered: DataFrame, length: str = "length") -> DataFrame:
         .withColumn(
             "out_name",
             F.format_string(
-                "esm_%d.pdb_esm_%d_%d.pdb", index + F.lit(1), F.col("file_ord"),
+                OUT_NAME, index + F.lit(1), F.col("file_ord"),
                 F.col("chunk_start"),
             ),
         )

@@ -157,13 +157,22 @@ def corpus_union_query(spark, sf_dir):
     SELECT 'rows of corpus ' || file_ord AS what, n FROM (
       SELECT 0 AS file_ord, count(*) AS n FROM documents UNION ALL SELECT 1, count(*) FROM benchmark)
     UNION ALL SELECT 'fasta headers', count(*) FROM documents
+    UNION ALL SELECT 'distinct words', count(DISTINCT token) FROM (
+      SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+')) AS token FROM documents) WHERE token <> ''
 """)
 def corpus_counts(spark, sf_dir):
     rows = _two_corpora(spark, sf_dir).groupBy("file_ord").agg(F.count(F.lit(1)).alias("n"))
     headers = spark.read.text(_fasta_files(spark, sf_dir)).filter(F.col("value").startswith(">"))
-    return rows.select(
+    words = docs(spark, sf_dir).select(F.explode(F.split("text", "[ \\t\\n\\r\\f]+")).alias("token"))
+    distinct = words.filter("token <> ''").distinct()
+    corpora = rows.select(
         F.concat(F.lit("rows of corpus "), F.col("file_ord").cast("string")).alias("what"), "n"
-    ).unionByName(headers.agg(F.count(F.lit(1)).alias("n")).select(F.lit("fasta headers").alias("what"), "n"))
+    )
+    counted = [
+        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+        for what, df in (("fasta headers", headers), ("distinct words", distinct))
+    ]
+    return corpora.unionByName(counted[0]).unionByName(counted[1])
 
 
 @query("batch_to_rows", """
