@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import urldefrag
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.functions.text import strip, url_fragment, url_path
+from strandmill.functions.text import strip
 from strandmill.session import pin_splits
 
 SPLIT = ["file_ord", "file_path", "block_start"]
@@ -75,9 +76,7 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def split_store_url(spark: SparkSession, url: str) -> tuple[str, str | None]:
-    """A store path and the id-list path of its optional ``#fragment``."""
-    row = spark.range(1).select(
-        url_path(F.lit(url)).alias("path"), url_fragment(F.lit(url)).alias("ids")
-    ).first()
-    return row["path"], row["ids"]
+def split_store_url(url: str) -> tuple[str, str | None]:
+    """A store location and the id-list path of its optional ``#fragment``."""
+    store, ids = urldefrag(url)
+    return store, ids or None

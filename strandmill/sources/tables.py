@@ -41,7 +41,7 @@ def read_table(
 
 def read_structures(spark: SparkSession, url: str) -> DataFrame:
     """Residues of a store, restricted by the id list its ``#fragment`` names."""
-    path, id_path = split_store_url(spark, url)
+    path, id_path = split_store_url(url)
     ids = read_id_list(spark, id_path) if id_path else None
     return restrict_to_ids(spark.read.parquet(path), ids).withColumn("dataset", F.lit(url))
 

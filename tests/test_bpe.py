@@ -78,6 +78,13 @@ def test_training_on_nothing(spark):
     assert model.tokens == list(SPECIAL_TOKENS) and model.merges == []
 
 
+def test_pair_counts(spark):
+    texts = ["a\U0001f600b", "aaaa", "aaaa", "x", ""]
+    counts = bpe.pair_counts(bpe.distinct_texts(corpus(spark, texts)))
+    assert dict(rows(counts)) == {"a\U0001f600": 1, "\U0001f600b": 1, "aa": 6}
+    assert bpe.top_pairs(counts, 1).first()["pair"] == "aa"
+
+
 def nested_model():
     """A product made by two merges, of which the later one enables an earlier merge."""
     merges = [("b", "c"), ("ab", "c"), ("a", "a"), ("abc", "a"), ("aa", "aa"), ("a", "b"), ("a", "bc")]

@@ -143,8 +143,11 @@ def test_csv_index(spark, write):
 def test_id_list_and_store_url(spark, write):
     path = write("ids.txt", "p1\n# no\np2\n\n")
     assert rows(lines.read_id_list(spark, path)) == [("p1",), ("p2",)]
-    assert lines.split_store_url(spark, f"/data/store#{path}") == ("/data/store", path)
-    assert lines.split_store_url(spark, "/data/store") == ("/data/store", None)
+    assert lines.split_store_url(f"hdfs://n/data/store#{path}") == ("hdfs://n/data/store", path)
+    assert lines.split_store_url("/data/store") == ("/data/store", None)
+    parts = spark.createDataFrame([("/data/store#ids",), ("/data/store",)], "u string").select(
+        T.url_path(F.col("u")), T.url_fragment(F.col("u")))
+    assert rows(parts) == [("/data/store", "ids"), ("/data/store", None)]
 
 
 def test_read_table_pushes_the_split_down(spark, tmp_path, capsys):
