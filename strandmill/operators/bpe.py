@@ -336,10 +336,10 @@ def tokenize(
     Special tokens stay whole and unknown characters become one unknown token each. The tables
     broadcast to the tasks grow with the vocabulary, not with the data.
     """
-    tables = df.sparkSession.sparkContext.broadcast(model.tables())
+    # Broadcast as plain fields: a broadcast object needs its class installed on the executors.
+    fields = df.sparkSession.sparkContext.broadcast(dict(vars(model.tables())))
 
-    def run(texts: list[str], keys: list[str]) -> list[pa.Array]:
-        t = tables.value
+    def run(texts: list[str], keys: list[str], t: EncoderTables) -> list[pa.Array]:
         if not dropout:
             ids, starts, ends, counts = encode(texts, t)
             return [_int_lists(counts, v) for v in (ids, starts, ends)]
@@ -351,11 +351,12 @@ def tokenize(
         ]
 
     def task(batches):
+        tables = EncoderTables(**fields.value)
         for batch in batches:
             texts = [x or "" for x in batch.column(text).to_pylist()]
             keys = batch.column(key).cast(pa.string()).to_pylist() if dropout else []
             for at, stop in _steps(texts):
-                lists = run(texts[at:stop], keys[at:stop])
+                lists = run(texts[at:stop], keys[at:stop], tables)
                 part = batch.slice(at, stop - at)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *lists], [*part.schema.names, "input_ids", "starts", "ends"]
