@@ -5,10 +5,10 @@ import os
 import pytest
 from oracle import connect, differences
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from strandmill.plans.catalog import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SQLS = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,9 +16,9 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    assert differences(spark, con, queries()[name], SQLS[name], SF_DIR) is None
+    assert differences(spark, con, QUERIES[name], ORACLES[name], SF_DIR) is None
 
 
 def test_entry(spark):
