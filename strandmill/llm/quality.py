@@ -28,7 +28,9 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
-MIN_SCORE = -0.25
+MIN_SCORE = -0.18
+#: Pseudo-counts that draw a bucket's ratio to 1 where there is little text.
+PRIOR = 3
 
 JUDGED = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -95,21 +97,21 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:
-    """Log of target over raw probability by bucket, as fixed-point integers.
+    """Log ratio by bucket of the target count to the one that the corpus lets expect.
 
-    The table has ``N_BUCKETS`` rows whatever the corpus. One is added to each count. Without
-    trusted text all ratios are 0.
+    ``PRIOR`` is added to both, so buckets with little text say little. The table has
+    ``N_BUCKETS`` rows whatever the corpus; ratios are fixed-point integers. Without trusted
+    text all ratios are 0.
     """
     raw, target = np.zeros((2, N_BUCKETS))
     for bucket, in_raw, in_target in counts.collect():
         raw[bucket], target[bucket] = in_raw, in_target
-    if not target.any():
-        return np.zeros(N_BUCKETS, np.int64)
-    out = []
+    ratios = np.zeros(N_BUCKETS)
     for part in (slice(0, N_BUCKETS // 2), slice(N_BUCKETS // 2, None)):
-        t, r = target[part] + 1, raw[part] + 1
-        out.append(np.log(t / t.sum()) - np.log(r / r.sum()))
-    return np.round(np.concatenate(out) * FIXED_POINT).astype(np.int64)
+        if target[part].any():
+            expected = raw[part] * (target[part].sum() / raw[part].sum())
+            ratios[part] = np.log((target[part] + PRIOR) / (expected + PRIOR))
+    return np.round(ratios * FIXED_POINT).astype(np.int64)
 
 
 def _repeat_words(words: tuple, width: int = 3) -> np.ndarray:
