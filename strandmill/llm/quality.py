@@ -86,8 +86,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ngram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """Rows (bucket, raw, target): counts over all documents, and over the trusted ones."""
+    # Always a merge join: labels grow with the documents, so their ids are never sent to all.
     flagged = (
-        docs.select("doc_id", "text").join(trusted.select("doc_id", "trusted"), "doc_id", "left")
+        docs.select("doc_id", "text")
+        .join(trusted.select("doc_id", "trusted").hint("merge"), "doc_id", "left")
         .select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     )
     return (
