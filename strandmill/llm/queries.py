@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import quality
+from strandmill.llm import (
+    jaccard, langid, linkgraph, preference, quality, substrings, token_files, warc, word_bpe,
+)
+from strandmill.llm.oracles import PAGE_RULES, WARC_SQL, preference_sql, url_filter_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +30,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return token_files.tokenizer_text(public_tokenizers.path(name))
+
+
+@query("op1_token_files")
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.token_file_digests(docs, tokenizer("byte_bpe_50k.json"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+@query("op4_word_bpe")
+def op4_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return word_bpe.encode_digests(docs, tokenizer("word_bpe_49k.json"))
+
+
+@query("op5_ngram_jaccard")
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_preference_pairs", preference_sql())
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preference.pairs_from_conversations(table(spark, sf_dir, "conversations"))
+    pairs = preference.preference_pairs(turns)
+    return preference.with_mask_text(pairs)
+
+
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op8_url_filters", url_filter_sql(PAGE_RULES))
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = linkgraph.judge_pages(table(spark, sf_dir, "pages"), PAGE_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_warc_revisits", WARC_SQL)
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolve_revisits(warc.records_from_pages(table(spark, sf_dir, "pages")))
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
