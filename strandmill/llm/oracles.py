@@ -174,3 +174,70 @@ SELECT id AS record_id, key AS canonical_url, outcome,
        CASE WHEN outcome = 'resolved' THEN f.digest END AS payload_digest
 FROM judged
 """
+
+# ------------------------------------------------------------------------ shingles
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+')"
+
+
+_GRAMS = """CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END"""
+
+LEAKS_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_no, doc_id, {_GRAMS} AS g
+  FROM (SELECT doc_id, {_words('text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+  WHERE len(w) > 0
+), items AS (
+  SELECT item_id, g, len(g) AS size FROM (SELECT DISTINCT item_id, {_GRAMS} AS g
+  FROM (SELECT item_id, {_words('text')} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)
+  WHERE len(w) > 0)
+), item_grams AS (
+  SELECT item_id, g, size, gram, count(*) AS theirs
+  FROM (SELECT item_id, g, size, unnest(g) AS gram FROM items) GROUP BY ALL
+), hits AS MATERIALIZED (
+  SELECT row_no, doc_id, n, at, gram FROM (
+    SELECT row_no, doc_id, len(g) AS n, unnest(g) AS gram, generate_subscripts(g, 1) - 1 AS at FROM docs)
+  WHERE gram IN (SELECT gram FROM item_grams)
+), windows AS (
+  SELECT DISTINCT row_no, doc_id, n, size, least(at, greatest(n - size, 0)) AS start
+  FROM hits JOIN (SELECT DISTINCT gram, size FROM item_grams) USING (gram)
+), counted AS (
+  SELECT w.row_no, w.doc_id, w.n, w.size, w.start, i.item_id, i.g, i.theirs, h.gram, count(*) AS ours
+  FROM windows w JOIN hits h ON h.row_no = w.row_no AND h.at >= w.start AND h.at < w.start + w.size
+  JOIN item_grams i ON i.size = w.size AND i.gram = h.gram GROUP BY ALL
+), shared AS (
+  SELECT row_no, doc_id, size, start, item_id, least(n, size) + size AS both, sum(least(ours, theirs)) AS shared
+  FROM counted GROUP BY row_no, doc_id, n, size, start, item_id, g
+), near AS (
+  SELECT *, shared / (both - shared) AS similarity FROM shared WHERE 100 * shared >= 80 * (both - shared)
+)
+SELECT doc_id, item_id, round(max(similarity), 9) AS similarity, count(DISTINCT (size, start)) AS n_windows,
+       CAST(min(start) FILTER (similarity = top) AS INTEGER) AS start
+FROM (SELECT *, max(similarity) OVER (PARTITION BY doc_id, item_id) AS top FROM near)
+GROUP BY doc_id, item_id
+"""
+
+LINKS_SQL = f"""
+WITH RECURSIVE sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct({_GRAMS}) END AS s
+  FROM (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE {_words('text')} END AS w FROM documents)
+), grams AS MATERIALIZED (
+  SELECT doc_id, len(s) AS n, hash(gram) AS gram FROM (SELECT doc_id, s, unnest(s) AS gram FROM sets)
+), links AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, x.n AS n, y.n AS m, count(*) AS shared
+    FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id
+    WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY ALL)
+  WHERE 100 * shared >= 80 * (n + m - shared)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, coalesce(k.n_links, 0) AS n_links
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1) c USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY 1) k USING (doc_id)
+"""

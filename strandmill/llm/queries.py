@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandmill.llm import (
-    jaccard, langid, linkgraph, preference, quality, substrings, token_files, warc, word_bpe,
+    decontaminate, jaccard, langid, linkgraph, preference, quality, substrings, token_files, warc, word_bpe,
 )
-from strandmill.llm.oracles import PAGE_RULES, WARC_SQL, preference_sql, url_filter_sql
+from strandmill.llm.oracles import LEAKS_SQL, LINKS_SQL, PAGE_RULES, WARC_SQL, preference_sql, url_filter_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +43,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(docs, tokenizer("byte_bpe_50k.json"))
 
 
+@query("op2_decontamination", LEAKS_SQL)
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.withColumn("similarity", F.round("similarity", 9))
+
+
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -54,7 +63,7 @@ def op4_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_digests(docs, tokenizer("word_bpe_49k.json"))
 
 
-@query("op5_ngram_jaccard")
+@query("op5_ngram_jaccard", LINKS_SQL)
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_documents(table(spark, sf_dir, "documents"))
 

@@ -25,6 +25,27 @@ from strandmill.llm.text_arrays import column_texts, encoded_lists, gather_runs,
 
 #: White space other than ASCII's, which parts words too.
 OTHER_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Below this character all versions of Unicode since 6.0 agree.
+LATER = "\u0530"
+#: Letters and digits of Unicode 16 that Python's tables (15.1) lack.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65),
+    (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1),
+    (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D),
+    (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_DIGITS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139),
+    (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
+)
+#: Capitals that Python's tables lack, as ranges with the step to the small letter.
+NEW_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1),
+    (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC),
+    (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+LOWER_NEW = {c: c + step for first, last, step in NEW_CAPITALS for c in range(first, last + 1)}
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -35,6 +56,19 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def character_class(kind: str, added: tuple[tuple[int, int], ...]) -> str:
+    """The letters (``L``) or digits (``N``) of Unicode 16, as ranges for a set in a pattern."""
+    has = np.fromiter(
+        (unicodedata.category(chr(c))[0] == kind for c in range(0x110000)), bool, 0x110000
+    )
+    for first, last in added:
+        has[first:last + 1] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], has, [False]]).astype(np.int8)))
+    return "".join(
+        f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())
+    )
+
+
 class WordBpe:
     """A vocabulary, its merges and its pre-tokenizer, as read from a tokenizer file."""
 
@@ -44,7 +78,9 @@ class WordBpe:
         self.end = model["end_of_word_suffix"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(f"{pattern}|\n").findall
+        self.pattern = f"{pattern}|\n"
+        self.words = regex.compile(self.pattern).findall
+        self.any_words = None
         size = 1 + max([*vocab.values(), *self.added.values()])
         self.size = np.int64(size)
         self.tokens = [""] * size
@@ -111,14 +147,23 @@ class WordBpe:
     def _normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         # Each character by itself: no final form of sigma.
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        return text if max(text, default="") < LATER else text.translate(LOWER_NEW)
+
+    def _words_of(self, text: str) -> list[str]:
+        if max(text, default="") < LATER:
+            return self.words(text)
+        if self.any_words is None:
+            pattern = self.pattern.replace(r"\p{L}", character_class("L", NEW_LETTERS))
+            pattern = pattern.replace(r"\p{N}", character_class("N", NEW_DIGITS))
+            self.any_words = regex.compile(pattern).findall
+        return self.any_words(text)
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces without white space; an added token's text is that token."""
         whole = {i: self.added[p] for i, p in enumerate(pieces) if p in self.added}
         text = self._normal("\n".join("" if i in whole else p for i, p in enumerate(pieces)))
-        lists = pa.array(self.words(text))
-        encoded = lists.dictionary_encode()
+        encoded = pa.array(self._words_of(text), pa.string()).dictionary_encode()
         numbers, distinct = encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary.to_pylist()
         breaks = numbers == (distinct.index("\n") if "\n" in distinct else -1)
         owner = np.cumsum(breaks)[~breaks]
