@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import quality
+from strandmill.llm import decontaminate, jaccard, quality, substrings, word_bpe
+from strandmill.llm.queries import tokenizer
 from strandmill.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,8 +22,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, quality.log_ratios(quality.ngram_counts(docs, trusted)))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return jaccard.keep_first(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with repeated passages cut out, but where they occur first."""
+    return substrings.without_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, and digests of the ids and of their decoding."""
+    return word_bpe.encode_digests(docs, tokenizer("word_bpe_49k.json"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_copies", near_copies),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("tokenization", tokenization),
 ]
 
 #: SQL expresses neither hashed ratios nor rolling hashes; tests compare with plain Python.
