@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.store import semi_join, stored
+from strandmill.llm.store import how_to_send, semi_join, stored
 
 WIDTH = 5
 SPACES = " \t\n\x0b\x0c\r"
@@ -93,11 +93,10 @@ def item_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     wanted = items.select(F.explode("grams").alias("gram"), F.size("grams").alias("size")).distinct()
     wanted = stored(wanted, "item-shingles")
-    hint = "broadcast" if wanted.count() <= SENT_SHINGLES else "merge"
     places = with_shingles(docs, "doc_id").select("doc_id", "grams", F.posexplode("grams").alias("at", "gram"))
     start = F.least("at", F.greatest(F.size("grams") - F.col("size"), F.lit(0)))
     cut = (
-        places.join(wanted.hint(hint), "gram")
+        places.join(wanted.hint(how_to_send(wanted, SENT_SHINGLES)), "gram")
         .select("doc_id", "size", start.alias("start"), F.slice("grams", start + 1, F.col("size")).alias("grams"))
     )
     return cut.select(

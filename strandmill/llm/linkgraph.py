@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.store import stored
+from strandmill.llm.store import how_to_send, stored
 
 URL_PARTS = r"://([^/?#]*)([^?#]*)"
 LINKS = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
@@ -21,6 +21,8 @@ DAMPING = 0.85
 ROUNDS = 30
 TOLERANCE = 1e-9
 MAX_DISTRUST = 0.5
+#: Rows of a table of hosts that are sent to all tasks at most; a larger one is shuffled.
+SENT_HOSTS = 500_000
 
 #: A rule is (verdict, host and path), such as ``("block", "example.org/es/")``.
 Rule = tuple[str, str]
@@ -72,8 +74,9 @@ def fitting_rules(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         none = F.lit(None).cast("string")
         return parts.select("*", none.alias("rule"), none.alias("ruled"))
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["prefix"])))
+    of_host = stored(host_rules(parts, rules), "host-rules")
     return (
-        parts.join(host_rules(parts, rules), "host", "left").withColumn("best", best)
+        parts.join(of_host.hint(how_to_send(of_host, SENT_HOSTS)), "host", "left").withColumn("best", best)
         .select(
             "page_id", "host", "path", F.col("best.rule").alias("rule"),
             F.when(F.col("best.blocks"), "block").when(~F.col("best.blocks"), "allow").alias("ruled"),
@@ -161,11 +164,11 @@ def judge_pages(
     seeds = judged.where("host <> '' and ruled is not null").groupBy("host").agg(
         count("allow").alias("allowed"), count("block").alias("blocked")
     )
-    scores = propagate(host_links(pages), seeds)
+    scores = stored(propagate(host_links(pages), seeds), "host-verdicts")
     both = F.col("trust") + F.col("distrust")
     blocked = F.round(F.col("distrust") / both, 9) > max_distrust
     by_method = F.when(blocked, "block").otherwise("allow")
-    return judged.join(scores, "host", "left").select(
+    return judged.join(scores.hint(how_to_send(scores, SENT_HOSTS)), "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"),
         F.coalesce("distrust", F.lit(0.0)).alias("distrust"),

@@ -30,5 +30,9 @@ def semi_join(
     Ids are counted first. Few enough are sent to all tasks and the rows stay where they are;
     more are joined by a shuffle of both sides.
     """
-    hint = "broadcast" if ids.count() <= sent_ids else "merge"
-    return df.join(ids.hint(hint), key, how)
+    return df.join(ids.hint(how_to_send(ids, sent_ids)), key, how)
+
+
+def how_to_send(table: DataFrame, rows: int = SENT_IDS) -> str:
+    """The hint for a stored table in a join: broadcast up to so many rows, a shuffle beyond."""
+    return "broadcast" if table.count() <= rows else "merge"
