@@ -11,6 +11,8 @@ of DataFrames.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,9 @@ RADIUS = 19
 SENT_SHINGLES = 1_000_000
 
 
-def word_array(text: Column) -> Column:
-    """Words between ASCII white space, A-Z as a-z; null for texts without any."""
-    bare = F.translate(F.btrim(text, F.lit(SPACES)), UPPER, LOWER)
-    return F.when(bare != "", F.split(bare, r"[\x20\x09-\x0D]+"))
+def plain_text(text: Column) -> Column:
+    """The text with A-Z as a-z and no ASCII white space around it."""
+    return F.translate(F.btrim(text, F.lit(SPACES)), UPPER, LOWER)
 
 
 def shingle_array(words: str) -> Column:
@@ -45,10 +46,12 @@ def shingle_array(words: str) -> Column:
 
 def with_shingles(texts: DataFrame, key: str) -> DataFrame:
     """Rows (key, grams) of the texts that have words and whose key is not null."""
-    words = texts.select(F.col(key).cast("long"), word_array(F.col("text")).alias("words"))
-    return words.where(f"{key} is not null and words is not null").select(
-        key, shingle_array("words").alias("grams")
+    plain = plain_text(F.col("text"))
+    words = (
+        texts.select(F.col(key).cast("long"), "text").where(F.col(key).isNotNull() & (plain != ""))
+        .select(key, F.split(plain, r"[\x20\x09-\x0D]+").alias("words"))
     )
+    return words.select(key, shingle_array("words").alias("grams"))
 
 
 def fingerprint(grams: Column) -> Column:
@@ -78,13 +81,15 @@ def _blocks(print_: Column, flips: bool) -> Column:
             F.expr(f"filter(sequence(0L, {(1 << width) - 1}L), m -> bit_count(m) <= {reach})")
             if flips else F.array(F.lit(0).cast("long"))
         )
-        parts.append(F.transform(masks, lambda m, b=block, v=value: F.struct(
-            F.lit(b).alias("block"), v.bitwiseXOR(m).alias("value")
-        )))
+        parts.append(F.transform(masks, _filed(F.lit(block), value)))
         shift += width
     return F.inline(F.concat(*parts))
 
 
+def _filed(block: Column, value: Column) -> Callable[[Column], Column]:
+    return lambda mask: F.struct(block.alias("block"), value.bitwiseXOR(mask).alias("value"))
+
+
 def item_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows (doc_id, size, start, w1, w2, grams): windows that begin with a shingle of an item.
 
@@ -93,7 +98,10 @@ def item_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     wanted = items.select(F.explode("grams").alias("gram"), F.size("grams").alias("size")).distinct()
     wanted = stored(wanted, "item-shingles")
-    places = with_shingles(docs, "doc_id").select("doc_id", "grams", F.posexplode("grams").alias("at", "gram"))
+    # An outer one, as no filter is then derived from it that would hash all shingles once more.
+    places = with_shingles(docs, "doc_id").select(
+        "doc_id", "grams", F.posexplode_outer("grams").alias("at", "gram")
+    )
     start = F.least("at", F.greatest(F.size("grams") - F.col("size"), F.lit(0)))
     cut = (
         places.join(wanted.hint(how_to_send(wanted, SENT_SHINGLES)), "gram")

@@ -200,21 +200,21 @@ WITH docs AS (
   SELECT item_id, g, size, gram, count(*) AS theirs
   FROM (SELECT item_id, g, size, unnest(g) AS gram FROM items) GROUP BY ALL
 ), hits AS MATERIALIZED (
-  SELECT row_no, doc_id, n, at, gram FROM (
-    SELECT row_no, doc_id, len(g) AS n, unnest(g) AS gram, generate_subscripts(g, 1) - 1 AS at FROM docs)
+  SELECT row_no, doc_id, n, pos, gram FROM (
+    SELECT row_no, doc_id, len(g) AS n, unnest(g) AS gram, generate_subscripts(g, 1) - 1 AS pos FROM docs)
   WHERE gram IN (SELECT gram FROM item_grams)
 ), windows AS (
-  SELECT DISTINCT row_no, doc_id, n, size, least(at, greatest(n - size, 0)) AS start
+  SELECT DISTINCT row_no, doc_id, n, size, least(pos, greatest(n - size, 0)) AS start
   FROM hits JOIN (SELECT DISTINCT gram, size FROM item_grams) USING (gram)
 ), counted AS (
   SELECT w.row_no, w.doc_id, w.n, w.size, w.start, i.item_id, i.g, i.theirs, h.gram, count(*) AS ours
-  FROM windows w JOIN hits h ON h.row_no = w.row_no AND h.at >= w.start AND h.at < w.start + w.size
+  FROM windows w JOIN hits h ON h.row_no = w.row_no AND h.pos >= w.start AND h.pos < w.start + w.size
   JOIN item_grams i ON i.size = w.size AND i.gram = h.gram GROUP BY ALL
 ), shared AS (
-  SELECT row_no, doc_id, size, start, item_id, least(n, size) + size AS both, sum(least(ours, theirs)) AS shared
+  SELECT row_no, doc_id, size, start, item_id, least(n, size) + size AS total, sum(least(ours, theirs)) AS shared
   FROM counted GROUP BY row_no, doc_id, n, size, start, item_id, g
 ), near AS (
-  SELECT *, shared / (both - shared) AS similarity FROM shared WHERE 100 * shared >= 80 * (both - shared)
+  SELECT *, shared / (total - shared) AS similarity FROM shared WHERE 100 * shared >= 80 * (total - shared)
 )
 SELECT doc_id, item_id, round(max(similarity), 9) AS similarity, count(DISTINCT (size, start)) AS n_windows,
        CAST(min(start) FILTER (similarity = top) AS INTEGER) AS start
