@@ -183,6 +183,8 @@ def _open(queries: pa.Table, members: pa.Table) -> pa.Table:
     Gives each key the least key that it reaches by links found here, and the number of documents
     behind these links.
     """
+    if not queries.num_rows or not members.num_rows:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("key", "label", "links")})
     key, other = (t.column("key").to_numpy() for t in (queries, members))
     copies, others = (t.column("copies").to_numpy() for t in (queries, members))
     own = queries.column("own").to_numpy().astype(bool)

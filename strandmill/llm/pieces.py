@@ -13,7 +13,7 @@ EncodePieces = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 class PieceCache:
     """Remembers the ids of up to ``limit`` pieces; a fuller cache is started anew."""
 
-    def __init__(self, encode: EncodePieces, limit: int = 300_000):
+    def __init__(self, encode: EncodePieces, limit: int):
         self.encode, self.limit = encode, limit
         self._clear()
 

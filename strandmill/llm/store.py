@@ -23,16 +23,16 @@ SENT_IDS = 2_000_000
 
 def semi_join(
     df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi",
-    sent_ids: int = SENT_IDS,
+    sent_ids: int | None = None,
 ) -> DataFrame:
     """Rows of ``df`` whose key is in the stored table ``ids`` (or is not: ``left_anti``).
 
     Ids are counted first. Few enough are sent to all tasks and the rows stay where they are;
     more are joined by a shuffle of both sides.
     """
-    return df.join(ids.hint(how_to_send(ids, sent_ids)), key, how)
+    return df.join(ids.hint(how_to_send(ids, SENT_IDS if sent_ids is None else sent_ids)), key, how)
 
 
-def how_to_send(table: DataFrame, rows: int = SENT_IDS) -> str:
+def how_to_send(table: DataFrame, rows: int) -> str:
     """The hint for a stored table in a join: broadcast up to so many rows, a shuffle beyond."""
     return "broadcast" if table.count() <= rows else "merge"

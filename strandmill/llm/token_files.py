@@ -27,14 +27,16 @@ from strandmill.llm.text_arrays import column_texts, encoded_lists, gather_runs,
 from strandmill.session import fresh_path
 
 END_ID = 0
-#: A text is cut before spaces and line feeds that follow a character of no other kind of white
-#: space, where byte-level pre-tokenizers always cut. Other texts are encoded in one go.
+#: A text is cut before single spaces and line feeds, and between a letter and a mark, where
+#: byte-level pre-tokenizers always cut. Texts with other white space are encoded in one go.
+LETTER_THEN_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([,.!?:;$#%*&)|])"
 WHOLE_ONLY = (
     r"[\x00-\x08\t\x0b-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}"
     r"\x{205f}-\x{2064}\x{3000}\x{feff}]|[ \n][ \n]|^[ \n]|[ \n]$"
 )
 MARK = "\x01"
 JOINED_PIECES = 2000
+CACHED_PIECES = 500_000
 
 
 class ByteEncoder:
@@ -51,7 +53,7 @@ class ByteEncoder:
         self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, number in spec["model"]["vocab"].items():
             self.widths[number] = len(token)  # one character per byte
-        self.cache = PieceCache(self._encode_pieces)
+        self.cache = PieceCache(self._encode_pieces, CACHED_PIECES)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -87,6 +89,7 @@ class ByteEncoder:
             whole = pc.or_(whole, pc.match_substring(texts, token))
         whole = whole.to_numpy(zero_copy_only=False)
         marked = pc.if_else(pa.array(whole), "", texts)
+        marked = pc.replace_substring_regex(marked, LETTER_THEN_MARK, rf"\1{MARK}\2")
         for blank in " \n":
             marked = pc.replace_substring(marked, blank, MARK + blank)
         ids, distinct, offsets = encoded_lists(pc.split_pattern(marked, MARK))

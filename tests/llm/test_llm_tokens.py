@@ -1,0 +1,145 @@
+"""Token files and word BPE against the tokenizers library."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from helpers import docs_of
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from strandmill.llm import token_files, word_bpe
+from strandmill.llm.pieces import PieceCache
+
+BYTES = token_files.tokenizer_text(public_tokenizers.path("byte_bpe_50k.json"))
+WORDS = token_files.tokenizer_text(public_tokenizers.path("word_bpe_49k.json"))
+
+ODD = [
+    "", " ", "a", "\n\n", "Hello  World\t\n x ", "it's I'LL we'd 'tis don’t", "  lead", "trail  ",
+    "a<|endoftext|>b <|startoftext|><|endoftext|>", "<|endoftext|", "ÀÉ ẞ ſ ǅ İstanbul ΣΑΣ σς",
+    "é ñ ̈́", "１２３ ½ Ⅷ ² ٣", "日本語 テスト 한국어", "👩‍👩‍👧 🇩🇪",
+    "a b c　d\u0085e f", "\x00\x01\x1c\x1d x\x1fy ​ ﻿ z", "x" * 5000,
+    "aaaa " * 400, "Ᲊ Ɤ \U00010d50 \U00013460", "tab\tsep\r\nlines\r\n", "ﬁ Ω Å",
+]
+
+
+def texts():
+    rng = random.Random(4)
+    mixed = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x3000), 32, 10]))
+                     for _ in range(60)) for _ in range(150)]
+    return ODD + mixed
+
+
+def library_ids(spec, given_texts):
+    lib = Tokenizer.from_str(spec)
+    return [e.ids for e in lib.encode_batch(given_texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("make, spec", [(token_files.ByteEncoder, BYTES), (word_bpe.WordBpe, WORDS)])
+def test_encoders_equal_the_library(make, spec):
+    encoder, given_texts = make(spec), texts()
+    for again in range(2):  # the second time from the cache
+        flat, lengths = encoder.encode(pa.array(given_texts))
+        got = [p.tolist() for p in np.split(flat, np.cumsum(lengths)[:-1])]
+        assert got == library_ids(spec, given_texts)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(max_size=30), min_size=1, max_size=6))
+def test_encoders_on_any_text(given_texts):
+    for encoder, spec in ((token_files.byte_encoder(BYTES), BYTES), (word_bpe.word_bpe(WORDS), WORDS)):
+        flat, lengths = encoder.encode(pa.array(given_texts))
+        got = [p.tolist() for p in np.split(flat, np.cumsum(lengths)[:-1])]
+        assert got == library_ids(spec, given_texts)
+
+
+def test_small_caches_change_nothing():
+    bpe = word_bpe.WordBpe(WORDS)
+    bpe.word_cache, bpe.piece_cache = PieceCache(bpe.encode_words, 7), PieceCache(bpe._encode_pieces, 5)
+    given_texts = texts()
+    for start in range(0, len(given_texts), 10):
+        part = given_texts[start:start + 10]
+        flat, lengths = bpe.encode(pa.array(part))
+        assert [p.tolist() for p in np.split(flat, np.cumsum(lengths)[:-1])] == library_ids(WORDS, part)
+
+
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=20), min_size=1, max_size=8))
+def test_coding_round_trip(rows):
+    lengths = np.array([len(r) for r in rows])
+    flat = np.array([v for r in rows for v in r], np.uint32)
+    control, n_control, data, n_data = token_files.encode_ranks(flat, lengths)
+    assert n_control.tolist() == [(n + 3) // 4 for n in lengths] and n_data.sum() == len(data)
+    assert token_files.decode_ranks(control, data, lengths).tolist() == flat.tolist()
+
+
+def test_control_bytes_name_widths():
+    control, _, data, _ = token_files.encode_ranks(np.array([5, 256, 65536, 1 << 24, 255]), np.array([5]))
+    assert control.tolist() == [0b11100100, 0]
+    assert data.tolist() == [5, 0, 1, 0, 0, 1, 0, 0, 0, 1, 255]
+
+
+def test_token_files(spark, tmp_path):
+    rows = [(i * 7 % 101, t) for i, t in enumerate(texts()[:80])] + [(500, None), (3, "again"), (None, "no id")]
+    docs = docs_of(spark, rows, clash=True)
+    token_files.write_token_files(docs, BYTES, str(tmp_path / "files"))
+    got = token_files.read_token_files(spark, str(tmp_path / "files")).collect()
+    by_text = dict(zip(ODD + texts(), library_ids(BYTES, ODD + texts())))
+    by_text |= {None: [], "again": library_ids(BYTES, ["again"])[0], "no id": library_ids(BYTES, ["no id"])[0]}
+    want = sorted((repr(i), tuple([*by_text[t], 0])) for i, t in rows)
+    ids = {id(r): tuple(np.frombuffer(r.ids, "<u4").tolist()) for r in got}
+    assert sorted((repr(r.doc_id), ids[id(r)]) for r in got) == want
+    assert all(r.n_tokens == len(ids[id(r)]) for r in got)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    in_order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert in_order == [None] + sorted(d for d in in_order if d is not None)
+    shards = spark.read.parquet(str(tmp_path / "files" / "files"))
+    firsts = {}
+    for r in shards.collect():
+        firsts.setdefault(r.shard, []).append(r.doc_id if r.doc_id is not None else -1)
+    spans = sorted((s, min(v), max(v)) for s, v in firsts.items())
+    assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+    digests = {r.start: r for r in token_files.token_file_digests(docs, BYTES).collect()}
+    assert {s: d.ids_crc32 for s, d in digests.items()} == {r.start: zlib.crc32(bytes(r.ids)) for r in got}
+
+
+def test_frequent_tokens_take_one_byte(spark, tmp_path):
+    token_files.write_token_files(docs_of(spark, ["the " * 500, "rare zyx"]), BYTES, str(tmp_path / "f"))
+    ranks = {r["rank"]: r["token"] for r in spark.read.parquet(str(tmp_path / "f" / "ranks")).collect()}
+    assert ranks[0] == library_ids(BYTES, ["x the"])[0][1]
+    row = max(spark.read.parquet(str(tmp_path / "f" / "files")).collect(), key=lambda r: r.n_tokens)
+    assert len(row.data) == row.n_tokens
+
+
+def test_no_documents(spark):
+    none = docs_of(spark, [])
+    assert token_files.token_file_digests(none, BYTES).count() == 0
+    assert word_bpe.encode_digests(none, WORDS).count() == 0
+
+
+def test_word_bpe_digests(spark):
+    rows = list(enumerate(ODD)) + [(900, None), (3, ODD[3]), (None, "no id")]
+    lib = Tokenizer.from_str(WORDS)
+    want = []
+    for i, t in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        decoded = lib.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                     hashlib.sha256(decoded.encode()).hexdigest()))
+    got = word_bpe.encode_digests(docs_of(spark, rows, clash=True), WORDS).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_encode_then_decode(spark):
+    rows = word_bpe.encode_texts(docs_of(spark, ODD), WORDS)
+    lib = Tokenizer.from_str(WORDS)
+    got = {r.doc_id: r.text for r in word_bpe.decode_ids(rows, WORDS).collect()}
+    assert got == {i: lib.decode(lib.encode(t, add_special_tokens=False).ids, skip_special_tokens=False)
+                   for i, t in enumerate(ODD)}
