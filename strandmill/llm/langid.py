@@ -92,8 +92,9 @@ def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         total = total[:count] * np.uint32(0x01000193) + codes[order - 1:] + np.uint32(order)
         if order > 2:
             inner = inner[:count] & letter[order - 2:order - 2 + count]
-        ends = letter[:count] | letter[order - 1:]
-        ok = inner[:count] & ends
+        ok = inner[:count]
+        if order <= 2:
+            ok = ok & (letter[:count] | letter[order - 1:])
         hashed = (total ^ (total >> np.uint32(15))) * np.uint32(0x9E3779B1)
         found.append((hashed[ok] >> np.uint32(32 - FEATURE_BITS)).astype(np.int64))
         found_rows.append(rows[:count][ok])
