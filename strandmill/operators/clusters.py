@@ -8,6 +8,8 @@ the order of clusters. No step collects the members of a cluster.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,12 +131,12 @@ def balanced_sample(
 def unclustered_rows(
     dataset: DataFrame, members: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Dataset rows that no cluster holds, and so are never drawn."""
-    held = members.filter(F.col("member_id").isNotNull()).select(
-        F.col("member_id").alias("id")
+    """Dataset rows that are never drawn: no cluster holds them, or a later row has their id."""
+    drawn = _matched(members, dataset, hot_rows).filter("row_ord IS NOT NULL").select(
+        F.col("member_id").alias("id"), "row_ord"
     ).distinct()
     rows = dataset.withColumn("id", F.col("id").cast("string"))
-    return lookup_join(rows, held, ["id"], "left_anti", ["id", "row_ord"], hot_rows)
+    return rows.join(drawn, ["id", "row_ord"], "left_anti")
 
 
 def weighted_sample(
@@ -146,11 +148,22 @@ def weighted_sample(
     cut into equal cells of the axis; within a cell one sort places every draw right behind
     the start of the interval that holds it. Points are uniform on the axis and weights lie in
     [1 / (1 + ln n), 1], so cells are alike in size by construction.
+
+    Weights are counted in parts of a power of ten, so that the largest has six digits at least.
+    A weight above zero that still comes to nothing is an error, not a row left out.
     """
     spark = weights.sparkSession
-    rows = weights.filter(F.col(weight) > 0).select(
+    above = weights.filter(F.col(weight) > 0)
+    largest = above.agg(F.max(weight)).first()[0]
+    if largest is None:
+        raise ValueError("no row has a weight above zero")
+    unit = float(WEIGHT_UNIT * 10 ** max(0, math.ceil(-math.log10(largest))))
+    parts = F.round(F.col(weight) * unit).cast("bigint")
+    rows = above.select(
         key,
-        F.round(F.col(weight) * WEIGHT_UNIT).cast("bigint").alias("_w"),
+        F.when(parts > 0, parts).otherwise(
+            F.raise_error(F.lit("a weight is less than a millionth of the largest")).cast("bigint")
+        ).alias("_w"),
         F.conv(F.substring(F.md5(F.col(key)), 1, BUCKET_DIGITS), 16, 10)
         .cast("int").alias("_bucket"),
     )
@@ -158,8 +171,6 @@ def weighted_sample(
         F.sum("_w").alias("_total"), F.count(F.lit(1)).alias("_rows")
     )
     summary = totals.agg(F.sum("_total"), F.sum("_rows")).first()
-    if not summary[0]:
-        raise ValueError("no row has a weight above zero")
     axis, n_rows = int(summary[0]), int(summary[1])
     width = max(1, -(-axis * ROWS_PER_CELL // n_rows))
 

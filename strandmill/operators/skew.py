@@ -10,9 +10,9 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 # A key is hot from this many rows on, and is cut into slices of about this size.
 HOT_ROWS = 1_000_000
-# Bound on the list of hot keys, which goes through the driver and is broadcast. Keys beyond it
-# take the plain shuffle path, like all cold keys.
-HOT_KEYS = 4096
+# A hot key also holds at least this part of the rows. So there are at most twice as many hot keys,
+# and their list, which goes through the driver and is broadcast, is never cut.
+HOT_PART = 4096
 # A hot key shows up at least about this often in the sample it is looked for in.
 SAMPLED_ROWS = 1000
 # Rows without a key match nothing; they are spread over this many slices.
@@ -20,7 +20,7 @@ NULL_SLICES = 1024
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[Row]:
-    """The largest hot keys of ``df`` with their number of slices; usually an empty list.
+    """The hot keys of ``df`` with their number of slices; usually an empty list.
 
     Counted on a sample, so that distinct keys are not shuffled in full. A key judged wrongly
     costs time, never rows.
@@ -29,10 +29,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> li
     rows = df.select(*keys)
     if fraction < 1.0:
         rows = rows.sample(fraction, seed=1)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.col("_n") >= max(1.0, hot_rows * fraction / 2)
+    )
+    if counts.isEmpty():
+        return []
+    sampled = rows.count()
     return (
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= max(1.0, hot_rows * fraction / 2))
-        .orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
+        counts.filter(F.col("_n") >= sampled / (2 * HOT_PART))
+        .orderBy(F.desc("_n"), *keys)
         .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows * fraction)).cast("int").alias("_slices"))
         .collect()
     )

@@ -117,13 +117,15 @@ def cluster_weights(spark, sf_dir):
 
 
 @query("unclustered_rows", f"""
-    SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS row_ord FROM orders
-    WHERE o_totalprice <= {HIGH_PRICE}
+    SELECT CAST(l_orderkey AS VARCHAR) AS id, l_linenumber AS row_ord FROM lineitem
+    LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS top FROM lineitem GROUP BY 1) t USING (l_orderkey)
+    LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_totalprice > {HIGH_PRICE}) o ON o_orderkey = l_orderkey
+    WHERE o_orderkey IS NULL OR l_linenumber < top
 """)
 def unclustered_rows(spark, sf_dir):
-    """All orders against the second cluster source alone."""
-    rows = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").alias("row_ord")
+    """Order lines, several to an id, against the second cluster source alone."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("id"), F.col("l_linenumber").alias("row_ord")
     )
     return C.unclustered_rows(rows, _members(spark, sf_dir).filter("source = 1"))
 

@@ -114,29 +114,26 @@ def csv_index(spark, sf_dir):
         table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars", "lang")
         .write.partitionBy("lang").option("header", True).csv(path)
     )
-    return read_csv_index(spark, [path]).select(
-        F.col("id").cast("bigint").alias("id"), "source",
-        F.col("n_chars").cast("bigint").alias("n_chars"),
+    schema = "id bigint, source string, n_chars bigint"
+    return read_csv_index(spark, [path], schema).select(
+        "id", "source", "n_chars",
         F.regexp_extract("dataset", "lang=([^/]+)", 1).alias("dataset"),
     )
 
 
-# The language each table split is read by.
-LANGUAGES = ("de", "en", "es", "fr")
-
-
 @query("table_source", """
     SELECT CAST(doc_id AS VARCHAR) AS id, text, CASE WHEN lang = 'en' THEN 'train' ELSE 'eval' END AS split
     FROM documents
 """)
 def table_source(spark, sf_dir):
-    path = f"{sf_dir}/documents.parquet"
-    parts = {
-        lang: read_table(spark, path, lang, id_column="doc_id", split_column="lang")
-        for lang in LANGUAGES
-    }
-    train = parts.pop("en")
-    evaluation = corpus_union(list(parts.values())).drop("file_ord")
+    """English documents for training and all others, whatever their language, for evaluation."""
+    path = fresh_path(spark, "splits")
+    split = F.when(F.col("lang") == "en", "train").otherwise("eval")
+    (
+        table(spark, sf_dir, "documents").select("doc_id", "text", split.alias("split"))
+        .write.partitionBy("split").parquet(path)
+    )
+    train, evaluation = (read_table(spark, path, s, id_column="doc_id") for s in ("train", "eval"))
     return tagged_splits(train, evaluation)
 
 

@@ -61,13 +61,11 @@ def defim_strip_query(spark, sf_dir):
 
 
 @query("clean_decoded", f"""
-    SELECT id, replace(text, ' ', '') || '<fim_middle>' AS text FROM ({DOCS_SQL})
+    SELECT id, replace(text, ' ', '') || '[UNK]<fim_middle>' AS text FROM ({DOCS_SQL})
 """)
 def clean_decoded_query(spark, sf_dir):
     decoded = F.concat(
         F.lit("[BOS] "), "text", F.lit("[UN[UNK]K] <fim_middle> [EOS]"), F.repeat(F.lit("[PAD]"), F.lit(3))
     )
-    # One removal does not open the next of the same token; the split unknown stays behind.
-    return docs(spark, sf_dir).select("id", F.replace(
-        clean_decoded(decoded), F.lit("[UNK]"), F.lit("")
-    ).alias("text"))
+    # One removal does not open the next of the same token: the split unknown stays behind.
+    return docs(spark, sf_dir).select("id", clean_decoded(decoded).alias("text"))

@@ -37,7 +37,12 @@ def build_cluster_store(
     spark: SparkSession, mapping: str, out: str, id_type: str = "UniRef50",
     key_format: str | None = None, strict: bool = True,
 ) -> int:
-    """ID-mapping file to cluster store; returns the number of clusters."""
-    triples = read_idmapping(spark, mapping, strict)
+    """ID-mapping file to cluster store; returns the number of clusters.
+
+    With ``strict=False`` malformed lines are written to ``<out>.rejects``.
+    """
+    triples, rejects = read_idmapping(spark, mapping, strict)
+    if not strict:
+        rejects.write.text(f"{out}.rejects")
     write_cluster_store(idmapping_filter(triples, id_type, key_format), out)
     return spark.read.parquet(out).select("cluster_id").distinct().count()

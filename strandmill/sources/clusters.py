@@ -58,20 +58,27 @@ def parse_idmapping(lines: DataFrame, text: str = "text") -> tuple[DataFrame, Da
     return triples, lines.filter(~good).select(F.col(text).alias("line"))
 
 
-def read_idmapping(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """ID-mapping triples. A malformed line is an error, or with ``strict=False`` left out."""
+def read_idmapping(
+    spark: SparkSession, path: str, strict: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """ID-mapping triples, and the lines that are none.
+
+    A malformed line is an error, or with ``strict=False`` a row ``line`` of the second table.
+    """
     lines = (
         spark.read.text(path)
         .select(strip(F.col("value")).alias("text"))
         .filter(F.col("text") != "")
     )
+    triples, rejects = parse_idmapping(lines)
     if not strict:
-        return parse_idmapping(lines)[0]
+        return triples, rejects
     fields = F.split("text", "\t")
     message = F.concat(F.lit("expected three tab-separated fields: "), F.col("text"))
     checked = F.when(F.size(fields) == 3, fields).otherwise(
         F.raise_error(message).cast("array<string>")
     )
-    return lines.select(checked.alias("f")).select(
+    triples = lines.select(checked.alias("f")).select(
         F.col("f")[0].alias("key"), F.col("f")[1].alias("id_type"), F.col("f")[2].alias("value")
     )
+    return triples, rejects.limit(0)

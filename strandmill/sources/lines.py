@@ -13,8 +13,9 @@ from strandmill.functions.text import strip
 from strandmill.session import pin_splits
 
 SPLIT = ["file_ord", "file_path", "block_start"]
-# Largest split table that is broadcast: about 100 MB. Larger ones join by shuffle.
-BROADCAST_SPLITS = 500_000
+# Largest split table that is broadcast, by integer keys: about 200 MB, for 500 TB of text in
+# splits of 128 MB. Larger ones join by shuffle.
+BROADCAST_SPLITS = 4_000_000
 
 
 def scan_text(spark: SparkSession, paths: Sequence[str], **options: str) -> DataFrame:
@@ -52,19 +53,21 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         scan.withColumn("text", strip(F.col("value")))
         .filter(F.col("text") != "")
         .withColumn("_mid", F.monotonically_increasing_id())
+        .withColumn("_path", F.xxhash64("file_path"))
         .drop("value")
     )
-    splits = lines.groupBy(*SPLIT).agg(
+    splits = lines.groupBy(*SPLIT, "_path").agg(
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_lines")
     )
+    key = ["file_ord", "_path", "block_start"]
     before = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
-        *SPLIT, "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset")
+        *key, "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset")
     )
     if split_bound(scan) <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     row_id = F.col("_offset") + F.col("_mid") - F.col("_first")
-    return lines.join(offsets, SPLIT).select(row_id.alias("id"), "text", "file_ord")
+    return lines.join(offsets, key).select(row_id.alias("id"), "text", "file_ord")
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:

@@ -36,13 +36,19 @@ def write_cluster_store(pairs: DataFrame, path: str) -> None:
 
 
 def write_vocab(vocab: DataFrame, path: str) -> None:
-    """``token <tab> id`` lines."""
-    line = F.concat_ws("\t", "token", F.col("token_id").cast("string"))
+    """``token <tab> id`` lines; in a token, line feeds and backslashes are escaped."""
+    token = F.replace(F.col("token"), F.lit("\\"), F.lit("\\\\"))
+    token = F.replace(token, F.lit("\n"), F.lit("\\n"))
+    line = F.concat_ws("\t", token, F.col("token_id").cast("string"))
     vocab.select(line.alias("value")).write.text(path)
 
 
 def read_vocab(spark, path: str) -> DataFrame:
-    parts = F.split("value", "\t")
+    """Tokens and ids of ``write_vocab``: the id follows the last tab of a line."""
+    token = F.regexp_replace("value", r"\t[^\t]*$", "")
+    # An escape is read with the backslash before it, so that no pair is taken apart.
+    token = F.regexp_replace(token, r"\G((?:[^\\]|\\\\)*+)\\n", "$1\n")
     return spark.read.text(path, lineSep="\n").select(
-        parts[0].alias("token"), parts[1].cast("int").alias("token_id")
+        F.replace(token, F.lit("\\\\"), F.lit("\\")).alias("token"),
+        F.substring_index("value", "\t", -1).cast("int").alias("token_id"),
     )

@@ -177,6 +177,13 @@ def test_model_files(spark, tmp_path):
     assert rows(read_vocab(spark, str(tmp_path / "v"))) == rows(model.vocab(spark))
 
 
+def test_vocab_with_tabs_and_line_feeds(spark, tmp_path):
+    tokens = ["a", "\t", "\n", "a\tb\n", "\\", "\\n", "\\\n", "\\\\n\t7", "\n\n\\", ""]
+    vocab = spark.createDataFrame(list(zip(tokens, range(10))), "token string, token_id int")
+    write_vocab(vocab, str(tmp_path / "v"))
+    assert rows(read_vocab(spark, str(tmp_path / "v"))) == rows(vocab)
+
+
 def test_vocab_tables(spark):
     tokens = spark.createDataFrame([(t,) for t in "b a a c b AX [X] X [UNK]".split()], "token string")
     table = vocab.ranked_vocab(tokens, SPECIAL_TOKENS)

@@ -95,9 +95,8 @@ def test_weights_against_brute_force(spark, hot_rows):
     kept = C.cluster_filter(table, dataset(spark, ids), hot_rows)
     assert rows(kept.select(*table.columns)) == sorted((m for m in members if m[2] in ids), key=repr)
     assert C.cluster_count(kept).first()[0] == n
-    held = {m[2] for m in members}
     loose = C.unclustered_rows(dataset(spark, ids), table, hot_rows)
-    assert rows(loose) == sorted(((x, i) for i, x in enumerate(ids) if x not in held), key=repr)
+    assert rows(loose) == sorted(((x, i) for i, x in enumerate(ids) if not want[i]), key=repr)
     listed = C.cluster_members(table, hot_rows)
     first = {}
     for s, c, _, o in members:
@@ -211,3 +210,18 @@ def test_row_ids_over_several_partitions(spark):
         assert got.filter("k <> row_id").count() == 0 and got.count() == 5000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_repeated_ids_are_drawn_by_their_last_row(spark):
+    rows_in = spark.createDataFrame([("A", 0), ("A", 1), ("B", 2)], "id string, row_ord int")
+    members = spark.createDataFrame([(0, "c", "A", 0)], "source int, cluster_id string, member_id string, ord bigint")
+    assert rows(C.unclustered_rows(rows_in, members)) == [("A", 0), ("B", 2)]
+
+
+def test_tiny_weights_are_drawn(spark):
+    weights = spark.createDataFrame([("a", 4e-7), ("b", 1.2e-6), ("c", 0.0)], "id string, weight double")
+    drawn = [r.id for r in C.weighted_sample(weights, 4000, 7).collect()]
+    assert len(drawn) == 4000 and drawn.count("a") / 4000 == pytest.approx(0.25, abs=0.03)
+    far = spark.createDataFrame([("a", 1.0), ("b", 1e-9)], "id string, weight double")
+    with pytest.raises(Exception, match="millionth"):
+        C.weighted_sample(far, 10, 7).collect()

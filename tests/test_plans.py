@@ -87,3 +87,12 @@ def test_score_lines(spark):
 
 def test_strip_needs_no_tags(spark):
     assert spark.createDataFrame([("AC",)], "t string").select(defim_strip(F.col("t"))).first()[0] == "AC"
+
+
+def test_every_language_has_a_split(spark, tmp_path):
+    from strandmill.plans.catalog import QUERIES
+
+    docs = [(1, "a", "en"), (2, "b", "de"), (3, "c", "xx"), (4, "d", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["table_source"](spark, str(tmp_path)).select("id", "split")
+    assert rows(got) == [("1", "train"), ("2", "eval"), ("3", "eval"), ("4", "eval")]

@@ -162,9 +162,10 @@ def test_read_table_pushes_the_split_down(spark, tmp_path, capsys):
 
 def test_idmapping_field_count(spark, write):
     path = write("map.tsv", "P1\tUniRef50\tU\nbad\tline\n")
-    assert rows(clusters.read_idmapping(spark, path, strict=False)) == [("P1", "UniRef50", "U")]
+    triples, rejects = clusters.read_idmapping(spark, path, strict=False)
+    assert rows(triples) == [("P1", "UniRef50", "U")] and rejects.count() == 1
     with pytest.raises(Exception, match="three tab-separated"):
-        clusters.read_idmapping(spark, path).collect()
+        clusters.read_idmapping(spark, path)[0].collect()
 
 
 def test_batch_to_rows(spark):
