@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandmill.llm import decontaminate, jaccard, quality, substrings, word_bpe
 from strandmill.llm.queries import tokenizer
-from strandmill.session import materialize
+from strandmill.session import fresh_path, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,7 +55,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Each stage's own tables are deleted when it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -6,12 +6,15 @@ import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
+_scope: ContextVar[str | None] = ContextVar("scratch", default=None)
 SMALL_BYTES_PER_CORE = 64 << 20
 
 
@@ -32,7 +35,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, inside the innermost ``scratch`` block if there is one."""
+    folder = _scope.get() or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written in the block live as long as the block.
+
+    What is to outlast it takes its path before the block begins. Without a block, written
+    tables stay until the shared folder is cleaned.
+    """
+    folder = fresh_path(spark, "scratch")
+    token = _scope.set(folder)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandmill.functions import residues as R
 from strandmill.operators import batches, labels, metrics, structures
 from strandmill.sources.tables import read_structure_index, read_structures
+from strandmill.session import fresh_path, materialize, scratch
 from strandmill.streaming import streams
 
 
@@ -160,3 +161,15 @@ def test_stream_windows_close_behind_the_watermark(spark, tmp_path):
     assert got == [(0, "fim", 2.0, 2), (0, "std", 5.0, 1)]
     whole = metrics.metric_windows(batch, "1 hour")
     assert whole.count() == 3
+
+
+def test_scratch_tables_live_as_long_as_the_block(spark):
+    kept = fresh_path(spark, "kept")
+    with scratch(spark):
+        inner = fresh_path(spark, "inner")
+        table = materialize(spark.range(9), "table")
+        assert table.inputFiles() and all("/scratch-" in f for f in table.inputFiles())
+        table.write.parquet(kept)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(inner).getParent()
+    assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    assert spark.read.parquet(kept).count() == 9 and "/scratch-" not in fresh_path(spark, "after")
