@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -24,7 +24,7 @@ def token_ids(
     A vocabulary within the bound is broadcast, and the tokens stay where they are. With a
     larger one the tokens are shuffled, and frequent ones cut into slices.
     """
-    if vocab.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
+    if vocab.count() <= BROADCAST_TOKENS:
         joined = tokens.join(F.broadcast(vocab), "token", "left")
     else:
         joined = lookup_join(tokens, vocab, ["token"], "left", salt_on, hot_rows)
@@ -33,7 +33,12 @@ def token_ids(
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def _ends(sizes: pd.Series) -> pd.Series:
-    return sizes.map(lambda n: np.cumsum(n, dtype="int32"))
+    # One running sum over all rows laid end to end, less what lies before each row.
+    counts = sizes.map(len).to_numpy(dtype="int64")
+    flat = np.concatenate([np.zeros(0, "int64"), *sizes])
+    ends = np.cumsum(flat)
+    before = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
+    return pd.Series(np.split((ends - np.repeat(before, counts)).astype("int32"), np.cumsum(counts)[:-1]))
 
 
 def token_offsets(tokens: Column) -> Column:
@@ -61,22 +66,20 @@ def sft_labels(plain: Column, middle_id: int) -> Column:
 
 
 def pad_batches(
-    df: DataFrame, batch: str, ids: str, pad_id: int, salt_on: list[str],
-    hot_rows: int = HOT_ROWS, also: dict[str, int] | None = None,
+    df: DataFrame, batch: str, ids: str, pad_id: int, also: dict[str, int] | None = None
 ) -> DataFrame:
     """Pad every row to the longest of its batch and add the attention mask.
 
-    ``also`` names more arrays to fill up to the same length, with their fill value.
-    Reads ``df`` for the sizes and again for the rows, so a costly one should be written first.
+    ``also`` names more arrays to fill up to the same length, with their fill value. A batch is
+    bounded, so rows are read once and meet by batch.
     """
-    sizes = df.select(batch, F.size(ids).alias("_size"))
-    longest = sizes.groupBy(batch).agg(F.max("_size").alias("_longest"))
+    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
     fill = F.col("_longest") - F.size(ids)
     mask = F.concat(
         F.transform(F.col(ids), lambda _: F.lit(1)), F.array_repeat(F.lit(0), fill)
     )
     return (
-        lookup_join(df, longest, [batch], "left", salt_on, hot_rows)
+        df.withColumn("_longest", longest)
         .withColumn("attention_mask", mask)
         .withColumns({
             name: F.concat(F.col(name), F.array_repeat(F.lit(value), fill))

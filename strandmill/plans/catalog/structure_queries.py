@@ -8,7 +8,7 @@ from strandmill.functions import residues as R
 from strandmill.operators import structures as S
 from strandmill.plans.catalog.registry import query, table
 from strandmill.session import fresh_path
-from strandmill.sources.tables import read_structures
+from strandmill.sources.tables import read_corpus, read_structures
 
 FILL = 1e-05
 # Residue names in use; the last three are not standard.
@@ -148,6 +148,46 @@ def structure_features(spark, sf_dir):
     )
 
 
+_EXACT = "decimal(18,6)"
+
+
+@query("chain_features", f"""
+    SELECT dataset, chain_id, CAST(count(*) AS INTEGER) AS n_residues, string_agg(letter, '' ORDER BY pos) AS text,
+           string_agg(CAST(residue_idx AS VARCHAR), ',' ORDER BY pos) AS residue_idx,
+           string_agg({_BITS_SQL}, ',' ORDER BY pos) AS mask,
+           string_agg(CAST(CAST(round(coords[{_PB_SQL}][1], 6) AS {_EXACT}) AS VARCHAR), ',' ORDER BY pos) AS pb_x
+    FROM ({_INDEX_SQL}) GROUP BY ALL
+""")
+def chain_features(spark, sf_dir):
+    chains = S.chain_features(residues(spark, sf_dir), FILL)
+    text = lambda name, f: F.array_join(F.transform(name, f), ",")
+    return chains.select(
+        "dataset", "chain_id", "n_residues", "text",
+        text("residue_idx", lambda i: i.cast("string")).alias("residue_idx"),
+        text("coord_mask", _bits).alias("mask"),
+        text("pseudo_beta", lambda x: F.round(x[0], 6).cast(_EXACT).cast("string")).alias("pb_x"),
+    )
+
+
+# Fixed value: the datasets that are stored and read as a corpus.
+STORED = ("click", "signup")
+
+
+@query("structure_corpus", f"""
+    SELECT chain_id AS id, dataset, text FROM (
+      SELECT dataset, chain_id, string_agg(letter, '' ORDER BY pos) AS text FROM ({_RES_SQL})
+      WHERE dataset IN {STORED} GROUP BY ALL)
+""")
+def structure_corpus(spark, sf_dir):
+    """Two stores of residues read as a corpus of texts."""
+    stores = {name: fresh_path(spark, f"store-{name}") for name in STORED}
+    for name, path in stores.items():
+        residues(spark, sf_dir).filter(F.col("dataset") == name).write.parquet(path)
+    corpus = read_corpus(spark, "foldcomp", list(stores.values()))
+    name = F.regexp_extract("dataset", "store-([a-z]+)-", 1)
+    return corpus.select("id", name.alias("dataset"), "text")
+
+
 _WANTED_SQL = f"SELECT dataset, chain_id FROM ({_RES_SQL}) GROUP BY ALL HAVING max(value) > {MANY}"
 
 

@@ -126,7 +126,7 @@ def _padded(spark, sf_dir):
     rows = _turn_tokens(spark, sf_dir).select(
         "conv_id", "turn", F.transform("tokens", F.length).alias("ids")
     )
-    return labels.pad_batches(rows, "conv_id", "ids", PAD_ID, ["turn"])
+    return labels.pad_batches(rows, "conv_id", "ids", PAD_ID)
 
 
 def _joined(column):

@@ -41,7 +41,7 @@ def training_batches(
     """Padded rows of one epoch with ``batch_id`` and ``example``; options as in ``prepare_corpus``.
 
     Crop and cuts are drawn per example, so a row drawn twice is cut anew; whether to rearrange
-    is drawn per batch. Token rows are written once, because padding reads them twice.
+    is drawn per batch. Token rows are written once: lost padding tasks do not encode anew.
     """
     picked = examples(corpus, members, seed, epoch, k)
     keyed = picked.withColumn(
@@ -55,5 +55,5 @@ def training_batches(
     ).drop("_key", "_batch_key", "attention_mask", "text")
     also = {} if options.get("generate") else {"labels": IGNORE}
     return pad_batches(
-        materialize(prepared, "tokens"), "batch_id", "input_ids", model.ids[PAD], ["example"], also=also
+        materialize(prepared, "tokens"), "batch_id", "input_ids", model.ids[PAD], also=also
     )

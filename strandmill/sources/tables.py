@@ -74,11 +74,30 @@ def batch_to_rows(df: DataFrame, arrays: Sequence[str]) -> DataFrame:
     )
 
 
+def read_residues(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Residues of all structures in the given stores."""
+    return reduce(DataFrame.unionByName, [read_structures(spark, url) for url in paths])
+
+
+def read_indexed_residues(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Residues of the structures that indexes name; a path is ``store#index.csv``.
+
+    An index is a CSV file with a column ``id``, or a folder of them; a store without one is
+    read whole.
+    """
+    def read_one(url: str) -> DataFrame:
+        store, index = split_store_url(url)
+        ids = read_csv_index(spark, [index]).select(F.col("id").cast("string")) if index else None
+        return restrict_to_ids(spark.read.parquet(store), ids).withColumn("dataset", F.lit(url))
+
+    return reduce(DataFrame.unionByName, [read_one(url) for url in paths])
+
+
 READERS: dict[str, Callable[[SparkSession, Sequence[str]], DataFrame]] = {
     "line": read_lines,
     "fasta": read_fasta,
-    "foldcomp": read_structure_index,
-    "pdb": read_csv_index,
+    "foldcomp": read_residues,
+    "pdb": read_indexed_residues,
 }
 # Formats whose rows are structures, and how residues become corpus rows.
 TRANSFORMS: dict[str, Callable[..., DataFrame]] = {
@@ -88,4 +107,7 @@ TRANSFORMS: dict[str, Callable[..., DataFrame]] = {
 
 
 def read_corpus(spark: SparkSession, data_format: str, paths: Sequence[str]) -> DataFrame:
-    return READERS[data_format](spark, paths)
+    """Rows ``id, text`` of any format; structures go through the transform of their format."""
+    rows = READERS[data_format](spark, paths)
+    transform = TRANSFORMS.get(data_format)
+    return transform(rows) if transform else rows

@@ -20,10 +20,9 @@ def test_labels(spark):
         ([5, 9, 7, -100], [-100, -100, 7, -100]), ([5, 7, 8], [-100] * 3)]
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1000])
-def test_padding(spark, hot_rows):
+def test_padding(spark):
     df = spark.createDataFrame([(0, 1, [1, 2]), (0, 2, [4]), (1, 3, []), (0, 4, [])], "b int, i int, ids array<int>")
-    out = labels.pad_batches(df, "b", "ids", 3, ["i"], hot_rows).orderBy("i").collect()
+    out = labels.pad_batches(df, "b", "ids", 3).orderBy("i").collect()
     assert [(r["ids"], r["attention_mask"]) for r in out] == [
         ([1, 2], [1, 1]), ([4, 3], [1, 0]), ([], []), ([3, 3], [0, 0])]
 
@@ -77,9 +76,8 @@ def residue_table(spark):
         data, "dataset string, chain_id string, pos int, residue_name string, residue_type int, residue_id string, coords array<array<double>>")
 
 
-@pytest.mark.parametrize("hot_rows", [1, 1000])
-def test_structure_features(spark, hot_rows):
-    out = structures.structure_features(residue_table(spark), 1e-5, hot_rows).orderBy("pos").collect()
+def test_structure_features(spark):
+    out = structures.structure_features(residue_table(spark), 1e-5).orderBy("pos").collect()
     assert [r["residue_idx"] for r in out] == [0, 1, 3]
     assert "".join(r["letter"] for r in out) == "GAA"
     assert out[0]["coord_mask"] == [True, True, False, True]
@@ -89,6 +87,12 @@ def test_structure_features(spark, hot_rows):
     assert all(math.isnan(x) for x in out[1]["backbone"]["cb"])
     assert out[2]["backbone"]["n"] == [1.0, 0.0, -1.0]
     assert rows(structures.residue_sequences(residue_table(spark))) == [("d", "p", "GAA")]
+    chain = structures.chain_features(residue_table(spark).repartition(3), 1e-5).first()
+    assert (chain.text, chain.residue_idx, chain.n_residues) == ("GAA", [0, 1, 3], 3)
+    assert chain.coord_mask == [r["coord_mask"] for r in out] and chain.coords == [r["coords"] for r in out]
+    assert chain.pseudo_beta == [r["distogram"]["pseudo_beta"] for r in out]
+    assert chain.pseudo_beta_mask == [r["distogram"]["mask"] for r in out]
+    assert math.isnan(chain.backbone[0]["c"][0]) and chain.backbone[2]["n"] == [1.0, 0.0, -1.0]
 
 
 def test_residue_number_must_be_numeric(spark):

@@ -177,4 +177,20 @@ def test_format_registry(spark, write):
     corpus = tables.read_corpus(spark, "line", [write("a.txt", "AA\n")])
     assert rows(corpus.select("text")) == [("AA",)]
     assert set(tables.READERS) == {"line", "fasta", "foldcomp", "pdb"}
+
+
+def test_structure_formats_become_a_corpus(spark, tmp_path, write):
+    from strandmill.plans.prepare import prepare_corpus
+    from test_bpe import nested_model
+
+    data = [("p", 1, "ALA"), ("p", 0, "GLY"), ("q", 0, "TRP"), ("r", 0, "XXX")]
+    store = str(tmp_path / "store")
+    spark.createDataFrame(data, "chain_id string, pos int, residue_name string").write.parquet(store)
+    ids, index = write("ids.txt", "# some\np\nr\n"), write("index.csv", "id,resolution\nq,2.0\np,1.5\n")
+    folded = tables.read_corpus(spark, "foldcomp", [f"{store}#{ids}"])
+    assert rows(folded.select("id", "text")) == [("p", "GA"), ("r", "A")]
+    indexed = tables.read_corpus(spark, "pdb", [f"{store}#{index}"])
+    assert rows(indexed.select("id", "text")) == [("p", "GA"), ("q", "W")]
+    assert rows(tables.read_corpus(spark, "foldcomp", [store]).select("id")) == [("p",), ("q",), ("r",)]
+    assert prepare_corpus(folded, nested_model(), seed=1, max_length=16).count() == 2
     assert set(tables.TRANSFORMS) == {"foldcomp", "pdb"}
