@@ -9,6 +9,7 @@ the order of clusters. No step collects the members of a cluster.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,8 +125,7 @@ def balanced_sample(
     if k is None:
         k = _matched_sizes(matched).count()
     weights = materialize(_weights(matched, hot_rows), "weights")
-    # An id is drawn about weight * k / total times, so no id is hot.
-    return weighted_sample(weights, k, seed).join(weights.select("id", "row_ord"), "id")
+    return weighted_sample(weights, k, seed, carry=["row_ord"])
 
 
 def unclustered_rows(
@@ -140,7 +140,8 @@ def unclustered_rows(
 
 
 def weighted_sample(
-    weights: DataFrame, k: int, seed: int, key: str = "id", weight: str = "weight"
+    weights: DataFrame, k: int, seed: int, key: str = "id", weight: str = "weight",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """``k`` independent draws with replacement, probability proportional to weight.
 
@@ -150,7 +151,8 @@ def weighted_sample(
     [1 / (1 + ln n), 1], so cells are alike in size by construction.
 
     Weights are counted in parts of a power of ten, so that the largest has six digits at least.
-    A weight above zero that still comes to nothing is an error, not a row left out.
+    A weight above zero that still comes to nothing is an error, not a row left out. Columns to
+    ``carry`` come along with the key.
     """
     spark = weights.sparkSession
     above = weights.filter(F.col(weight) > 0)
@@ -160,7 +162,7 @@ def weighted_sample(
     unit = float(WEIGHT_UNIT * 10 ** max(0, math.ceil(-math.log10(largest))))
     parts = F.round(F.col(weight) * unit).cast("bigint")
     rows = above.select(
-        key,
+        key, F.struct(key, *carry).alias("_row"),
         F.when(parts > 0, parts).otherwise(
             F.raise_error(F.lit("a weight is less than a millionth of the largest")).cast("bigint")
         ).alias("_w"),
@@ -191,17 +193,18 @@ def weighted_sample(
         )
         .select(
             "_cell", F.expr(f"greatest(_start, _cell * {width})").alias("_at"),
-            F.lit(None).cast("bigint").alias("draw_id"), F.col(key),
+            F.lit(None).cast("bigint").alias("draw_id"), "_row",
         )
     )
     point = F.floor(uniform(seed, "draw", F.col("id")) * F.lit(float(axis))).cast("bigint")
     draws = spark.range(k).select(
-        point.alias("_at"), F.col("id").alias("draw_id"), F.lit(None).cast("string").alias(key)
+        point.alias("_at"), F.col("id").alias("draw_id"),
+        F.lit(None).cast(starts.schema["_row"].dataType).alias("_row"),
     ).withColumn("_cell", F.expr(f"_at div {width}"))
     along = Window.partitionBy("_cell").orderBy(F.col("_at"), F.col("draw_id").asc_nulls_first())
     return (
         starts.unionByName(draws)
-        .withColumn(key, F.last(key, ignorenulls=True).over(along))
+        .withColumn("_row", F.last("_row", ignorenulls=True).over(along))
         .filter(F.col("draw_id").isNotNull())
-        .select("draw_id", key)
+        .select("draw_id", "_row.*")
     )
