@@ -120,16 +120,6 @@ def _steps(texts: list[str], limit: int | None = None):
 # ---------------------------------------------------------------- pair counts and training
 
 
-# Two characters, looked at without moving on, so that pairs overlap. Surrogates are excluded
-# because the search may stop between the two halves of a character.
-_PAIR = r"(?=([^\x{D800}-\x{DFFF}]{2}))"
-
-
-def _adjacent_pairs(symbols: Column) -> Column:
-    """Array of all neighbouring pairs of characters of a text."""
-    return F.regexp_extract_all(symbols, F.lit(_PAIR), F.lit(1))
-
-
 def distinct_texts(corpus: DataFrame, text: str = "text") -> DataFrame:
     """Each text once with its number of copies; all later work is per distinct text."""
     return corpus.filter(F.col(text) != "").groupBy(F.col(text).alias("text")).agg(
@@ -138,11 +128,14 @@ def distinct_texts(corpus: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pair_counts(words: DataFrame, text: str = "text") -> DataFrame:
-    """Occurrences of every neighbouring pair: ``pair, cnt``. Runs count every neighbour."""
-    return (
-        words.select("copies", F.explode(_adjacent_pairs(F.col(text))).alias("pair"))
-        .groupBy("pair").agg(F.sum("copies").alias("cnt"))
-    )
+    """Occurrences of every neighbouring pair: ``pair, cnt``. Runs count every neighbour.
+
+    Rows count as often as a column ``copies`` says, or once. Texts are counted where they are
+    read; only counts are shuffled.
+    """
+    copies = F.col("copies").cast("bigint") if "copies" in words.columns else F.lit(1).cast("bigint")
+    rows = words.filter(F.col(text) != "").select(F.col(text).alias("text"), copies.alias("copies"))
+    return _coded_pair_counts(rows, [])
 
 
 def top_pairs(counts: DataFrame, limit: int) -> DataFrame:

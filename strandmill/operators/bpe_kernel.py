@@ -233,12 +233,13 @@ def replace_all(texts: list[str], pairs: list[tuple[str, str]]) -> list[str]:
 
 def weighted_pairs(texts: list[str], weight: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Neighbouring characters of all texts with the summed weight of the texts they are in."""
-    codes = np.frombuffer("\0".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
-    inside = (codes[:-1] != 0) & (codes[1:] != 0)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    inside = row[:-1] == row[1:]
     if not inside.any():
         return [], np.zeros(0, dtype=np.int64)
     keys = (codes[:-1] << 32 | codes[1:])[inside]
-    of_text = np.cumsum(codes[:-1] == 0)[inside]
+    of_text = row[:-1][inside]
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(_changes(keys))

@@ -319,7 +319,7 @@ _CHAR_PAIRS_SQL = """
 
 @query("bpe_pair_counts", _CHAR_PAIRS_SQL)
 def bpe_pair_counts(spark, sf_dir):
-    return bpe.pair_counts(bpe.distinct_texts(docs(spark, sf_dir)))
+    return bpe.pair_counts(docs(spark, sf_dir))
 
 
 TOP_PAIRS = 20
@@ -327,7 +327,7 @@ TOP_PAIRS = 20
 
 @query("bpe_top_pairs", f"SELECT pair, cnt FROM ({_CHAR_PAIRS_SQL}) ORDER BY cnt DESC, pair LIMIT {TOP_PAIRS}")
 def bpe_top_pairs(spark, sf_dir):
-    return bpe.top_pairs(bpe.pair_counts(bpe.distinct_texts(docs(spark, sf_dir))), TOP_PAIRS)
+    return bpe.top_pairs(bpe.pair_counts(docs(spark, sf_dir)), TOP_PAIRS)
 
 
 # ---------------------------------------------------------------- training

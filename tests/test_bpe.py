@@ -81,6 +81,7 @@ def test_training_on_nothing(spark):
 def test_pair_counts(spark):
     texts = ["a\U0001f600b", "aaaa", "aaaa", "x", ""]
     counts = bpe.pair_counts(bpe.distinct_texts(corpus(spark, texts)))
+    assert rows(bpe.pair_counts(corpus(spark, texts))) == rows(counts)
     assert dict(rows(counts)) == {"a\U0001f600": 1, "\U0001f600b": 1, "aa": 6}
     assert bpe.top_pairs(counts, 1).first()["pair"] == "aa"
 
