@@ -1,13 +1,14 @@
 """Quality rules: base rules, and how much likelier a text is in trusted text than in the corpus.
 
 Two multinomials over hashed word unigrams and bigrams are counted, one over all documents and
-one over trusted documents. A document's score is the mean log ratio of its n-grams. Ratios are
-fixed-point integers, so a score depends on the text alone, not on how rows were batched.
+one over trusted documents. A document's score is the mean log ratio of its n-grams, its own counts
+left out. Ratios are fixed-point integers, so a score depends on the text alone, not on how rows were batched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -98,22 +99,37 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     )
 
 
-def log_ratios(counts: DataFrame) -> np.ndarray:
-    """Log ratio by bucket of the target count to the one that the corpus lets expect.
+@dataclass(frozen=True)
+class Ratios:
+    """Counts by bucket in the corpus and in trusted text."""
 
-    ``PRIOR`` is added to both, so buckets with little text say little. The table has
-    ``N_BUCKETS`` rows whatever the corpus; ratios are fixed-point integers. Without trusted
-    text all ratios are 0.
-    """
-    raw, target = np.zeros((2, N_BUCKETS))
+    raw: np.ndarray
+    target: np.ndarray
+
+    def scores(self, buckets: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Log of the target count over the one that the rest of the corpus lets expect.
+
+        ``own`` counts the document's own n-grams, which say nothing about the rest. ``PRIOR``
+        is added to both, so buckets with little text say little. Fixed-point integers; all 0
+        without trusted text.
+        """
+        out = np.zeros(len(buckets))
+        half = N_BUCKETS // 2
+        for part, inside in ((slice(0, half), buckets < half), (slice(half, None), buckets >= half)):
+            if self.target[part].any():
+                share = self.target[part].sum() / self.raw[part].sum()
+                at = buckets[inside]
+                rest = np.maximum(self.raw[at] - own[inside], 0) * share
+                out[inside] = np.log((self.target[at] + PRIOR) / (rest + PRIOR))
+        return np.round(out * FIXED_POINT).astype(np.int64)
+
+
+def log_ratios(counts: DataFrame) -> Ratios:
+    """What ``ngram_counts`` found; a table of ``N_BUCKETS`` rows whatever the corpus."""
+    raw, target = np.zeros((2, N_BUCKETS), np.int64)
     for bucket, in_raw, in_target in counts.collect():
         raw[bucket], target[bucket] = in_raw, in_target
-    ratios = np.zeros(N_BUCKETS)
-    for part in (slice(0, N_BUCKETS // 2), slice(N_BUCKETS // 2, None)):
-        if target[part].any():
-            expected = raw[part] * (target[part].sum() / raw[part].sum())
-            ratios[part] = np.log((target[part] + PRIOR) / (expected + PRIOR))
-    return np.round(ratios * FIXED_POINT).astype(np.int64)
+    return Ratios(raw, target)
 
 
 def _repeat_words(words: tuple, width: int = 3) -> np.ndarray:
@@ -143,14 +159,16 @@ def _text_counts(text: str) -> tuple[int, int, int]:
     )
 
 
-def measure(texts: pa.Array, ratios: np.ndarray, min_score: float) -> dict[str, np.ndarray]:
+def measure(texts: pa.Array, ratios: Ratios, min_score: float) -> dict[str, np.ndarray]:
     words = split_words(texts)
     n_words = np.diff(words[2])
     ones, offsets, twos, rows = _buckets(words)
-    total = row_sums(ratios[ones], offsets)
-    sizes = np.bincount(rows, minlength=len(n_words))
-    total += row_sums(ratios[twos], np.concatenate([[0], np.cumsum(sizes)]))
-    score = total / (np.maximum(n_words + sizes, 1) * float(FIXED_POINT))
+    owners = np.concatenate([np.repeat(np.arange(len(n_words)), n_words), rows])
+    cells, own = np.unique(owners * N_BUCKETS + np.concatenate([ones, twos]), return_counts=True)
+    values = ratios.scores(cells % N_BUCKETS, own) * own
+    of_row = np.searchsorted(cells, np.arange(len(n_words) + 1) * N_BUCKETS)
+    sizes = n_words + np.bincount(rows, minlength=len(n_words))
+    score = row_sums(values, of_row) / (np.maximum(sizes, 1) * float(FIXED_POINT))
     repeats = _repeat_words(words)
     failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PCT * n_words)
     counts = np.array(list(map(_text_counts, texts.to_pylist())), np.int64).reshape(-1, 3)
@@ -161,7 +179,7 @@ def measure(texts: pa.Array, ratios: np.ndarray, min_score: float) -> dict[str,
     }
 
 
-def judge(docs: DataFrame, ratios: np.ndarray, min_score: float = MIN_SCORE) -> DataFrame:
+def judge(docs: DataFrame, ratios: Ratios, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per document: base counts, score and verdict.
 
     A null or empty text has no words: all counts and the score are 0 and it fails the base
@@ -177,7 +195,7 @@ def judge(docs: DataFrame, ratios: np.ndarray, min_score: float = MIN_SCORE) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, JUDGED)
 
 
-def keep_good(docs: DataFrame, ratios: np.ndarray, min_score: float = MIN_SCORE) -> DataFrame:
+def keep_good(docs: DataFrame, ratios: Ratios, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose verdict is to keep them, with all their columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):

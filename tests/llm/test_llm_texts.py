@@ -33,12 +33,13 @@ def base_counts(text):
     )
 
 
+NOTHING = quality.Ratios(*np.zeros((2, quality.N_BUCKETS), np.int64))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def test_base_counts(spark):
     texts = ODD + [prose(s, 3 + 17 * s, 30) for s in range(12)] + [prose(99, 80) + "\n" + prose(99, 80)]
-    got = by_id(quality.judge(docs_of(spark, texts, clash=True), np.zeros(quality.N_BUCKETS, np.int64)),
+    got = by_id(quality.judge(docs_of(spark, texts, clash=True), NOTHING),
                 *COUNTS, "score", "kept")
     assert got == {i: (*base_counts(t), 0.0, not base_counts(t)[-1]) for i, t in enumerate(texts)}
 
@@ -46,7 +47,7 @@ def test_base_counts(spark):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\t#\x0b\x1cé", max_size=120), min_size=1, max_size=5))
 def test_base_counts_of_any_text(texts):
-    found = quality.measure(pa.array(texts), np.zeros(quality.N_BUCKETS, np.int64), -1.0)
+    found = quality.measure(pa.array(texts), NOTHING, -1.0)
     got = list(zip(*(found[c].tolist() for c in COUNTS)))
     assert got == [base_counts(t) for t in texts]
 
@@ -80,7 +81,8 @@ def test_ratios_part_marked_from_clean_texts(spark):
 def test_no_trusted_text(spark):
     docs = docs_of(spark, [prose(1, 60), None])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert not quality.log_ratios(quality.ngram_counts(docs, quality.trusted_ids(none))).any()
+    nothing = quality.log_ratios(quality.ngram_counts(docs, quality.trusted_ids(none)))
+    assert [r.score for r in quality.judge(docs, nothing).collect()] == [0.0, 0.0]
     empty = docs_of(spark, [])
     assert quality.judge(empty, quality.log_ratios(quality.ngram_counts(empty, quality.trusted_ids(none)))).count() == 0
 
