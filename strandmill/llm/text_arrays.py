@@ -12,7 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 8 << 20
+#: Arrays over a slice take some thirty times its text.
+SLICE_BYTES = 2 << 20
 #: Odd multipliers of a polynomial over words, and of the mixing step.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -22,7 +23,10 @@ MIX_B = np.uint64(0x94D049BB133111EB)
 def text_slices(
     batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about ``max_bytes`` of text, or one longer text."""
+    """Batches cut so that each holds about ``max_bytes`` of text, or one longer text.
+
+    Workers live on after a task, so memory that Arrow holds in reserve is given back.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
@@ -32,6 +36,7 @@ def text_slices(
             stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def column_texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

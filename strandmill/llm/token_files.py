@@ -37,6 +37,8 @@ WHOLE_ONLY = (
 MARK = "\x01"
 JOINED_PIECES = 2000
 CACHED_PIECES = 500_000
+#: Larger slices repeat more of their pieces.
+SLICE_BYTES = 8 << 20
 
 
 class ByteEncoder:
@@ -196,7 +198,7 @@ def encoded(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, max_bytes=SLICE_BYTES):
             flat, lengths = byte_encoder(tokenizer_json).encode(column_texts(batch))
             flat, lengths = with_end(flat, lengths, end_id), lengths + 1
             ends = before + np.cumsum(lengths)
