@@ -7,6 +7,7 @@ left out. Ratios are fixed-point integers, so a score depends on the text alone,
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,9 +22,11 @@ from strandmill.llm.text_arrays import (
     window_rows,
 )
 
-BUCKET_BITS = 16
+BUCKET_BITS = 20
 #: Hashed unigrams, then hashed bigrams.
 N_BUCKETS = 2 << BUCKET_BITS
+#: Counts are shuffled by ranges of buckets, each range of a task as one packed value.
+RANGE_BITS = 13
 FIXED_POINT = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -68,6 +71,10 @@ def _buckets(words: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     )
 
 
+#: Columns of the table of counts.
+COUNTED = ["bucket", "raw", "target"]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros((2, N_BUCKETS), np.int64)
     for batch in text_slices(batches):
@@ -78,13 +85,47 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ones[np.repeat(trusted, np.diff(offsets))], twos[trusted[rows]],
         ])
         target += np.bincount(of_target, minlength=N_BUCKETS)
-    found = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(found), pa.array(raw[found]), pa.array(target[found])],
-        names=["bucket", "raw", "target"],
+    yield _packed(raw, target)
+
+
+def _packed(*counts: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, cells): the buckets of each range that were found, with their counts."""
+    found = np.flatnonzero(counts[0])
+    parts, firsts = np.unique(found >> RANGE_BITS, return_index=True)
+    cells = []
+    for at in np.split(found, firsts[1:]) if len(found) else []:
+        table = np.stack([np.diff(at, prepend=0), *(c[at] for c in counts)])
+        # Bytes of equal weight together: most are 0.
+        planes = np.ascontiguousarray(table.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+        cells.append(zlib.compress(planes.tobytes(), 1))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(parts.astype(np.int32)), pa.array(cells, pa.binary())], names=["part", "cells"]
     )
 
 
+def _unpacked(cells: bytes, columns: int) -> np.ndarray:
+    """Buckets and counts of a packed range, one line each."""
+    planes = np.frombuffer(zlib.decompress(cells), np.uint8).reshape(8, -1)
+    table = np.ascontiguousarray(planes.T).view("<i8").reshape(1 + columns, -1).astype(np.int64)
+    table[0] = np.cumsum(table[0])
+    return table
+
+
+def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``COUNTED`` from all packed values of some ranges."""
+    width, sums = 1 << RANGE_BITS, {}
+    for batch in batches:
+        for part, cells in zip(batch.column("part").to_pylist(), batch.column("cells")):
+            at, *counts = _unpacked(cells.as_py(), len(COUNTED) - 1)
+            total = sums.setdefault(part, np.zeros((len(counts), width), np.int64))
+            total[:, at - part * width] += counts
+    for part, total in sums.items():
+        found = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found + part * width), *(pa.array(c[found]) for c in total)], names=COUNTED
+        )
+
+
 def ngram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """Rows (bucket, raw, target): counts over all documents, and over the trusted ones."""
     # Always a merge join: labels grow with the documents, so their ids are never sent to all.
@@ -94,8 +135,8 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         .select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     )
     return (
-        flagged.mapInArrow(_count, "bucket long, raw long, target long")
-        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+        flagged.mapInArrow(_count, "part int, cells binary").repartition("part")
+        .mapInArrow(_sum_ranges, ", ".join(f"{c} long" for c in COUNTED))
     )
 
 
@@ -117,19 +158,22 @@ class Ratios:
         half = N_BUCKETS // 2
         for part, inside in ((slice(0, half), buckets < half), (slice(half, None), buckets >= half)):
             if self.target[part].any():
-                share = self.target[part].sum() / self.raw[part].sum()
+                share = self.target[part].sum(dtype=np.int64) / self.raw[part].sum(dtype=np.int64)
                 at = buckets[inside]
-                rest = np.maximum(self.raw[at] - own[inside], 0) * share
-                out[inside] = np.log((self.target[at] + PRIOR) / (rest + PRIOR))
+                rest = np.maximum(self.raw[at].astype(np.int64) - own[inside], 0) * share
+                out[inside] = np.log((self.target[at].astype(np.int64) + PRIOR) / (rest + PRIOR))
         return np.round(out * FIXED_POINT).astype(np.int64)
 
 
 def log_ratios(counts: DataFrame) -> Ratios:
     """What ``ngram_counts`` found; a table of ``N_BUCKETS`` rows whatever the corpus."""
-    raw, target = np.zeros((2, N_BUCKETS), np.int64)
-    for bucket, in_raw, in_target in counts.collect():
-        raw[bucket], target[bucket] = in_raw, in_target
-    return Ratios(raw, target)
+    table = counts.select(COUNTED).toArrow()
+    bucket, *found = (table.column(c).to_numpy() for c in COUNTED)
+    wide = np.zeros((len(found), N_BUCKETS), np.int64)
+    wide[:, bucket] = found
+    # Every task is sent these arrays, so they are as narrow as their counts allow.
+    narrow = np.uint32 if wide.max() < 1 << 32 else np.int64
+    return Ratios(*wide.astype(narrow))
 
 
 def _repeat_words(words: tuple, width: int = 3) -> np.ndarray:

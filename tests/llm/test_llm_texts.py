@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from helpers import WORD, by_id, docs_of, edited, prose
 from hypothesis import given, settings
@@ -87,6 +88,58 @@ def test_no_trusted_text(spark):
     assert quality.judge(empty, quality.log_ratios(quality.ngram_counts(empty, quality.trusted_ids(none)))).count() == 0
 
 
+def local_ratios(texts, trusted):
+    """Ratios without Spark, so that the number of buckets can be changed."""
+    batch = pa.RecordBatch.from_pydict({"text": texts, "trusted": trusted})
+    found = list(quality._sum_ranges(quality._count([batch.slice(i, 1000) for i in range(0, len(texts), 1000)])))
+    counts = np.zeros((len(quality.COUNTED) - 1, quality.N_BUCKETS), np.int64)
+    for part in found:
+        bucket, *columns = (c.to_numpy() for c in part.columns)
+        counts[:, bucket] = columns
+    return quality.Ratios(*counts)
+
+
+@pytest.fixture(scope="module")
+def labelled():
+    """For each size: texts, quality and toxicity of all documents, -1 without a label."""
+    out = {}
+    for size in ("sf0.01", "sf0.1"):
+        docs, labels = (pq.read_table(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+        known = {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.to_pylist()}
+        texts = [t or "" for t in docs.column("text").to_pylist()]
+        out[size] = texts, *np.array([known.get(i, (-1, -1)) for i in docs.column("doc_id").to_pylist()]).T
+    return out
+
+
+@pytest.mark.parametrize("size, fewer_bits, share", [
+    ("sf0.01", 0, 0.69), ("sf0.01", 2, 0.68), ("sf0.1", 0, 0.9), ("sf0.1", 2, 0.87),
+])
+def test_junk_scores_low_at_any_size(labelled, monkeypatch, size, fewer_bits, share):
+    monkeypatch.setattr(quality, "BUCKET_BITS", quality.BUCKET_BITS - fewer_bits)
+    monkeypatch.setattr(quality, "N_BUCKETS", 2 << quality.BUCKET_BITS)
+    texts, good, toxic = labelled[size]
+    trusted = (good == 1) & (toxic == 0)
+    ratios = local_ratios(texts, trusted.tolist())
+    junk = [t for t, g in zip(texts, good) if g == 0]
+    found = quality.measure(pa.array(junk), ratios, quality.MIN_SCORE)
+    assert np.mean(found["score"] < quality.MIN_SCORE) > share
+    assert found["kept"].sum() <= 1
+    clean = [t for t, c in zip(texts, trusted) if c]
+    found = quality.measure(pa.array(clean[:600]), ratios, quality.MIN_SCORE)
+    assert (found["score"] >= quality.MIN_SCORE).all()
+
+
+def test_counts_survive_packing():
+    counts = np.zeros((2, quality.N_BUCKETS), np.int64)
+    at = np.array([0, 5, (1 << quality.RANGE_BITS) - 1, 1 << quality.RANGE_BITS, quality.N_BUCKETS - 1])
+    counts[:, at] = [[1, 1 << 40, 3, 255, 256], [0, 7, 3, 0, 1 << 33]]
+    packed = quality._packed(*counts)
+    assert packed.num_rows == 3
+    tables = [quality._unpacked(c.as_py(), 2) for c in packed.column("cells")]
+    assert (np.concatenate(tables, axis=1) == [at, *counts[:, at]]).all()
+    assert quality._packed(*np.zeros((2, quality.N_BUCKETS), np.int64)).num_rows == 0
+
+
 # ------------------------------------------------------------------------ languages
 
 
