@@ -2,7 +2,8 @@
 
 Two multinomials over hashed word unigrams and bigrams are counted, one over all documents and
 one over trusted documents. A document's score is the mean log ratio of its n-grams, its own counts
-left out. Ratios are fixed-point integers, so a score depends on the text alone, not on how rows were batched.
+left out. A few words, insults for one, hardly move that mean, so words that trusted documents shun, by
+the number of documents that have them, are counted apart. Ratios are fixed-point integers, so a score depends on the text alone, not on how rows were batched.
 """
 
 from __future__ import annotations
@@ -35,6 +36,12 @@ MAX_REPEAT_PCT = 50
 MIN_SCORE = -0.18
 #: Pseudo-counts that draw a bucket's ratio to 1 where there is little text.
 PRIOR = 3
+#: A word is shunned if the log of the trusted documents that have it, over those expected, is less.
+SHUNNED = -1.5
+#: Added to both: this share of all (document, word) cells of trusted text, 1 at least.
+SHUNNED_PRIOR = 1e-6
+#: A document with so many shunned words in a thousand is not kept.
+MAX_SHUNNED = 8
 
 JUDGED = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -45,6 +52,7 @@ JUDGED = T.StructType([
     T.StructField("n_repeat_words", T.LongType()),
     T.StructField("base_failed", T.BooleanType()),
     T.StructField("score", T.DoubleType()),
+    T.StructField("n_shunned", T.LongType()),
     T.StructField("kept", T.BooleanType()),
 ])
 
@@ -72,11 +80,11 @@ def _buckets(words: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 #: Columns of the table of counts.
-COUNTED = ["bucket", "raw", "target"]
+COUNTED = ["bucket", "raw", "target", "docs", "trusted_docs"]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros((2, N_BUCKETS), np.int64)
+    raw, target, docs, trusted_docs = np.zeros((4, N_BUCKETS), np.int64)
     for batch in text_slices(batches):
         ones, offsets, twos, rows = _buckets(split_words(column_texts(batch)))
         trusted = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
@@ -85,7 +93,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ones[np.repeat(trusted, np.diff(offsets))], twos[trusted[rows]],
         ])
         target += np.bincount(of_target, minlength=N_BUCKETS)
-    yield _packed(raw, target)
+        owners = np.repeat(np.arange(len(trusted)), np.diff(offsets))
+        cells = np.unique(owners * N_BUCKETS + ones)
+        docs += np.bincount(cells % N_BUCKETS, minlength=N_BUCKETS)
+        cells = cells[trusted[cells // N_BUCKETS]]
+        trusted_docs += np.bincount(cells % N_BUCKETS, minlength=N_BUCKETS)
+    yield _packed(raw, target, docs, trusted_docs)
 
 
 def _packed(*counts: np.ndarray) -> pa.RecordBatch:
@@ -127,7 +140,10 @@ def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ngram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Rows (bucket, raw, target): counts over all documents, and over the trusted ones."""
+    """Rows (bucket, raw, target, docs, trusted_docs): counts over all documents, and over the trusted ones.
+
+    The last two are the documents that have a unigram.
+    """
     # Always a merge join: labels grow with the documents, so their ids are never sent to all.
     flagged = (
         docs.select("doc_id", "text")
@@ -146,6 +162,8 @@ class Ratios:
 
     raw: np.ndarray
     target: np.ndarray
+    docs: np.ndarray | None = None
+    trusted_docs: np.ndarray | None = None
 
     def scores(self, buckets: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Log of the target count over the one that the rest of the corpus lets expect.
@@ -164,6 +182,20 @@ class Ratios:
                 out[inside] = np.log((self.target[at].astype(np.int64) + PRIOR) / (rest + PRIOR))
         return np.round(out * FIXED_POINT).astype(np.int64)
 
+    def shunned(self, buckets: np.ndarray) -> np.ndarray:
+        """Whether far fewer trusted documents have a unigram than other documents let expect.
+
+        The document looked at is not counted. None is shunned without trusted text.
+        """
+        half = N_BUCKETS // 2
+        out = np.zeros(len(buckets), bool)
+        if self.docs is not None and (total := self.trusted_docs[:half].sum(dtype=np.int64)):
+            share = total / self.docs[:half].sum(dtype=np.int64)
+            at, prior = buckets[buckets < half], max(1.0, SHUNNED_PRIOR * total)
+            others = np.maximum(self.docs[at].astype(np.int64) - 1, 0) * share
+            out[buckets < half] = np.log((self.trusted_docs[at] + prior) / (others + prior)) < SHUNNED
+        return out
+
 
 def log_ratios(counts: DataFrame) -> Ratios:
     """What ``ngram_counts`` found; a table of ``N_BUCKETS`` rows whatever the corpus."""
@@ -210,16 +242,19 @@ def measure(texts: pa.Array, ratios: Ratios, min_score: float) -> dict[str, np.n
     owners = np.concatenate([np.repeat(np.arange(len(n_words)), n_words), rows])
     cells, own = np.unique(owners * N_BUCKETS + np.concatenate([ones, twos]), return_counts=True)
     values = ratios.scores(cells % N_BUCKETS, own) * own
+    shunned = ratios.shunned(cells % N_BUCKETS) * own
     of_row = np.searchsorted(cells, np.arange(len(n_words) + 1) * N_BUCKETS)
     sizes = n_words + np.bincount(rows, minlength=len(n_words))
     score = row_sums(values, of_row) / (np.maximum(sizes, 1) * float(FIXED_POINT))
+    n_shunned = row_sums(shunned, of_row)
     repeats = _repeat_words(words)
     failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PCT * n_words)
     counts = np.array(list(map(_text_counts, texts.to_pylist())), np.int64).reshape(-1, 3)
     return {
         "n_words": n_words, "word_chars": counts[:, 0], "n_symbols": counts[:, 1],
         "n_dup_lines": counts[:, 2], "n_repeat_words": repeats, "base_failed": failed,
-        "score": score, "kept": ~failed & (score >= min_score),
+        "score": score, "n_shunned": n_shunned,
+        "kept": ~failed & (score >= min_score) & (1000 * n_shunned < np.maximum(MAX_SHUNNED * n_words, 1)),
     }
 
 

@@ -129,6 +129,21 @@ def test_junk_scores_low_at_any_size(labelled, monkeypatch, size, fewer_bits, sh
     assert (found["score"] >= quality.MIN_SCORE).all()
 
 
+@pytest.mark.parametrize("size, caught, lost", [("sf0.01", 0.7, 0.01), ("sf0.1", 0.97, 0.015)])
+def test_toxic_documents_are_not_kept(labelled, size, caught, lost):
+    """One in ten trusted documents is held out; nothing is counted of toxic labels."""
+    texts, good, toxic = labelled[size]
+    trusted = (good == 1) & (toxic == 0)
+    held = trusted & (np.cumsum(trusted) % 10 == 0)
+    ratios = local_ratios(texts, (trusted & ~held).tolist())
+    bad = [t for t, c in zip(texts, (good == 1) & (toxic == 1)) if c]
+    found = quality.measure(pa.array(bad), ratios, quality.MIN_SCORE)
+    assert found["kept"][~found["base_failed"]].mean() < 1 - caught
+    found = quality.measure(pa.array([t for t, c in zip(texts, held) if c]), ratios, quality.MIN_SCORE)
+    shunned = 1000 * found["n_shunned"] >= quality.MAX_SHUNNED * np.maximum(found["n_words"], 1)
+    assert shunned[~found["base_failed"]].mean() <= lost
+
+
 def test_counts_survive_packing():
     counts = np.zeros((2, quality.N_BUCKETS), np.int64)
     at = np.array([0, 5, (1 << quality.RANGE_BITS) - 1, 1 << quality.RANGE_BITS, quality.N_BUCKETS - 1])
