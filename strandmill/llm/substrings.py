@@ -2,7 +2,8 @@
 
 A gear hash rolls over the bytes of a text. A word begins a chunk if the hash at its first byte
 is the least among the words around it, so borders depend on nearby text alone: text inserted
-before a passage leaves its chunks as they are. Chunks are compared by digest. A run of chunks
+before a passage leaves its chunks as they are. Where a few words are repeated over and over no
+hash is least, and every few rounds begin a chunk. Chunks are compared by digest. A run of chunks
 that all occur elsewhere in the corpus is a repeated passage if it has enough words; all its
 occurrences but the first are repeats.
 """
@@ -23,7 +24,9 @@ from strandmill.llm.text_arrays import column_texts, text_slices
 #: A chunk begins at the least hash among this many words on either side.
 REACH = 3
 #: A passage is a run of repeated chunks with at least this many words.
-MIN_WORDS = 25
+MIN_WORDS = 20
+#: Words at least from one border to the next where a few words are repeated over and over.
+ROUND_WORDS = 4
 #: Bytes that a 16-bit gear hash remembers.
 MEMORY = 16
 PAD = 0xFF  # in no UTF-8 text
@@ -56,10 +59,31 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return hashes
 
 
-def chunk_texts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def _round_borders(begins: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Of the words ``equal``, as small as the least around them, those that begin a chunk too.
+
+    Equal hashes so near each other mean that the text goes round in up to ``REACH`` words.
+    As many whole rounds as have ``ROUND_WORDS`` make a chunk, so it does not matter
+    which round a chunk begins with.
+    """
+    at = np.flatnonzero(equal & ~begins)
+    if not len(at):
+        return begins
+    chunk = np.cumsum(begins)[at]
+    period = np.diff(at, prepend=at[0] - 1)
+    fresh = np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (period[1:] > REACH)])
+    firsts = np.flatnonzero(fresh)
+    rank = np.arange(len(at)) - np.repeat(firsts, np.diff(np.append(firsts, len(at))))
+    out = begins.copy()
+    out[at[fresh | (rank % -(-ROUND_WORDS // period) == 0)]] = True
+    return out
+
+
+def chunk_texts(texts: list[bytes], rounds: bool = False) -> tuple[np.ndarray, ...]:
     """Row, byte range, words and digest (two halves) of every chunk of the texts.
 
-    A chunk's range ends with its last word.
+    A chunk's range ends with its last word. ``rounds`` also cuts where a few words are
+    repeated over and over; else such a stretch lies in one chunk with its surroundings.
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     pad = bytes([PAD]) * MEMORY
@@ -75,11 +99,14 @@ def chunk_texts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     lane = np.full(len(starts) + REACH * (len(texts) + 2), 0xFFFF, np.uint16)
     lane[place] = gear_hashes(data)[starts]
     own = lane[place]
-    begins = np.ones(len(starts), bool)
+    begins, equal = np.ones((2, len(starts)), bool)
     for step in range(1, REACH + 1):
+        equal &= (own <= lane[place - step]) & (own <= lane[place + step])
         begins &= (own < lane[place - step]) & (own <= lane[place + step])
     if len(starts):
         begins[np.concatenate([[True], rows[1:] != rows[:-1]])] = True
+    if rounds:
+        begins = _round_borders(begins, equal)
     first = np.flatnonzero(begins)
     last = np.append(first[1:], len(starts)) - 1
     begin, stop = starts[first], ends[last]
@@ -107,7 +134,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             texts = [t.encode() for t in column_texts(batch).to_pylist()]
-            rows, start, stop, n_words, hi, lo = chunk_texts(texts)
+            rows, start, stop, n_words, hi, lo = chunk_texts(texts, rounds=True)
             if not len(rows):
                 continue
             firsts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))

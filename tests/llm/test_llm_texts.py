@@ -300,6 +300,48 @@ def test_any_passage_of_51_words_is_found():
         assert {p[0] for p in expected_passages([(0, a), (1, b)], substrings.MIN_WORDS)} == {0, 1}
 
 
+def shared_words(passage, before, after):
+    """Words of the passage in chunks that both of two texts with it have, the longest run."""
+    texts = [f"{b} {passage} {a}".encode() for b, a in zip(before, after)]
+    rows, start, stop, n, hi, lo = substrings.chunk_texts(texts, rounds=True)
+    keys = list(zip(hi.tolist(), lo.tolist()))
+    other = {k for k, r in zip(keys, rows) if r == 1}
+    best = run = 0
+    for k, r, words in zip(keys, rows, n.tolist()):
+        if r == 0:
+            run = run + words if k in other else 0
+            best = max(best, run)
+    return best
+
+
+def test_thousands_of_passages_of_51_words():
+    least = 51
+    for seed in range(4000):
+        passage = prose(seed, 51, 3000)
+        least = min(least, shared_words(passage, *(
+            [prose(10**5 * k + 2 * seed + i, 12, 3000) for i in (0, 1)] for k in (1, 2))))
+    assert least >= substrings.MIN_WORDS
+
+
+@pytest.mark.parametrize("phrase", ["buy", "a", "buy now", "a b", "cheap pills here", "a b c", "the cat sat on the mat"])
+def test_passages_of_repeated_words(phrase):
+    for n_words in (51, 52, 53, 60, 200):
+        words = phrase.split()
+        passage = " ".join((words * n_words)[:n_words])
+        for seed in range(40):
+            sides = [[prose(1000 * k + 2 * seed + i, 12 + i, 3000) for i in (0, 1)] for k in (1, 2)]
+            assert shared_words(passage, *sides) >= substrings.MIN_WORDS
+
+
+def test_repeated_words_are_a_passage(spark):
+    text = "buy now " * 30
+    docs = docs_of(spark, [f"{prose(s, 30, 3000)} {text} {prose(s + 9, 30, 3000)}" for s in (1, 2)])
+    found = substrings.repeated_passages(docs).where("doc_id = 1").collect()
+    assert sum(r.n_words for r in found) >= 40
+    left = {r.doc_id: r.text for r in substrings.without_repeats(docs).collect()}
+    assert left[1].count("buy now") < 12
+
+
 def test_repeats_are_cut_out(spark):
     texts = repeating()
     docs = docs_of(spark, texts, clash=True)
