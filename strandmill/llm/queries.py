@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm import (
-    decontaminate, jaccard, langid, linkgraph, preference, quality, substrings, token_files, warc, word_bpe,
+    decontaminate, fim_pieces, jaccard, langid, linkgraph, preference, quality, substrings, token_files, warc, word_bpe,
+)
+from strandmill.llm.oracles import (
+    FIM_SQL, LEAKS_SQL, LINKS_SQL, PAGE_RULES, WARC_SQL, preference_sql, url_filter_sql,
 )
-from strandmill.llm.oracles import LEAKS_SQL, LINKS_SQL, PAGE_RULES, WARC_SQL, preference_sql, url_filter_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,3 +98,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
     return quality.judge(docs, quality.log_ratios(quality.ngram_counts(docs, trusted)))
+
+
+@query("op12_fill_in_middle", FIM_SQL)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_pieces.rearranged_digests(table(spark, sf_dir, "documents"))
