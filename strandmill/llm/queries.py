@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm import (
-    decontaminate, fim_pieces, jaccard, langid, linkgraph, preference, quality, substrings, token_files, warc, word_bpe,
+    decontaminate, fim_pieces, jaccard, langid, linkgraph, preference, quality, simhash, substrings, token_files, warc, word_bpe,
 )
 from strandmill.llm.oracles import (
     FIM_SQL, LEAKS_SQL, LINKS_SQL, PAGE_RULES, WARC_SQL, preference_sql, url_filter_sql,
@@ -103,3 +103,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_fill_in_middle", FIM_SQL)
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_pieces.rearranged_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_simhash_dedup")
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
