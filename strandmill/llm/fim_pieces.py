@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from strandmill.llm.text_arrays import gather_runs, text_slices
+from strandmill.llm.text_arrays import gather_runs, strings, text_buffer, text_slices
 
 #: Sentinels before the prefix, the suffix and the middle, and the forms.
 SENTINELS = ("<P>", "<S>", "<M>")
@@ -77,24 +77,7 @@ class Pieces(NamedTuple):
         starts = self.start + np.where(self.buffer == TEXT, len(_MARKS), 0)
         data = gather_runs(both, starts.ravel(), self.length.ravel())
         offsets = np.concatenate([[0], np.cumsum(self.length.sum(axis=1))])
-        return _strings(data, offsets)
-
-
-def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(
-        pa.large_string(), len(offsets) - 1,
-        [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))],
-    )
-
-
-def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts, nulls as empty ones, and the offset of each."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    _, offsets, data = texts.buffers()
-    ends = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    if data is None or not len(texts):
-        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
-    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]], ends - ends[0]
+        return strings(data, offsets)
 
 
 def _counts(flags: np.ndarray, at: np.ndarray) -> np.ndarray:

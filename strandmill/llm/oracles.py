@@ -269,3 +269,40 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
        sha256(text) AS restored_sha256
 FROM parts
 """
+
+# --------------------------------------------------------------------------- collocations
+
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words FROM documents
+), placed AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS gram, CAST(count(*) AS BIGINT) AS f
+  FROM placed, (VALUES (1), (2), (3)) sizes(k) WHERE i + k - 1 <= len(words) GROUP BY ALL
+), split AS (
+  SELECT lang, k, gram, f, string_split(gram, ' ') AS w FROM grams WHERE k > 1 AND f >= 10
+), cuts AS (
+  SELECT s.lang, s.k, s.gram, s.f AS a, cut, x.f AS l, y.f AS r,
+         CAST((CAST(1000000 AS HUGEINT) * s.f * s.f) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM split) s
+  JOIN grams x ON x.lang = s.lang AND x.k = cut AND x.gram = array_to_string(w[1:cut], ' ')
+  JOIN grams y ON y.lang = s.lang AND y.k = s.k - cut AND y.gram = array_to_string(w[cut + 1:], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1
+), covering AS (
+  SELECT lang, gram, max(f) AS f FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS gram, f FROM split WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f FROM split WHERE k = 3) GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN covering c ON b.k = 2 AND b.lang = c.lang AND b.gram = c.gram
+  WHERE c.f IS NULL OR 100 * c.f < 50 * b.a
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank,
+       gram AS phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""

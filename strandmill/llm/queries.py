@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm import (
-    decontaminate, fim_pieces, jaccard, langid, linkgraph, preference, quality, simhash, substrings, token_files, warc, word_bpe,
+    collocations, decontaminate, fim_pieces, jaccard, langid, linkgraph, preference, quality, simhash, substrings, token_files, warc, word_bpe,
 )
 from strandmill.llm.oracles import (
-    FIM_SQL, LEAKS_SQL, LINKS_SQL, PAGE_RULES, WARC_SQL, preference_sql, url_filter_sql,
+    COLLOCATIONS_SQL, FIM_SQL, LEAKS_SQL, LINKS_SQL, PAGE_RULES, WARC_SQL, preference_sql, url_filter_sql,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.log_ratios(quality.ngram_counts(docs, trusted)))
 
 
+@query("op11_collocations", COLLOCATIONS_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_fill_in_middle", FIM_SQL)
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_pieces.rearranged_digests(table(spark, sf_dir, "documents"))

@@ -44,6 +44,24 @@ def column_texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column), "")
 
 
+def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The strings that lie one after another in these bytes."""
+    return pa.Array.from_buffers(
+        pa.large_string(), len(offsets) - 1,
+        [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))],
+    )
+
+
+def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, nulls as empty ones, and the offset of each."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    if data is None or not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]], ends - ends[0]
+
+
 def encoded_lists(lists: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Lists of strings as ids, the distinct strings they name, and the offset of each list."""
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from helpers import docs_of, prose
 
-from strandmill.llm import fim_pieces
+from strandmill.llm import fim_pieces, text_arrays
 
 
 def plainly(doc_id, text):
@@ -61,7 +61,7 @@ def test_no_rows_and_a_long_text(spark):
 
 
 def test_pieces_are_views():
-    data, offsets = fim_pieces.text_buffer(pa.array(["ab", None, "cd"]).slice(1))
+    data, offsets = text_arrays.text_buffer(pa.array(["ab", None, "cd"]).slice(1))
     pieces = fim_pieces.cut(data, offsets, offsets[1:, None].repeat(2, 1))
     assert pieces.texts().to_pylist() == ["", "cd"] and pieces.text is data
 
