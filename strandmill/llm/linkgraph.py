@@ -7,6 +7,7 @@ its host: blocked where distrust makes up more than a given share of both.
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Sequence
 
@@ -18,7 +19,6 @@ from strandmill.llm.store import how_to_send, stored
 URL_PARTS = r"://([^/?#]*)([^?#]*)"
 LINKS = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 DAMPING = 0.85
-ROUNDS = 30
 TOLERANCE = 1e-9
 MAX_DISTRUST = 0.5
 #: Rows of a table of hosts that are sent to all tasks at most; a larger one is shuffled.
@@ -105,14 +105,19 @@ def _shares(links: DataFrame, kind: str, start: str, end: str) -> DataFrame:
     )
 
 
+def rounds_to(tolerance: float = TOLERANCE, damping: float = DAMPING) -> int:
+    """Rounds after which the scores change by no more than ``tolerance``, on any graph."""
+    return math.ceil(math.log(tolerance) / math.log(damping))
+
+
 def propagate(
-    links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
-    tolerance: float = TOLERANCE,
+    links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """Rows (host, trust, distrust) from ``seeds`` (host, allowed, blocked) over ``links``.
 
-    Rounds end when the scores change by no more than ``tolerance`` of the seeds' weight. Each
-    round is written, so a lost executor costs one round at most.
+    Rounds end when the scores change by no more than ``tolerance`` of the seeds' weight: each
+    moves at most ``damping`` of what the one before moved. Each round is written, so a lost
+    executor costs one round at most.
     """
     links = stored(links, "host-links")
     steps = stored(
@@ -128,7 +133,7 @@ def propagate(
     )
     weight = base.agg(F.sum("score")).first()[0] or 0.0
     scores = base
-    for _ in range(rounds if weight else 0):
+    while weight:
         sent = scores.join(steps, ["kind", "host"]).groupBy("kind", "to").agg(
             F.sum(damping * F.col("score") * F.col("share")).alias("score")
         )

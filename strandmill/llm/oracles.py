@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandmill.llm.linkgraph import DAMPING, MAX_DISTRUST, ROUNDS, Rule
+from strandmill.llm.linkgraph import DAMPING, MAX_DISTRUST, Rule, rounds_to
 
 #: The rules that the url filter query is to apply.
 PAGE_RULES: list[Rule] = [
@@ -41,14 +41,16 @@ def preference_sql() -> str:
       SELECT conv_id, max(struct_pack(turn := turn, text := text)) AS last
       FROM turns WHERE role = 'assistant' GROUP BY conv_id
     ), ending AS (
-      SELECT e.conv_id, e.last.turn AS last_turn, p.last.text AS other
-      FROM ends e JOIN ends p ON p.conv_id = xor(e.conv_id, 1)
+      SELECT e.conv_id, e.last.turn AS last_turn, p.last.text AS other, p.conv_id IS NOT NULL AS answered
+      FROM ends e LEFT JOIN ends p ON p.conv_id = xor(e.conv_id, 1)
+    ), placed AS (
+      SELECT t.*, e.last_turn, e.other, e.answered, coalesce(turn = last_turn AND role = 'assistant', false) AS ends_it
+      FROM turns t LEFT JOIN ending e USING (conv_id)
     ), sides AS (
-      SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM turns JOIN ending USING (conv_id)
+      SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM turns
       UNION ALL
-      SELECT conv_id, 'rejected', turn, role,
-             CASE WHEN turn = last_turn AND role = 'assistant' THEN other ELSE text END
-      FROM turns JOIN ending USING (conv_id) WHERE turn <= last_turn
+      SELECT conv_id, 'rejected', turn, role, CASE WHEN ends_it THEN other ELSE text END
+      FROM placed WHERE (last_turn IS NULL OR turn <= last_turn) AND (NOT ends_it OR answered)
     ), listed AS (
       SELECT pair_id,
              list_sort(coalesce(list(DISTINCT struct_pack(turn := turn, role := role, text := text))
@@ -76,7 +78,7 @@ def preference_sql() -> str:
 # ------------------------------------------------------------------------ url filters
 
 
-def url_filter_sql(rules: list[Rule], rounds: int = ROUNDS) -> str:
+def url_filter_sql(rules: list[Rule], rounds: int = rounds_to()) -> str:
     listed = ", ".join(
         f"('{verdict}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')"
         for verdict, rule in rules

@@ -98,7 +98,11 @@ def pairs_from_conversations(conversations: DataFrame) -> DataFrame:
     """Turns of preference pairs: each conversation is chosen over itself with another ending.
 
     The other ending is the last assistant turn of the conversation whose id differs in the
-    lowest bit; a conversation whose partner has none is left out of the pairs.
+    lowest bit, put in place of the own last one. Without a partner that has one, nothing takes
+    that place: the rejected side ends before it. A conversation without an assistant turn is both
+    sides, whole. Every conversation with a numbered turn is one pair; rows without a conv_id or
+    turn belong to none. Of several assistant turns with one number the one whose text sorts last
+    is the last; all of them are replaced. Repeated rows count once when pairs are formed.
     """
     turns = conversations.select("conv_id", "turn", "role", "text").where(
         "conv_id is not null and turn is not null"
@@ -110,14 +114,17 @@ def pairs_from_conversations(conversations: DataFrame) -> DataFrame:
     partners = ends.select(
         F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("other")
     )
-    both = ends.select("conv_id", F.col("last.turn").alias("last_turn")).join(partners, "conv_id")
-    joined = turns.join(both, "conv_id")
+    both = ends.select("conv_id", F.col("last.turn").alias("last_turn")).join(
+        partners.withColumn("answered", F.lit(True)), "conv_id", "left"
+    )
+    joined = turns.join(both, "conv_id", "left")
+    ending = F.coalesce((F.col("turn") == F.col("last_turn")) & (F.col("role") == TRAINED_ROLE), F.lit(False))
     columns = ["pair_id", "side", "turn", "role", "text"]
     chosen = joined.withColumns({"pair_id": F.col("conv_id"), "side": F.lit("chosen")})
-    rejected = joined.where("turn <= last_turn").withColumns({
+    rejected = joined.where(F.expr("last_turn is null or turn <= last_turn")).where(
+        ~ending | F.col("answered").isNotNull()
+    ).withColumns({
         "pair_id": F.col("conv_id"), "side": F.lit("rejected"),
-        "text": F.when(
-            (F.col("turn") == F.col("last_turn")) & (F.col("role") == TRAINED_ROLE), F.col("other")
-        ).otherwise(F.col("text")),
+        "text": F.when(ending, F.col("other")).otherwise(F.col("text")),
     })
     return chosen.select(columns).unionByName(rejected.select(columns))

@@ -84,20 +84,19 @@ COUNTED = ["bucket", "raw", "target", "docs", "trusted_docs"]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target, docs, trusted_docs = np.zeros((4, N_BUCKETS), np.int64)
+    # A task reads far fewer than 2^32 n-grams.
+    raw, target, docs, trusted_docs = np.zeros((4, N_BUCKETS), np.uint32)
+    one = np.uint32(1)
     for batch in text_slices(batches):
         ones, offsets, twos, rows = _buckets(split_words(column_texts(batch)))
         trusted = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-        raw += np.bincount(np.concatenate([ones, twos]), minlength=N_BUCKETS)
-        of_target = np.concatenate([
-            ones[np.repeat(trusted, np.diff(offsets))], twos[trusted[rows]],
-        ])
-        target += np.bincount(of_target, minlength=N_BUCKETS)
+        for buckets, of_target in ((ones, np.repeat(trusted, np.diff(offsets))), (twos, trusted[rows])):
+            np.add.at(raw, buckets, one)
+            np.add.at(target, buckets[of_target], one)
         owners = np.repeat(np.arange(len(trusted)), np.diff(offsets))
         cells = np.unique(owners * N_BUCKETS + ones)
-        docs += np.bincount(cells % N_BUCKETS, minlength=N_BUCKETS)
-        cells = cells[trusted[cells // N_BUCKETS]]
-        trusted_docs += np.bincount(cells % N_BUCKETS, minlength=N_BUCKETS)
+        np.add.at(docs, cells % N_BUCKETS, one)
+        np.add.at(trusted_docs, cells[trusted[cells // N_BUCKETS]] % N_BUCKETS, one)
     yield _packed(raw, target, docs, trusted_docs)
 
 

@@ -32,7 +32,7 @@ MEMORY = 16
 PAD = 0xFF  # in no UTF-8 text
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 CHUNKS = (
-    "doc_id long, at int, start int, stop int, n_words int, hi long, lo long, again boolean"
+    "doc_id long, version int, at int, start int, stop int, n_words int, hi long, lo long, again boolean"
 )
 
 
@@ -108,7 +108,7 @@ def chunk_texts(texts: list[bytes], rounds: bool = False) -> tuple[np.ndarray, .
     if rounds:
         begins = _round_borders(begins, equal)
     first = np.flatnonzero(begins)
-    last = np.append(first[1:], len(starts)) - 1
+    last = np.append(first[1:], len(starts))[:len(first)] - 1
     begin, stop = starts[first], ends[last]
     view = memoryview(whole)
     digests = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(begin.tolist(), stop.tolist())]
@@ -117,6 +117,11 @@ def chunk_texts(texts: list[bytes], rounds: bool = False) -> tuple[np.ndarray, .
     return rows, begin - bases[rows], stop - bases[rows], last - first + 1, halves[:, 0], halves[:, 1]
 
 
+def text_version(texts: list[bytes]) -> np.ndarray:
+    """Tells different texts of one id apart."""
+    return np.fromiter(map(xxhash.xxh32_intdigest, texts), np.uint32, len(texts)).view(np.int32)
+
+
 def _again(rows: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """Whether a chunk's digest occurs earlier in its row."""
     order = np.lexsort((np.arange(len(rows)), lo, hi, rows))
@@ -130,7 +135,8 @@ def _again(rows: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Rows of all chunks: doc_id, number, byte range, words, digest, whether the text had it before."""
+    """Rows of all chunks: doc_id, text version, number, byte range, words, digest, whether the
+    text had it before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             texts = [t.encode() for t in column_texts(batch).to_pylist()]
@@ -142,21 +148,22 @@ def chunks(docs: DataFrame) -> DataFrame:
             small = [pa.array(v.astype(np.int32)) for v in (at, start, stop, n_words)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(rows)), *small, pa.array(hi), pa.array(lo),
+                    batch.column("doc_id").take(pa.array(rows)),
+                    pa.array(text_version(texts)[rows]), *small, pa.array(hi), pa.array(lo),
                     pa.array(_again(rows, hi, lo)),
                 ],
-                names=["doc_id", "at", "start", "stop", "n_words", "hi", "lo", "again"],
+                names=["doc_id", "version", "at", "start", "stop", "n_words", "hi", "lo", "again"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CHUNKS)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, start, stop, n_words, first_doc, is_first) of all repeated passages.
+    """Rows (doc_id, version, start, stop, n_words, first_doc, is_first) of all repeated passages.
 
     ``start`` and ``stop`` are byte offsets in the UTF-8 text, and passages of a text do not
     touch. ``is_first`` marks passages that no smaller doc_id, and nothing earlier in the text,
-    has; the others are what to remove. ``first_doc`` is the smallest id of another document
+    has; the others are what to remove. ``version`` is a hash of the text, for ids with several. ``first_doc`` is the smallest id of another document
     that a chunk of the passage is in, or the text's own where it repeats itself. Null and empty
     texts and texts without a word have no passages. Rows that share an id, or have none, count
     as copies of one document: they are never repeats of each other. Other columns are
@@ -173,28 +180,28 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = (key == F.col("low")) & ~F.col("again")
     other = F.when(F.col("low") < key, F.col("low")).otherwise(F.col("high"))
     marked = table.join(repeated, ["hi", "lo"]).select(
-        "doc_id", "at", "start", "stop", "n_words", first.alias("is_first"), other.alias("other")
+        "doc_id", "version", "at", "start", "stop", "n_words", first.alias("is_first"), other.alias("other")
     ).where("doc_id is not null")
     return _runs(marked).where(F.col("n_words") >= min_words)
 
 
 def _runs(marked: DataFrame) -> DataFrame:
     """Passages from repeated chunks: neighbours that are all first occurrences, or all not."""
-    of_text = Window.partitionBy("doc_id", "is_first").orderBy("at")
-    run = F.col("at") - F.dense_rank().over(of_text)  # rows that share an id share chunk numbers
+    of_text = Window.partitionBy("doc_id", "version", "is_first").orderBy("at")
+    run = F.col("at") - F.dense_rank().over(of_text)  # repeated rows share chunk numbers
     return (
-        marked.withColumn("run", run).groupBy("doc_id", "is_first", "run")
+        marked.withColumn("run", run).groupBy("doc_id", "version", "is_first", "run")
         .agg(
             F.min("start").alias("start"), F.max("stop").alias("stop"),
             F.min("other").alias("first_doc"),
             _words_once().alias("n_words"),
         )
-        .select("doc_id", "start", "stop", "n_words", "first_doc", "is_first")
+        .select("doc_id", "version", "start", "stop", "n_words", "first_doc", "is_first")
     )
 
 
 def _words_once() -> Column:
-    """Words of a run, each chunk once however many rows share the id."""
+    """Words of a run, each chunk once however many rows share id and text."""
     copies = F.count("*") / F.count_distinct("at")
     return F.round(F.sum("n_words") / copies).cast("int")
 
@@ -203,37 +210,48 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeats cut out of ``text`` and ``n_chars`` counted anew.
 
     Each passage stays where it occurs first. A text that loses all its words is dropped;
-    texts without repeats, null and empty ones among them, stay as they are. Other columns
-    are handed on.
+    texts without repeats, null and empty ones among them, stay as they are. Rows that share an
+    id lose what repeats in their own text; repeated rows stay repeated. Other columns are handed on.
     """
+    columns = docs.columns
+    cut_id, ranges_at = _unused("cut_id", columns), len(columns)
     cuts = (
         repeated_passages(docs, min_words).where("not is_first and doc_id is not null")
-        .groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("cuts"))
-        .select(F.col("doc_id").alias("cut_id"), F.col("cuts").alias("cut_ranges"))
+        .groupBy("doc_id")
+        .agg(F.array_sort(F.collect_set(F.struct("version", "start", "stop"))).alias("cuts"))
+        .select(F.col("doc_id").alias(cut_id), F.col("cuts").alias(_unused("cuts", columns)))
     )
-    columns = docs.columns
     text_at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            ranges = batch.column(len(columns)).to_pylist()
             texts = batch.column(text_at).to_pylist()
-            keep = np.ones(len(texts), bool)
-            for i, cut in enumerate(ranges):
-                if cut:
-                    texts[i] = cut_out(texts[i].encode(), [(c["start"], c["stop"]) for c in cut])
+            keep, cut = np.ones((2, len(texts)), bool)
+            for i, ranges in enumerate(batch.column(ranges_at).to_pylist()):
+                raw = (texts[i] or "").encode()
+                version = text_version([raw])[0] if ranges else 0
+                own = [(c["start"], c["stop"]) for c in ranges or [] if c["version"] == version]
+                cut[i] = bool(own)
+                if own:
+                    texts[i] = cut_out(raw, own)
                     keep[i] = bool(texts[i].strip())
             arrays = batch.columns[:len(columns)]
             arrays[text_at] = pa.array(texts, pa.string())
             if "n_chars" in columns:
                 at = columns.index("n_chars")
-                sizes = [n if cut is None else len(t) for n, t, cut in
-                         zip(arrays[at].to_pylist(), texts, ranges)]
+                sizes = [len(t) if c else n for n, t, c in zip(arrays[at].to_pylist(), texts, cut)]
                 arrays[at] = pa.array(sizes, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep))
 
-    joined = docs.join(cuts, docs["doc_id"] == cuts["cut_id"], "left").drop("cut_id")
-    return joined.mapInArrow(run, docs.schema)
+    return docs.join(cuts, docs["doc_id"] == cuts[cut_id], "left").drop(cut_id).mapInArrow(run, docs.schema)
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    """The name, or a longer one that no column has in any case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def cut_out(text: bytes, ranges: list[tuple[int, int]]) -> str:

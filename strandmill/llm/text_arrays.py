@@ -5,6 +5,7 @@ Only the distinct words of a slice ever become Python objects.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,13 +21,18 @@ MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the C library hold in reserve: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_slices(
     batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about ``max_bytes`` of text, or one longer text.
-
-    Workers live on after a task, so memory that Arrow holds in reserve is given back.
-    """
+    """Batches cut so that each holds about ``max_bytes`` of text, or one longer text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
@@ -36,7 +42,7 @@ def text_slices(
             stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def column_texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

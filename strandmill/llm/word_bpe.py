@@ -46,8 +46,6 @@ NEW_CAPITALS = (
     (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
 )
 LOWER_NEW = {c: c + step for first, last, step in NEW_CAPITALS for c in range(first, last + 1)}
-#: Larger slices repeat more of their words.
-SLICE_BYTES = 4 << 20
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -96,8 +94,8 @@ class WordBpe:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
-        self.word_cache = PieceCache(self.encode_words, 100_000)
-        self.piece_cache = PieceCache(self._encode_pieces, 200_000)
+        self.word_cache = PieceCache(self.encode_words, 50_000)
+        self.piece_cache = PieceCache(self._encode_pieces, 100_000)
 
     # ------------------------------------------------------------------ merging
 
@@ -210,7 +208,7 @@ def encode_texts(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     any other. Other columns are not looked at.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, max_bytes=SLICE_BYTES):
+        for batch in text_slices(batches):
             flat, lengths = word_bpe(tokenizer_json).encode(column_texts(batch))
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
             ids = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
@@ -239,7 +237,7 @@ def encode_digests(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(tokenizer_json)
-        for batch in text_slices(batches, max_bytes=SLICE_BYTES):
+        for batch in text_slices(batches):
             flat, lengths = bpe.encode(column_texts(batch))
             of_ids, of_texts = [], []
             for ids in np.split(flat.astype("<u4"), np.cumsum(lengths)[:-1]):

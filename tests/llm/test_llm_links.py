@@ -96,13 +96,26 @@ def test_propagation_equals_plain_iteration(spark):
     seeds = [("h1", 5, 0), ("h2", 1, 4), ("h3", 0, 7), ("lonely", 2, 2)]
     got = linkgraph.propagate(
         spark.createDataFrame(links, "src string, dst string, n long"),
-        spark.createDataFrame(seeds, "host string, allowed long, blocked long"), rounds=60)
+        spark.createDataFrame(seeds, "host string, allowed long, blocked long"), tolerance=1e-4)
     want = {h: s for h, s in scores(links, seeds).items() if any(s)}
     found = {r.host: (r.trust, r.distrust) for r in got.collect()}
     for host, pair in want.items():
         assert found.get(host, (0, 0)) == pytest.approx(pair, abs=1e-3)
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    links = [(f"h{i:02d}", f"h{i + 1:02d}", 1) for i in range(60)]
+    seeds = [("h60", 0, 1)]
+    got = linkgraph.propagate(
+        spark.createDataFrame(links, "src string, dst string, n long").coalesce(1),
+        spark.createDataFrame(seeds, "host string, allowed long, blocked long"))
+    found = {r.host: (r.trust, r.distrust) for r in got.collect()}
+    assert len(found) == 61
+    for host, (trust, distrust) in scores(links, seeds).items():
+        assert found[host] == (trust, pytest.approx(distrust, rel=1e-9))
+    assert 0.85 ** linkgraph.rounds_to() <= linkgraph.TOLERANCE < 0.85 ** (linkgraph.rounds_to() - 1)
+
+
 def test_distrust_flows_backwards(spark):
     link = '<a class=x HREF = "{}">t</a> <a href=\'/local\'> <a href="mailto:x">'
     rows = [
@@ -167,6 +180,53 @@ def test_pairs(spark):
     assert preference.preference_pairs(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def plain_sides(rows):
+    """Both sides of every conversation, as lists of (turn, role, text)."""
+    order = lambda t: (t[0], t[1] is not None, t[1] or "", t[2] is not None, t[2] or "")
+    turns = {}
+    for conv, *t in rows:
+        if conv is not None and t[0] is not None:
+            turns.setdefault(conv, set()).add(tuple(t))
+    last = {}
+    for conv, found in turns.items():
+        said = [t for t in found if t[1] == "assistant"]
+        if said:
+            last[conv] = max(said, key=lambda t: (t[0], t[2] is not None, t[2] or ""))
+    out = {}
+    for conv, found in turns.items():
+        rejected = set()
+        for t in found:
+            if conv in last and t[0] > last[conv][0]:
+                continue
+            if conv in last and t[0] == last[conv][0] and t[1] == "assistant":
+                if conv ^ 1 in last:
+                    rejected.add((t[0], t[1], last[conv ^ 1][2]))
+                continue
+            rejected.add(t)
+        out[conv] = (sorted(found, key=order), sorted(rejected, key=order))
+    return out
+
+
+def test_every_conversation_is_a_pair(spark):
+    u, s = "user", "assistant"
+    rows = [
+        (0, 0, u, "a"), (0, 1, s, "b"), (0, 2, u, "c"), (1, 0, u, "d"), (1, 1, s, "e"),  # partners
+        (2, 0, u, "f"), (2, 1, s, "g"), (3, 0, u, "only a user"),  # one without an assistant
+        (4, 0, s, "no partner"), (6, 0, u, None), (7, 0, None, "x"), (9, 0, s, None), (8, 3, s, "p"), (8, 3, s, "q"), (8, 3, u, "r"),
+        (10, 0, u, "same"), (10, 1, s, "end"), (11, 0, u, "same"), (11, 1, s, "end"), (11, 1, s, "end"),
+        (None, 0, s, "lost"), (12, None, s, "lost"), (14, 0, u, prose(1, 30_000)), (14, 1, s, prose(2, 30_000)),
+    ]
+    table = spark.createDataFrame([(*r, "c", 5) for r in rows], "conv_id long, turn long, role string, text string, other string, last_turn int")
+    got = preference.preference_pairs(preference.pairs_from_conversations(table)).collect()
+    spans = lambda m: [(x.start, x.stop) for x in m]
+    found = {r.pair_id: (r.n_prompt_turns, r.prompt, r.chosen, r.rejected, spans(r.chosen_mask),
+                         spans(r.rejected_mask)) for r in got}
+    assert found == {c: expected_pair(a, b) for c, (a, b) in plain_sides(rows).items()}
+    assert set(found) == {0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 14}
+    assert found[4][3] == "" and found[3][2:4] == ("", "")
+    assert preference.pairs_from_conversations(table.limit(0)).count() == 0
+
+
 # ------------------------------------------------------------------------ revisits
 
 RECORDS = ("record_id long, warc_type string, target_uri string, warc_date long, status int, profile string, "
