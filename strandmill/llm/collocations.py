@@ -2,7 +2,7 @@
 
 Nodes are runs of two words, edges runs of three that lead from their first two words to their
 last two; an edge weighs as much as it occurs. Only edges, and the shorter runs at ends of pieces,
-are counted in texts. A node's count is the flow out of it, plus what ends in it; a word's count
+are counted in texts, and moved once. A node's count is the flow out of it, plus what ends in it; a word's count
 is the flow of the nodes it begins, plus what ends in it.
 
 A node whose whole flow comes in by one edge and leaves by one edge is inner: nothing begins,
@@ -17,7 +17,8 @@ each. Texts without words and empty tables give no rows. Other columns are not r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ UNKNOWN = "und"
 SCALE = 1_000_000
 #: Slices of a language in which the first rows are chosen before they meet.
 RANK_SLICES = 64
+#: Nodes whose edges are dealt over slices, how many, and documents that they are looked for in.
+HOT_NODES, HOT_SLICES, SAMPLED_DOCS = 1024, 64, 10_000
 
 BLANK, BREAK = 1, 2
 _KINDS = np.zeros(256, np.uint8)
@@ -61,42 +64,72 @@ def piece_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return strings(data[word], np.concatenate([[0], np.cumsum(sizes)])), rows, last
 
 
-def edge_counts(texts: pa.Array, langs: pa.Array) -> pa.Table:
-    """Rows (lang, gram, n): the run of three words that begins at each word, or what is left
-    of its piece."""
+#: Columns of counted edges. ``rest`` is what follows the node; a node of one word ends its piece.
+EDGES = "lang string, node string, rest string, slice int, n long"
+
+
+def edge_counts(
+    texts: pa.Array, langs: pa.Array, hot: Sequence[tuple[str, str]] = ()
+) -> pa.Table:
+    """Rows of ``EDGES``: the run of three words that begins at each word, or what is left of its
+    piece. Edges that leave a hot node (language, node) are dealt over slices."""
     words, rows, last = piece_words(texts)
     coded, spoken = words.dictionary_encode(), pc.fill_null(langs, UNKNOWN).dictionary_encode()
-    size = max(1, len(coded.dictionary))
+    names, tongues = coded.dictionary, spoken.dictionary
+    if not len(words):
+        return pa.table([pa.array([], t) for t in (*[pa.string()] * 3, pa.int32(), pa.int64())],
+                        ["lang", "node", "rest", "slice", "n"])
+    size = len(names)
     both = spoken.indices.to_numpy()[rows].astype(np.int64) * size + coded.indices.to_numpy()
     known, own = np.unique(both, return_inverse=True)
     # Words of a language from 1 on; 0 where the piece has ended.
     one = own.astype(np.int64) + 1
-    two, three = np.zeros_like(one), np.zeros_like(one)
+    two, three = np.zeros((2, len(one)), np.int64)
     two[:-1] = np.where(last[:-1], 0, one[1:])
     three[:-1] = np.where(last[:-1], 0, two[1:])
     base = len(known) + 1
-    pairs, pair = one * base + two, None
-    if base ** 3 >= 1 << 63:
-        pairs, pair = np.unique(pairs, return_inverse=True)
-    grams, counts = np.unique((pairs if pair is None else pair) * base + three, return_counts=True)
-    head = grams // base if pair is None else pairs[grams // base]
-    parts = (head // base, head % base, grams % base)
-    names = [
-        coded.dictionary.take(pa.array(known[np.maximum(p, 1) - 1] % size, mask=p == 0)) for p in parts
-    ] if len(known) else [pa.array([], pa.large_string())] * 3
-    gram = pc.binary_join_element_wise(*names, pa.scalar(" ", pa.large_string()), null_handling="skip")
-    lang = spoken.dictionary.take(pa.array(known[parts[0] - 1] // size)) if len(known) else pa.array([], pa.string())
-    return pa.table({"lang": lang.cast(pa.string()), "gram": gram.cast(pa.string()), "n": counts})
-
-
-def edges(docs: DataFrame) -> DataFrame:
-    """Rows (lang, gram, n) over all texts: edges, and shorter runs that end a piece."""
+    nodes_at, node = np.unique(one * base + two, return_inverse=True)
+    edge, counts = np.unique(node.astype(np.int64) * base + three, return_counts=True)
+    head = nodes_at[edge // base]
+    one, two, three = head // base, head % base, edge % base
+
+    def word(code: np.ndarray) -> pa.Array:
+        return names.take(pa.array(known[np.maximum(code, 1) - 1] % size, mask=code == 0))
+
+    space = pa.scalar(" ", pa.large_string())
+    runs = pc.binary_join_element_wise(word(one), word(two), space, null_handling="skip")
+    lang = tongues.take(pa.array(known[one - 1] // size))
+    slices = np.zeros(len(edge), np.int32)
+    if hot:
+        near = pa.table([lang, runs.cast(pa.string())], ["lang", "node"]).combine_chunks()
+        wanted = pa.array([f"{a}\t{b}" for a, b in hot])
+        keys = pc.binary_join_element_wise(near["lang"].cast(pa.string()), near["node"], "\t")
+        at = np.flatnonzero(pc.is_in(keys, wanted).to_numpy(zero_copy_only=False))
+        follow = word(three[at]).fill_null("").to_pylist()
+        slices[at] = [1 + zlib.crc32(w.encode()) % HOT_SLICES for w in follow]
+    return pa.table({
+        "lang": lang.cast(pa.string()), "node": runs.cast(pa.string()),
+        "rest": word(three).cast(pa.string()), "slice": slices, "n": counts,
+    })
+
+
+def _counted(docs: DataFrame, hot: Sequence[tuple[str, str]] = ()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            yield from edge_counts(batch.column("text"), batch.column("lang")).to_batches()
+            yield from edge_counts(batch.column("text"), batch.column("lang"), hot).to_batches()
+
+    return docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, EDGES)
+
 
-    found = docs.select("text", F.col("lang").cast("string")).mapInArrow(run, "lang string, gram string, n long")
-    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def hot_nodes(docs: DataFrame) -> list[tuple[str, str]]:
+    """The ``HOT_NODES`` nodes (language, node) that most edges leave, by a sample of documents.
+
+    Any other leads to a small part of the edges. A node judged wrongly costs time, never counts.
+    """
+    sample = docs.sample(min(1.0, SAMPLED_DOCS / max(docs.count(), 1)), seed=1)
+    found = _counted(sample).groupBy("lang", "node").agg(F.count("*").alias("edges"))
+    first = found.orderBy(F.desc("edges"), "lang", "node").limit(HOT_NODES).collect()
+    return [(r["lang"], r["node"]) for r in first]
 
 
 # ------------------------------------------------------------------------- the graph
@@ -112,17 +145,32 @@ def _n_words(gram: str) -> Column:
 def flows(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """Rows (lang, gram, n) of all runs of one to three words with at least this count.
 
-    Counts of one and two words are flows. The empty gram has the count of all words.
+    Counts of one and two words are flows. The empty gram has the count of all words. Edges are
+    moved once, to where their node is, so a node's flow needs no further shuffle; words, and
+    nodes in slices, are summed from those sums.
     """
-    counted = edges(docs).withColumn("words", _n_words("gram"))
+    key = ["lang", "node", "slice"]
+    moved = _counted(docs, hot_nodes(docs)).repartition(*key)
+    edge = moved.groupBy(*key, "rest").agg(F.sum("n").alias("n"))
+    none = F.lit(None).cast("string")
+    out = F.array(
+        F.when(F.col("rest").isNotNull() & (F.col("n") >= min_count), F.struct("rest", "n")),
+        F.struct(none.alias("rest"), F.col("n").alias("n")),
+    )
+    flow = (
+        edge.select(*key, F.inline(F.filter(out, lambda x: x.isNotNull())))
+        .groupBy(*key, "rest").agg(F.sum("n").alias("n"))
+    )
+    whole, enough = F.col("rest").isNull(), F.col("n") >= min_count
     runs = F.array(
-        F.when((F.col("words") == 3) & (F.col("n") >= min_count), F.col("gram")),
-        F.when(F.col("words") >= 2, _first("gram", 2)), _first("gram", 1), F.lit(""),
+        F.when(~whole, F.concat_ws(" ", "node", "rest")),
+        F.when(whole & F.contains("node", F.lit(" ")) & (enough | (F.col("slice") > 0)), F.col("node")),
+        F.when(whole, _first("node", 1)), F.when(whole, F.lit("")),
     )
     return (
-        counted.select("lang", F.explode(F.filter(runs, lambda g: g.isNotNull())).alias("gram"), "n")
+        flow.select("lang", F.explode(F.filter(runs, lambda g: g.isNotNull())).alias("gram"), "n")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        .where((F.col("n") >= min_count) | (F.col("gram") == ""))
+        .where(enough | (F.col("gram") == ""))
     )
 
 

@@ -109,15 +109,36 @@ def test_paths_are_compact(spark):
     assert not inner & ends
 
 
-def test_long_texts_and_large_vocabularies(spark, monkeypatch):
+def as_counts(table):
+    return {(r["lang"], r["node"], r["rest"], r["slice"]): r["n"] for r in table.to_pylist()}
+
+
+def test_long_texts_and_large_vocabularies():
     texts = pa.array(["a b. c " * 200_000, None, "b c"])
     langs = pa.array(["en", "en", None])
-    got = {(r["lang"], r["gram"]): r["n"] for r in co.edge_counts(texts, langs).to_pylist()}
-    assert got == {("en", "a b"): 200_000, ("en", "b"): 200_000, ("en", "c a b"): 199_999, ("en", "c"): 1,
-                   ("und", "b c"): 1, ("und", "c"): 1}
+    assert as_counts(co.edge_counts(texts, langs)) == {
+        ("en", "a b", None, 0): 200_000, ("en", "b", None, 0): 200_000, ("en", "c a", "b", 0): 199_999,
+        ("en", "c", None, 0): 1, ("und", "b c", None, 0): 1, ("und", "c", None, 0): 1}
     many = pa.array([" ".join(f"x{i}" for i in range(2_200_000))])
     found = co.edge_counts(many, pa.array(["en"]))
-    assert found.num_rows == 2_200_000 and found["gram"][0].as_py() == "x0 x1 x2"
+    assert found.num_rows == 2_200_000 and found["node"][0].as_py() == "x0 x1" and found["rest"][0].as_py() == "x2"
+
+
+def test_hot_nodes_are_sliced(spark):
+    texts, langs = pa.array(["a b c a b d a b. a b", "a b c"]), pa.array(["en", "de"])
+    plain = as_counts(co.edge_counts(texts, langs))
+    got = as_counts(co.edge_counts(texts, langs, [("en", "a b"), ("fr", "b c"), ("en", "zz a")]))
+    assert {k[:3]: n for k, n in got.items()} == {k[:3]: n for k, n in plain.items()}
+    assert {k[:2] for k in got if k[3] > 0} == {("en", "a b")} and len({k[3] for k in got}) > 2
+    docs = spark.createDataFrame([(1, "a b c a b d a b e", "en"), (2, "a b", "de")], SCHEMA)
+    assert co.hot_nodes(docs)[0] == ("en", "a b")
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_slices_change_no_count(spark, monkeypatch, hot):
+    monkeypatch.setattr(co, "HOT_NODES", hot)
+    rows = corpus()
+    assert as_rows(co.collocations(spark.createDataFrame(rows, SCHEMA))) == plainly(rows)
 
 
 def test_scores_are_exact(spark):
