@@ -14,18 +14,19 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from strandmill.functions.fim import FIM_TAGS
 from strandmill.functions.text import SPECIAL_TOKENS, UNK
+from strandmill.operators.bpe_index import PairIndex, bucket_number
 from strandmill.operators.bpe_kernel import (
     EncoderTables, build_tables, encode, encode_with_dropout, replace_all, weighted_pairs,
 )
-from strandmill.session import materialize, two_paths
+from strandmill.session import materialize, scratch, two_paths
 
 # Characters encoded together in one task step.
 CHARS_PER_STEP = 4_000_000
 # Best pairs looked at per training pass, and merges applied before the corpus is rewritten.
 PAIRS_PER_PASS = 64
 MERGES_PER_REWRITE = 16
-# Pair counts are updated, not counted anew, when merges touch less than this share of the texts.
-UPDATE_SHARE = 0.25
+# Texts are indexed by their pairs once a pass merges fewer pairs than this share of the texts.
+INDEX_SHARE = 0.25
 # While training, token i is written as one character from here on, leaving out surrogates.
 FIRST_CODE = 0x100
 MAX_TOKENS = 0x110000 - 0x800 - FIRST_CODE
@@ -188,38 +189,17 @@ def _replaced(text: Column, merges: list[tuple[int, int, int]]) -> Column:
     return text
 
 
-def _coded_pair_counts(
-    words: DataFrame, pending: list[tuple[int, int, int]],
-    batch: list[tuple[int, int, int]] | None = None,
-) -> DataFrame:
+def _coded_pair_counts(words: DataFrame, pending: list[tuple[int, int, int]]) -> DataFrame:
     """As ``pair_counts`` for coded texts to which the pending merges still have to be applied.
-
-    With a ``batch`` of further merges, what these change: the pairs of the texts they touch,
-    counted negatively before and positively after. Runs in Arrow batches.
-    """
-
-    def pairs_of(merges):
-        return [(_code(x) + _code(y), _code(new)) for x, y, new in merges]
-
-    first, second = pairs_of(pending), pairs_of(batch or [])
+    Runs in Arrow batches."""
+    merges = [(_code(x) + _code(y), _code(new)) for x, y, new in pending]
 
     def task(batches):
         for record in batches:
             texts, copies = record.column("text").to_pylist(), record.column("copies").to_numpy()
             for at, stop in _steps(texts):
-                part = replace_all(texts[at:stop], first)
-                weight = copies[at:stop]
-                if batch is None:
-                    counted = [weighted_pairs(part, weight)]
-                else:
-                    hit = [i for i, t in enumerate(part) if any(p in t for p, _ in second)]
-                    before, weight = [part[i] for i in hit], weight[hit]
-                    counted = [
-                        weighted_pairs(before, -weight),
-                        weighted_pairs(replace_all(before, second), weight),
-                    ]
-                for pairs, cnt in counted:
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array(cnt)], ["pair", "cnt"])
+                pairs, cnt = weighted_pairs(replace_all(texts[at:stop], merges), copies[at:stop])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array(cnt)], ["pair", "cnt"])
 
     counted = words.select("text", "copies").mapInArrow(task, "pair string, cnt bigint")
     return counted.groupBy("pair").agg(F.sum("cnt").alias("cnt"))
@@ -240,19 +220,28 @@ def _short_pairs(counts: DataFrame, tokens: list[str], max_token_length: int) ->
 def train_bpe(
     corpus: DataFrame, vocab_size: int = 30_000, min_frequency: int = 0,
     max_token_length: int | None = None, text: str = "text",
-    specials: tuple[str, ...] = SPECIAL_TOKENS,
+    specials: tuple[str, ...] = SPECIAL_TOKENS, buckets: int | None = None,
 ) -> BpeModel:
     """Learn a vocabulary; a whole text is one word.
 
     Every token is one character of a coded text, so a merge is a literal replacement. A pass
     makes all merges that cannot influence each other. While merges touch many texts, a pass
-    counts all pairs anew; once they are rare, it scans for the texts they touch and updates
-    the table of counts. Only counts are shuffled, and the driver only holds the vocabulary.
-    The coded corpus is rewritten to the shared folder from time to time.
+    counts all pairs anew, and the coded corpus is rewritten from time to time. Once they are rare,
+    texts are put into ``buckets`` with an index of their pairs, and a pass reads only the buckets
+    that hold what it merges. Only counts are shuffled, and the driver only holds the vocabulary
+    and the places of the buckets. Tables are deleted at the end.
     """
-    spark = corpus.sparkSession
     if vocab_size > MAX_TOKENS:
         raise ValueError(f"vocab_size must not exceed {MAX_TOKENS}")
+    with scratch(corpus.sparkSession):
+        return _train(corpus, vocab_size, max(1, min_frequency), max_token_length, text, specials, buckets)
+
+
+def _train(
+    corpus: DataFrame, vocab_size: int, min_frequency: int, max_token_length: int | None, text: str,
+    specials: tuple[str, ...], buckets: int | None,
+) -> BpeModel:
+    spark = corpus.sparkSession
     # Every pass is heavy on CPU per byte, so the texts are laid out in no fewer files than cores.
     tasks = max(
         spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -268,16 +257,16 @@ def train_bpe(
     merges: list[tuple[int, int, int]] = []
     if not alphabet:
         return BpeModel(tokens, merges, list(specials))
-    total_copies = words.agg(F.sum("copies")).first()[0]
+    total_copies, chars = words.agg(F.sum("copies"), F.sum(F.length("text"))).first()
     coded = F.translate("text", "".join(alphabet), "".join(_code(ids[c]) for c in alphabet))
-    texts_at, counts_at = two_paths(spark, "bpe-coded"), two_paths(spark, "bpe-counts")
+    texts_at = two_paths(spark, "bpe-coded")
     state = materialize(words.select(coded.alias("text"), "copies"), path=next(texts_at))
     pending: list[tuple[int, int, int]] = []
-    kept_counts: DataFrame | None = None
+    index: PairIndex | None = None
 
     while len(tokens) < vocab_size:
-        counts = _coded_pair_counts(state, pending) if kept_counts is None else kept_counts
-        eligible = counts.filter(F.col("cnt") >= max(1, min_frequency))
+        counts = _coded_pair_counts(state, pending) if index is None else index.counts()
+        eligible = counts.filter(F.col("cnt") >= min_frequency)
         if max_token_length is not None:
             eligible = _short_pairs(eligible, tokens, max_token_length)
         best = [
@@ -295,15 +284,13 @@ def train_bpe(
                 ids[product] = len(tokens)
                 tokens.append(product)
             batch.append((a, b, ids[product]))
-        if sum(cnt for _, _, cnt in best[: len(batch)]) < UPDATE_SHARE * total_copies:
-            if kept_counts is None:
-                kept_counts = materialize(counts, path=next(counts_at))
-            changes = _coded_pair_counts(state, pending, batch)
-            updated = kept_counts.unionByName(changes).groupBy("pair").agg(F.sum("cnt").alias("cnt"))
-            kept_counts = materialize(updated.filter("cnt > 0"), path=next(counts_at))
-        else:
-            kept_counts = None
         merges += batch
+        if index is None and sum(cnt for _, _, cnt in best[: len(batch)]) < INDEX_SHARE * total_copies:
+            current = state.select(_replaced(F.col("text"), pending).alias("text"), "copies")
+            index = PairIndex(current, buckets or bucket_number(chars, tasks))
+        if index is not None:
+            index.merge([(_code(a) + _code(b), _code(new)) for a, b, new in batch])
+            continue
         pending += batch
         if len(pending) >= MERGES_PER_REWRITE:
             merged = _replaced(F.col("text"), pending).alias("text")

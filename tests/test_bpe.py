@@ -1,5 +1,6 @@
 import json
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from tokenizers.models import BPE
 from tokenizers.trainers import BpeTrainer
 
 from strandmill.functions.text import SPECIAL_TOKENS
-from strandmill.operators import bpe, bpe_kernel, vocab
+from strandmill.operators import bpe, bpe_index, bpe_kernel, vocab
 from strandmill.plans.prepare import prepare_corpus
 from strandmill.sources.writers import read_vocab, write_vocab
 
@@ -62,17 +63,53 @@ def test_training_matches_the_library(spark, seed, options, alphabet):
 
 
 @pytest.mark.parametrize("share", [0.0, 0.4, 100.0])
-def test_counting_updating_and_rewriting_agree(spark, monkeypatch, share):
-    """Few looked-at pairs, frequent rewrites, and updated counts give the library's merges."""
+def test_counting_indexing_and_rewriting_agree(spark, monkeypatch, share):
+    """Few looked-at pairs, frequent rewrites, and an index give the library's merges."""
     texts = proteins(11, n=60)
     want = library(texts, vocab_size=48)
-    monkeypatch.setattr(bpe, "UPDATE_SHARE", share)
+    monkeypatch.setattr(bpe, "INDEX_SHARE", share)
+    monkeypatch.setattr(bpe_index, "PASSES_PER_FOLD", 2)
     monkeypatch.setattr(bpe, "PAIRS_PER_PASS", 3)
     monkeypatch.setattr(bpe, "MERGES_PER_REWRITE", 2)
     got = bpe.train_bpe(corpus(spark, texts), vocab_size=48)
     assert [(got.tokens[a], got.tokens[b]) for a, b, _ in got.merges] == merges_of(want)
 
 
+def plain_pairs(texts):
+    found = {}
+    for text, copies in texts:
+        for pair in zip(text, text[1:]):
+            found["".join(pair)] = found.get("".join(pair), 0) + copies
+    return found
+
+
+@pytest.mark.parametrize("buckets, fold", [(1, 16), (7, 2), (40, 3)])
+def test_index_follows_the_texts(spark, monkeypatch, buckets, fold):
+    monkeypatch.setattr(bpe_index, "PASSES_PER_FOLD", fold)
+    texts = {(t, 1 + i % 3) for i, t in enumerate(sorted({*proteins(5, n=40), "XYXY", "ZZZZZ"})) if t}
+    index = bpe_index.PairIndex(spark.createDataFrame(sorted(texts), "text string, copies long"), buckets)
+    passes = [[("XY", "\u0100"), ("AC", "\u0101")], [("ZZ", "\u0102")], [("\u0102\u0102", "\u0103")],
+              [("QQ", "\u0104"), ("AA", "\u0105")], [("no", "\u0106")], [("\u0100\u0100", "\u0107")]]
+    for merges in passes:
+        holders = {r.bucket for r in index.texts().collect() if any(p in r.text for p, _ in merges)}
+        assert index.holders([p for p, _ in merges]) == sorted(holders)
+        index.merge(merges)
+        for pair, product in merges:
+            texts = {(t.replace(pair, product), n) for t, n in texts}
+        assert {(r.text, r.copies) for r in index.texts().collect()} == texts
+        assert {r.pair: r.cnt for r in index.counts().collect()} == plain_pairs(texts)
+    # Rare pairs are in few buckets; a pair that no text has is in none.
+    assert index.touched[4] == 0 and index.touched[2] == index.touched[5] == 1
+    assert max(index.touched) <= buckets
+
+
+def test_tables_of_training_are_deleted(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / spark.sparkContext.applicationId
+    before = set(shared.glob("*"))
+    bpe.train_bpe(corpus(spark, proteins(11, n=60)), vocab_size=40)
+    assert set(shared.glob("*")) == before
+
+
 def test_training_on_nothing(spark):
     model = bpe.train_bpe(corpus(spark, [""]), vocab_size=50)
     assert model.tokens == list(SPECIAL_TOKENS) and model.merges == []
