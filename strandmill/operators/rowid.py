@@ -2,11 +2,12 @@
 
 Rows are range partitioned and sorted once and written to the shared folder; ids are then the
 position inside a partition plus the size of the partitions before it. The only table that
-sees an unpartitioned window or a broadcast has one row per shuffle partition.
+goes through the driver or is broadcast has one row per shuffle partition.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,12 +27,19 @@ def _placed(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
     )
 
 
+def offsets_before(parts: DataFrame, part: str, amount: str, out: str) -> DataFrame:
+    """For each partition the sum of ``amount`` over the partitions with a lower number.
+
+    ``parts`` has one row per partition, so it is summed up by the driver.
+    """
+    amounts = sorted((r[0], r[1] or 0) for r in parts.select(part, amount).collect())
+    before = itertools.accumulate((n for _, n in amounts), initial=0)
+    rows = [(number, total) for (number, _), total in zip(amounts, before)]
+    return parts.sparkSession.createDataFrame(rows, f"{part} bigint, {out} bigint")
+
+
 def _offsets(placed: DataFrame, amount: Column) -> DataFrame:
-    totals = placed.groupBy("_part").agg(amount.alias("_amount"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        "_part", F.coalesce(F.sum("_amount").over(before), F.lit(0)).alias("_offset")
-    )
+    return offsets_before(placed.groupBy("_part").agg(amount.alias("_amount")), "_part", "_amount", "_offset")
 
 
 def with_row_id(df: DataFrame, order_by: Sequence[str], out: str = "row_id") -> DataFrame:

@@ -13,18 +13,19 @@ from strandmill.sources.lines import read_lines
 
 
 def explode_cluster_lines(
-    lines: DataFrame, text: str = "text", ord_col: str = "id", sep: str = "\t"
+    lines: DataFrame, text: str = "text", ord_col: str = "id", sep: str = "\t",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """``cluster_id <tab> member...`` lines to ``cluster_id, member_id, ord, pos``.
 
-    A line without members gives one row with a NULL member.
+    A line without members gives one row with a NULL member. Columns to ``keep`` come first.
     """
     parts = F.split(text, sep)
     members = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - F.lit(1), F.lit(0)))
     return lines.select(
-        parts[0].alias("cluster_id"), F.col(ord_col).alias("ord"),
+        *keep, parts[0].alias("cluster_id"), F.col(ord_col).alias("ord"),
         F.posexplode_outer(members).alias("pos", "member_id"),
-    ).select("cluster_id", "member_id", "ord", "pos")
+    ).select(*keep, "cluster_id", "member_id", "ord", "pos")
 
 
 def read_cluster_store(spark: SparkSession, path: str) -> DataFrame:
@@ -35,17 +36,19 @@ def read_cluster_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cluster_map(spark: SparkSession, paths: Sequence[str], sep: str = "\t") -> DataFrame:
-    """Cluster files and stores (``.db``) as one map: ``source, cluster_id, member_id, ord``."""
+    """Cluster files and stores (``.db``) as one map: ``source, cluster_id, member_id, ord``.
 
-    def read_one(path: str) -> DataFrame:
-        if path.endswith(".db"):
-            return read_cluster_store(spark, path)
-        return explode_cluster_lines(read_lines(spark, [path]), sep=sep)
-
-    tagged = [read_one(path).withColumn("source", F.lit(i)) for i, path in enumerate(paths)]
-    return reduce(DataFrame.unionByName, tagged).select(
-        "source", "cluster_id", "member_id", "ord", "pos"
-    )
+    All files are one scan; ``source`` is the position in ``paths``.
+    """
+    stores = [i for i, path in enumerate(paths) if path.endswith(".db")]
+    files = [i for i, path in enumerate(paths) if not path.endswith(".db")]
+    parts = [read_cluster_store(spark, paths[i]).withColumn("source", F.lit(i)) for i in stores]
+    if files:
+        lines = read_lines(spark, [paths[i] for i in files], per_path=True)
+        source = F.element_at(F.array(*map(F.lit, files)), F.col("file_ord") + 1)
+        lines = lines.withColumn("source", source)
+        parts.append(explode_cluster_lines(lines, sep=sep, keep=["source"]))
+    return reduce(DataFrame.unionByName, parts).select("source", "cluster_id", "member_id", "ord", "pos")
 
 
 def parse_idmapping(lines: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:

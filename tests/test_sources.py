@@ -33,11 +33,59 @@ def test_line_ids_over_many_splits(spark, write, small_splits):
     paths = [write(f"{i}.txt", "\n".join(t)) for i, t in enumerate(texts)]
     want = [x.strip() for t in texts for x in t if x.strip()]
     scan = lines.scan_text(spark, paths)
-    assert scan.select(*lines.SPLIT).distinct().count() > 20
-    assert lines.split_bound(scan) >= scan.select(*lines.SPLIT).distinct().count()
+    splits = scan.select("file_path", "block_start").distinct().count()
+    assert lines.split_bound(scan) >= splits > 20
     assert rows(lines.read_lines(spark, paths).select("id", "text")) == sorted(enumerate(want), key=repr)
 
 
+def plan_of(df):
+    """The first plan, before it is adapted."""
+    return df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[2] or (
+        df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_folders_patterns_and_repeated_paths(spark, tmp_path, monkeypatch):
+    for name, text in (("d/b.txt", "B1\nB2"), ("d/a.txt", "A1"), ("e x/c.txt", "C1\n\nC2"), ("f/k=2/z.txt", "Z"), ("f/k=1/y.txt", "Y")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    at = lambda *names: [f"{tmp_path}/{n}" for n in names]
+    want = [
+        (at("d/b.txt", "d"), ["B1", "B2", "A1", "B1", "B2"]),
+        (at("e x", "d/*.txt", "d/a.txt"), ["C1", "C2", "A1", "B1", "B2", "A1"]),
+        (at("f"), ["Y", "Z"]),
+        ([f"file:{tmp_path}/d/", f"file://{tmp_path}/e x/c.txt"], ["A1", "B1", "B2", "C1", "C2"]),
+    ]
+    for broadcast in (lines.BROADCAST_SPLITS, 0):
+        monkeypatch.setattr(lines, "BROADCAST_SPLITS", broadcast)
+        for paths, texts in want:
+            got = lines.read_lines(spark, paths).select("id", "text")
+            assert rows(got) == sorted(enumerate(texts), key=repr)
+    restarted = lines.read_lines(spark, at("d", "e x", "d/a.txt"), per_path=True)
+    assert rows(restarted.select("file_ord", "id", "text")) == [
+        (0, 0, "A1"), (0, 1, "B1"), (0, 2, "B2"), (1, 0, "C1"), (1, 1, "C2"), (2, 0, "A1")]
+
+
+def test_many_paths_are_one_scan(spark, tmp_path):
+    paths = []
+    for i in range(300):
+        (tmp_path / f"{i}.txt").write_text(f"t{i}\nu{i}\n")
+        paths.append(str(tmp_path / f"{i}.txt"))
+    got = lines.read_lines(spark, [*paths, paths[7]])
+    assert plan_of(got).count("FileScan text") == 1 and "SinglePartition" not in plan_of(got)
+    want = [t for i in [*range(300), 7] for t in (f"t{i}", f"u{i}")]
+    assert rows(got.select("id", "text")) == sorted(enumerate(want), key=repr)
+
+
+def test_cluster_files_and_stores_are_one_map(spark, write, tmp_path):
+    store = str(tmp_path / "x.db")
+    spark.createDataFrame([("s", "m")], "cluster_id string, member_id string").write.parquet(store)
+    paths = [write("a.tsv", "c1\tx\ty\n\nc2\n"), store, write("b.tsv", "c3\tz"), write("a.tsv", "c1\tx\ty\n\nc2\n")]
+    got = clusters.read_cluster_map(spark, paths)
+    a = lambda i: [(i, "c1", "x", 0, 0), (i, "c1", "y", 0, 1), (i, "c2", None, 1, None)]
+    assert rows(got) == sorted([*a(0), (1, "s", "m", 0, 0), (2, "c3", "z", 0, 0), *a(3)], key=repr)
+    assert plan_of(got).count("FileScan text") == 1
+
+
 def test_strip_matches_python(spark):
     samples = ["　\x1c a b \x85\n", "\xa0", "x", "᠎ x", "﻿y "]
     df = spark.createDataFrame(list(enumerate(samples)), "i int, s string")
@@ -85,7 +133,11 @@ def test_fasta_over_many_splits(spark, write, small_splits):
         files.append("".join(out))
     paths = [write(f"{i}.fa", t) for i, t in enumerate(files)]
     want = sorted((r for t in files for r in _parse(t)), key=repr)
-    assert rows(fasta.read_fasta(spark, paths)) == want
+    got = fasta.read_fasta(spark, paths)
+    assert rows(got) == want
+    assert plan_of(got).count("FileScan text") == 1
+    twice = fasta.read_fasta(spark, [paths[1], *paths])
+    assert rows(twice) == sorted([*want, *_parse(files[1])], key=repr)
 
 
 def test_fasta_carriage_returns_only(spark, write):
@@ -100,6 +152,37 @@ def test_segment_lines(spark):
     assert got == [("f", "", "lost"), ("f", "a", "XY"), ("g", "", "Q"), ("g", "b", "Z")]
 
 
+@pytest.mark.parametrize("parts", ["1", "3", "40"])
+def test_records_over_many_partitions(spark, parts):
+    """A record may begin in one partition, fill others, and end in a later one."""
+    rng = random.Random(8)
+    data, want, record_no = [], [], 0
+    for file in ("f1", "f2", "f3"):
+        head, body, seen = "", [], record_no
+        for no in range(150):
+            line = f">h{file}{no}" if rng.random() < (0.04 if file == "f2" else 0.4) else rng.choice(["", "AC", "GGé"])
+            data.append((file, no, line))
+            if line.startswith(">"):
+                want.append((file, record_no, head, "".join(body)))
+                record_no, head, body = record_no + 1, line[1:], []
+            else:
+                body.append(line)
+        want.append((file, record_no, head, "".join(body)))
+    df = spark.createDataFrame(data, "file string, line_no bigint, line string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = fasta.segment_lines(df)
+        assert rows(got) == sorted((w for w in want if w[3]), key=repr)
+        # The lines were moved once, to be sorted; what is read now has a row per record.
+        assert plan_of(got).count("Exchange hashpartitioning") <= 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert fasta.segment_lines(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 59, 60, 61, 120, 125])
 def test_wrap(spark, n):
     text = ("ABCDEFGHIé" * 13)[:n]
