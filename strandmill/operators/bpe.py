@@ -16,7 +16,7 @@ from strandmill.functions.fim import FIM_TAGS
 from strandmill.functions.text import SPECIAL_TOKENS, UNK
 from strandmill.operators.bpe_index import PairIndex, bucket_number
 from strandmill.operators.bpe_kernel import (
-    EncoderTables, build_tables, encode, encode_with_dropout, replace_all, weighted_pairs,
+    Dropout, EncoderTables, build_tables, encode, replace_all, text_keys, weighted_pairs,
 )
 from strandmill.session import materialize, scratch, two_paths
 
@@ -313,22 +313,17 @@ def tokenize(
 ) -> DataFrame:
     """Add ``input_ids``, ``starts`` and ``ends`` (character offsets) for every text.
 
-    Special tokens stay whole and unknown characters become one unknown token each. The tables
+    Special tokens stay whole and unknown characters become one unknown token each. With
+    ``dropout``, merges are passed over at that rate, by draws from seed and ``key``. The tables
     broadcast to the tasks grow with the vocabulary, not with the data.
     """
     # Broadcast as plain fields: a broadcast object needs its class installed on the executors.
     fields = df.sparkSession.sparkContext.broadcast(dict(vars(model.tables())))
 
     def run(texts: list[str], keys: list[str], t: EncoderTables) -> list[pa.Array]:
-        if not dropout:
-            ids, starts, ends, counts = encode(texts, t)
-            return [_int_lists(counts, v) for v in (ids, starts, ends)]
-        rows = [encode_with_dropout(x, k, seed, dropout, t) for x, k in zip(texts, keys)]
-        counts = [len(r[0]) for r in rows]
-        return [
-            _int_lists(counts, np.array([v for r in rows for v in r[j]], dtype="int64"))
-            for j in range(3)
-        ]
+        passed_over = Dropout(dropout, text_keys(seed, keys)) if dropout else None
+        ids, starts, ends, counts = encode(texts, t, passed_over)
+        return [_int_lists(counts, v) for v in (ids, starts, ends)]
 
     def task(batches):
         tables = EncoderTables(**fields.value)

@@ -6,11 +6,10 @@ Merges are applied in rank order, each to all its places in the batch at once.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import random
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 
@@ -31,10 +30,6 @@ class EncoderTables:
     product: np.ndarray
     early: frozenset[int]  # ranks whose product takes part in a merge of lower rank
 
-    @cached_property
-    def rank_of(self) -> dict[int, int]:
-        return dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist()))
-
 
 def build_tables(tokens: list[str], merges: list[tuple[int, int, int]],
                  specials: list[tuple[str, int]], unk_id: int) -> EncoderTables:
@@ -112,8 +107,40 @@ def _every_second(places: np.ndarray, nxt: np.ndarray) -> np.ndarray:
     return places[(index - run_start) % 2 == 0]
 
 
-def encode(texts: list[str], t: EncoderTables):
-    """Token ids, starts and ends of all texts as flat arrays, plus token counts per text."""
+@dataclass(frozen=True)
+class Dropout:
+    """Which places of a merge are passed over: a hash of seed, text, place, merge and round decides."""
+
+    rate: float
+    keys: np.ndarray  # one per text, unsigned 64 bits
+
+    def passed(self, text_no: np.ndarray, start: np.ndarray, rank: int, round_no: int) -> np.ndarray:
+        salt = np.uint64((rank << 24 ^ round_no) & 0xFFFFFFFFFFFFFFFF)
+        drawn = _mixed(_mixed(self.keys[text_no] ^ start.astype(np.uint64)) ^ salt)
+        return (drawn >> np.uint64(11)) * 2.0 ** -53 < self.rate
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit integers in which every bit depends on all."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def text_keys(seed: int, keys: list[str]) -> np.ndarray:
+    """A 64-bit number per row key."""
+    digests = [hashlib.blake2b(f"{seed}|dropout|{k}".encode(), digest_size=8).digest() for k in keys]
+    return np.frombuffer(b"".join(digests), dtype="<u8")
+
+
+def encode(texts: list[str], t: EncoderTables, dropout: Dropout | None = None):
+    """Token ids, starts and ends of all texts as flat arrays, plus token counts per text.
+
+    With dropout, merges are made in rounds. In a round each place of a merge is passed over with
+    the given rate, and is offered again in the next one; a text is done with the first round
+    that merges nothing in it. Draws do not depend on the other texts of the batch.
+    """
     sym, start, stop, text_no = _symbols(texts, t)
     n = len(sym)
     nxt = np.arange(1, n + 1)
@@ -125,6 +152,8 @@ def encode(texts: list[str], t: EncoderTables):
     alive = np.ones(n, dtype=bool)
     waiting: dict[int, list[np.ndarray]] = defaultdict(list)
     queue: list[int] = []
+    round_no = 0
+    merged = np.zeros(len(texts), dtype=bool)
 
     def push(places: np.ndarray) -> None:
         places = places[nxt[places] >= 0]
@@ -141,83 +170,53 @@ def encode(texts: list[str], t: EncoderTables):
                 heapq.heappush(queue, r)
             waiting[r].append(places[begin:end])
 
+    def merge_all() -> None:
+        while queue:
+            rank = heapq.heappop(queue)
+            places = np.sort(np.concatenate(waiting.pop(rank)))
+            places = places[_changes(places)]
+            a, b = t.left[rank], t.right[rank]
+            places = places[alive[places] & (nxt[places] >= 0)]
+            places = places[(sym[places] == a) & (sym[nxt[places]] == b)]
+            if dropout is not None:
+                places = places[~dropout.passed(text_no[places], start[places], rank, round_no)]
+            if not len(places):
+                continue
+            if a == b:
+                places = _every_second(places, nxt)
+            if rank in t.early:
+                # The product may enable an earlier merge, which then comes first in its text.
+                head = np.flatnonzero(_changes(text_no[places]))
+                rest = np.delete(places, head)
+                places = places[head]
+                if len(rest):
+                    heapq.heappush(queue, rank)
+                    waiting[rank].append(rest)
+            right = nxt[places]
+            after = nxt[right]
+            sym[places] = t.product[rank]
+            stop[places] = stop[right]
+            alive[right] = False
+            nxt[places] = after
+            has_after = after >= 0
+            prv[after[has_after]] = places[has_after]
+            merged[text_no[places]] = True
+            before = prv[places]
+            push(np.concatenate((before[before >= 0], places)))
+
     push(np.arange(n))
-    while queue:
-        rank = heapq.heappop(queue)
-        places = np.sort(np.concatenate(waiting.pop(rank)))
-        places = places[_changes(places)]
-        a, b = t.left[rank], t.right[rank]
-        places = places[alive[places] & (nxt[places] >= 0)]
-        places = places[(sym[places] == a) & (sym[nxt[places]] == b)]
-        if not len(places):
-            continue
-        if a == b:
-            places = _every_second(places, nxt)
-        if rank in t.early:
-            # The product may enable an earlier merge, which then comes first in its text.
-            head = np.flatnonzero(_changes(text_no[places]))
-            rest = np.delete(places, head)
-            places = places[head]
-            if len(rest):
-                heapq.heappush(queue, rank)
-                waiting[rank].append(rest)
-        right = nxt[places]
-        after = nxt[right]
-        sym[places] = t.product[rank]
-        stop[places] = stop[right]
-        alive[right] = False
-        nxt[places] = after
-        has_after = after >= 0
-        prv[after[has_after]] = places[has_after]
-        before = prv[places]
-        push(np.concatenate((before[before >= 0], places)))
+    merge_all()
+    while dropout is not None and merged.any():
+        places = np.flatnonzero(alive)
+        places = places[merged[text_no[places]]]
+        merged[:] = False
+        round_no += 1
+        push(places)
+        merge_all()
     counts = np.bincount(text_no[alive], minlength=len(texts))
     return sym[alive], start[alive], stop[alive], counts
 
 
-def encode_with_dropout(text: str, key: str, seed: int, rate: float, t: EncoderTables):
-    """As ``encode`` for one text, but each merge is passed over with probability ``rate``.
-
-    A merge passed over is offered again after the next merge that is made. Draws come from a
-    generator seeded by the row key, so a retried task repeats them.
-    """
-    sym, start, stop, _ = (a.tolist() for a in _symbols([text], t))
-    n = len(sym)
-    nxt = [*range(1, n), -1]
-    prv = list(range(-1, n - 1))
-    rng = random.Random(f"{seed}|dropout|{key}")
-    queue: list[tuple[int, int]] = []
-
-    def offer(i: int) -> None:
-        if i >= 0 and nxt[i] >= 0:
-            rank = t.rank_of.get(sym[i] * t.n_tokens + sym[nxt[i]])
-            if rank is not None:
-                heapq.heappush(queue, (rank, i))
-
-    for i in range(n):
-        offer(i)
-    passed: list[tuple[int, int]] = []
-    while queue:
-        rank, i = heapq.heappop(queue)
-        if rng.random() < rate:
-            passed.append((rank, i))
-            continue
-        for item in passed:
-            heapq.heappush(queue, item)
-        passed.clear()
-        j = nxt[i] if sym[i] >= 0 else -1
-        if j < 0 or sym[i] != t.left[rank] or sym[j] != t.right[rank]:
-            continue
-        sym[i], stop[i], nxt[i] = int(t.product[rank]), stop[j], nxt[j]
-        sym[j] = -1
-        if nxt[i] >= 0:
-            prv[nxt[i]] = i
-        offer(prv[i])
-        offer(i)
-    left = [i for i in range(n) if sym[i] >= 0]
-    return [sym[i] for i in left], [start[i] for i in left], [stop[i] for i in left]
-
-
 # ---------------------------------------------------------------- counting pairs while training
 
 

@@ -173,19 +173,59 @@ def test_offsets_slice_back(spark, trained):
             assert rate < 1.0 or all(len(p) == 1 for p in pieces)
 
 
-def test_dropout_zero_rate_equals_plain_and_repeats(spark):
-    model = nested_model()
-    tables = model.tables()
+def plain_dropout(text, key, rate, t):
+    """Rounds over lists: the lowest rank first, from the left, each place drawn once a round."""
+    sym, start, stop, _ = (a.tolist() for a in bpe_kernel._symbols([text], t))
+    rank_of = dict(zip(t.pair_keys.tolist(), t.pair_ranks.tolist()))
+    draw = bpe_kernel.Dropout(rate, bpe_kernel.text_keys(1, [key]))
+    round_no, merged = 0, True
+    while merged:
+        merged = False
+        while True:
+            found = []
+            for i in range(len(sym) - 1):
+                r = rank_of.get(sym[i] * t.n_tokens + sym[i + 1])
+                if r is not None and not draw.passed(np.array([0]), np.array([start[i]]), r, round_no)[0]:
+                    found.append((r, i))
+            if not found:
+                break
+            r, i = min(found)
+            sym[i:i + 2], stop[i:i + 2] = [int(t.product[r])], [stop[i + 1]]
+            del start[i + 1]
+            merged = True
+        round_no += 1
+    return sym, start, stop
+
+
+def flat_dropout(texts, keys, rate, t):
+    return bpe_kernel.encode(texts, t, bpe_kernel.Dropout(rate, bpe_kernel.text_keys(1, keys)))
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.2, 0.6, 1.0])
+def test_dropout_equals_a_plain_loop(spark, rate):
+    tables = nested_model().tables()
     rng = random.Random(2)
-    for i in range(200):
-        text = "".join(rng.choices("abc", k=rng.randint(0, 60)))
-        plain = bpe_kernel.encode([text], tables)
-        one = bpe_kernel.encode_with_dropout(text, str(i), 1, 0.0, tables)
-        assert [p.tolist() for p in plain[:3]] == [list(o) for o in one]
-    once, again = (bpe_kernel.encode_with_dropout("abcab" * 30, "k", 9, 0.4, tables) for _ in range(2))
-    assert once == again
-    sizes = [np.mean([len(bpe_kernel.encode_with_dropout("abcab" * 30, str(k), 1, p, tables)[0]) for k in range(20)]) for p in (0.0, 0.3, 0.7)]
-    assert sizes[0] < sizes[1] < sizes[2]
+    texts = ["", "a", "ababab", "aaaaaaa", *("".join(rng.choices("abc", k=rng.randint(0, 40))) for _ in range(80))]
+    keys = [str(i) for i in range(len(texts))]
+    ids, starts, ends, counts = flat_dropout(texts, keys, rate, tables)
+    at = 0
+    for text, key, n in zip(texts, keys, counts):
+        part = [v[at:at + n].tolist() for v in (ids, starts, ends)]
+        at += n
+        assert part == list(plain_dropout(text, key, rate, tables))
+        # Other texts of the batch change nothing.
+        assert part == [v.tolist() for v in flat_dropout([text], [key], rate, tables)[:3]]
+    if rate == 0.0:
+        assert [v.tolist() for v in bpe_kernel.encode(texts, tables)] == [v.tolist() for v in (ids, starts, ends, counts)]
+
+
+def test_dropout_draws():
+    tables = nested_model().tables()
+    sizes = [np.mean([len(flat_dropout(["abcab" * 30], [str(k)], p, tables)[0]) for k in range(30)]) for p in (0.0, 0.5, 0.9, 1.0)]
+    assert sizes == sorted(sizes) and sizes[-1] == 150
+    draw = bpe_kernel.Dropout(0.3, bpe_kernel.text_keys(1, ["x"]))
+    shares = [draw.passed(np.zeros(20_000, int), np.arange(20_000), 5, r).mean() for r in (0, 1)]
+    assert all(abs(s - 0.3) < 0.02 for s in shares)
 
 
 def test_known_protein_round_trip(spark, trained):
