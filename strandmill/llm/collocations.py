@@ -64,21 +64,20 @@ def piece_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return strings(data[word], np.concatenate([[0], np.cumsum(sizes)])), rows, last
 
 
-#: Columns of counted edges. ``rest`` is what follows the node; a node of one word ends its piece.
-EDGES = "lang string, node string, rest string, slice int, n long"
+#: Columns of counted edges. ``node`` is its words, a tab (in no word) and the language; ``rest`` is
+#: what follows it. A node of one word ends its piece.
+EDGES = "node string, rest string, slice int, n long"
 
 
-def edge_counts(
-    texts: pa.Array, langs: pa.Array, hot: Sequence[tuple[str, str]] = ()
-) -> pa.Table:
+def edge_counts(texts: pa.Array, langs: pa.Array, hot: Sequence[str] = ()) -> pa.Table:
     """Rows of ``EDGES``: the run of three words that begins at each word, or what is left of its
-    piece. Edges that leave a hot node (language, node) are dealt over slices."""
+    piece. Edges that leave a hot node are dealt over slices."""
     words, rows, last = piece_words(texts)
     coded, spoken = words.dictionary_encode(), pc.fill_null(langs, UNKNOWN).dictionary_encode()
-    names, tongues = coded.dictionary, spoken.dictionary
+    names, tongues = coded.dictionary, spoken.dictionary.cast(pa.large_string())
     if not len(words):
-        return pa.table([pa.array([], t) for t in (*[pa.string()] * 3, pa.int32(), pa.int64())],
-                        ["lang", "node", "rest", "slice", "n"])
+        return pa.table([pa.array([], t) for t in (pa.string(), pa.string(), pa.int32(), pa.int64())],
+                        ["node", "rest", "slice", "n"])
     size = len(names)
     both = spoken.indices.to_numpy()[rows].astype(np.int64) * size + coded.indices.to_numpy()
     known, own = np.unique(both, return_inverse=True)
@@ -96,24 +95,22 @@ def edge_counts(
     def word(code: np.ndarray) -> pa.Array:
         return names.take(pa.array(known[np.maximum(code, 1) - 1] % size, mask=code == 0))
 
-    space = pa.scalar(" ", pa.large_string())
-    runs = pc.binary_join_element_wise(word(one), word(two), space, null_handling="skip")
-    lang = tongues.take(pa.array(known[one - 1] // size))
+    def text(value: str) -> pa.Scalar:
+        return pa.scalar(value, pa.large_string())
+
+    runs = pc.binary_join_element_wise(word(one), word(two), text(" "), null_handling="skip")
+    runs = pc.binary_join_element_wise(runs, tongues.take(pa.array(known[one - 1] // size)), text("\t"))
     slices = np.zeros(len(edge), np.int32)
     if hot:
-        near = pa.table([lang, runs.cast(pa.string())], ["lang", "node"]).combine_chunks()
-        wanted = pa.array([f"{a}\t{b}" for a, b in hot])
-        keys = pc.binary_join_element_wise(near["lang"].cast(pa.string()), near["node"], "\t")
-        at = np.flatnonzero(pc.is_in(keys, wanted).to_numpy(zero_copy_only=False))
+        at = np.flatnonzero(pc.is_in(runs, pa.array(hot, pa.large_string())).to_numpy(zero_copy_only=False))
         follow = word(three[at]).fill_null("").to_pylist()
         slices[at] = [1 + zlib.crc32(w.encode()) % HOT_SLICES for w in follow]
     return pa.table({
-        "lang": lang.cast(pa.string()), "node": runs.cast(pa.string()),
-        "rest": word(three).cast(pa.string()), "slice": slices, "n": counts,
+        "node": runs.cast(pa.string()), "rest": word(three).cast(pa.string()), "slice": slices, "n": counts,
     })
 
 
-def _counted(docs: DataFrame, hot: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def _counted(docs: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             yield from edge_counts(batch.column("text"), batch.column("lang"), hot).to_batches()
@@ -121,15 +118,14 @@ def _counted(docs: DataFrame, hot: Sequence[tuple[str, str]] = ()) -> DataFrame:
     return docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, EDGES)
 
 
-def hot_nodes(docs: DataFrame) -> list[tuple[str, str]]:
-    """The ``HOT_NODES`` nodes (language, node) that most edges leave, by a sample of documents.
+def hot_nodes(docs: DataFrame) -> list[str]:
+    """The ``HOT_NODES`` nodes that most edges leave, by a sample of documents.
 
     Any other leads to a small part of the edges. A node judged wrongly costs time, never counts.
     """
     sample = docs.sample(min(1.0, SAMPLED_DOCS / max(docs.count(), 1)), seed=1)
-    found = _counted(sample).groupBy("lang", "node").agg(F.count("*").alias("edges"))
-    first = found.orderBy(F.desc("edges"), "lang", "node").limit(HOT_NODES).collect()
-    return [(r["lang"], r["node"]) for r in first]
+    found = _counted(sample).groupBy("node").agg(F.count("*").alias("edges"))
+    return [r["node"] for r in found.orderBy(F.desc("edges"), "node").limit(HOT_NODES).collect()]
 
 
 # ------------------------------------------------------------------------- the graph
@@ -149,7 +145,7 @@ def flows(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     moved once, to where their node is, so a node's flow needs no further shuffle; words, and
     nodes in slices, are summed from those sums.
     """
-    key = ["lang", "node", "slice"]
+    key = ["node", "slice"]
     moved = _counted(docs, hot_nodes(docs)).repartition(*key)
     edge = moved.groupBy(*key, "rest").agg(F.sum("n").alias("n"))
     none = F.lit(None).cast("string")
@@ -161,11 +157,15 @@ def flows(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
         edge.select(*key, F.inline(F.filter(out, lambda x: x.isNotNull())))
         .groupBy(*key, "rest").agg(F.sum("n").alias("n"))
     )
+    flow = flow.select(
+        F.expr("substring(node, locate('\t', node) + 1)").alias("lang"),
+        F.substring_index("node", "\t", 1).alias("words"), "slice", "rest", "n",
+    )
     whole, enough = F.col("rest").isNull(), F.col("n") >= min_count
     runs = F.array(
-        F.when(~whole, F.concat_ws(" ", "node", "rest")),
-        F.when(whole & F.contains("node", F.lit(" ")) & (enough | (F.col("slice") > 0)), F.col("node")),
-        F.when(whole, _first("node", 1)), F.when(whole, F.lit("")),
+        F.when(~whole, F.concat_ws(" ", "words", "rest")),
+        F.when(whole & F.contains("words", F.lit(" ")) & (enough | (F.col("slice") > 0)), F.col("words")),
+        F.when(whole, _first("words", 1)), F.when(whole, F.lit("")),
     )
     return (
         flow.select("lang", F.explode(F.filter(runs, lambda g: g.isNotNull())).alias("gram"), "n")

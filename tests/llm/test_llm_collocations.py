@@ -58,7 +58,7 @@ def corpus():
             words.insert(k, rng.choice([".", ",\n", "new york,", "New York City", "\x0b", "!?", "\t", "\xa0", "é ß"]))
         texts.append(" ".join(words) + (f" {line}" if i % 3 else f"\n{line}.") * (i % 4))
     rows = [(i, t, rng.choice(["en", "de", None, "en"])) for i, t in enumerate(texts)]
-    return rows + [(None, "new york new york", "en"), (1, None, "en"), (2, "", None), (3, " .,\n", "fr"), *[(9, "a b c", "x y")] * 12]
+    return rows + [(None, "new york new york", "en"), (1, None, "en"), (2, "", None), (3, " .,\n", "fr"), *[(9, "a b c", "x y")] * 12, *[(9, "a b c", "x\ty z")] * 12]
 
 
 def as_rows(df):
@@ -110,7 +110,8 @@ def test_paths_are_compact(spark):
 
 
 def as_counts(table):
-    return {(r["lang"], r["node"], r["rest"], r["slice"]): r["n"] for r in table.to_pylist()}
+    keys = [(*reversed(r["node"].split("\t", 1)), r["rest"], r["slice"]) for r in table.to_pylist()]
+    return dict(zip(keys, table["n"].to_pylist()))
 
 
 def test_long_texts_and_large_vocabularies():
@@ -121,17 +122,17 @@ def test_long_texts_and_large_vocabularies():
         ("en", "c", None, 0): 1, ("und", "b c", None, 0): 1, ("und", "c", None, 0): 1}
     many = pa.array([" ".join(f"x{i}" for i in range(2_200_000))])
     found = co.edge_counts(many, pa.array(["en"]))
-    assert found.num_rows == 2_200_000 and found["node"][0].as_py() == "x0 x1" and found["rest"][0].as_py() == "x2"
+    assert found.num_rows == 2_200_000 and found["node"][0].as_py() == "x0 x1\ten" and found["rest"][0].as_py() == "x2"
 
 
 def test_hot_nodes_are_sliced(spark):
     texts, langs = pa.array(["a b c a b d a b. a b", "a b c"]), pa.array(["en", "de"])
     plain = as_counts(co.edge_counts(texts, langs))
-    got = as_counts(co.edge_counts(texts, langs, [("en", "a b"), ("fr", "b c"), ("en", "zz a")]))
+    got = as_counts(co.edge_counts(texts, langs, ["a b\ten", "b c\tfr", "zz a\ten"]))
     assert {k[:3]: n for k, n in got.items()} == {k[:3]: n for k, n in plain.items()}
     assert {k[:2] for k in got if k[3] > 0} == {("en", "a b")} and len({k[3] for k in got}) > 2
     docs = spark.createDataFrame([(1, "a b c a b d a b e", "en"), (2, "a b", "de")], SCHEMA)
-    assert co.hot_nodes(docs)[0] == ("en", "a b")
+    assert co.hot_nodes(docs)[0] == "a b\ten"
 
 
 @pytest.mark.parametrize("hot", [0, 3])
