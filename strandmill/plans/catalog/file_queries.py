@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandmill.functions import text
+from strandmill.functions.text import SPECIAL_TOKENS
 from strandmill.operators import bpe
 from strandmill.operators import metrics as M
 from strandmill.plans import files
 from strandmill.plans.catalog.corpus import DOC_LINES_SQL, _SEQ_SQL, _sequences
 from strandmill.plans.catalog.metric_queries import _COUNTS_SQL, _rows
-from strandmill.plans.catalog.registry import SEED, docs, query, table
-from strandmill.plans.catalog.tokens import _char, _coded_sql, fixed_model
+from strandmill.plans.catalog.padded import padded_sql, padded_text
+from strandmill.plans.catalog.registry import (
+    DOCS_SQL, SEED, docs, query, sql_arranged, sql_uniform, table,
+)
+from strandmill.plans.catalog.tokens import _char, _coded_sql, _training_sql, fixed_model
 from strandmill.plans.training import training_batches
 from strandmill.session import fresh_path
 from strandmill.sources.clusters import read_cluster_map, read_idmapping
@@ -99,11 +104,50 @@ def metric_counts_scaled(spark, sf_dir):
     return M.metric_counts(_rows(table(spark, sf_dir, "events")), LOSS_SCALE)
 
 
-@query("training_batches", """
-    SELECT (row_number() OVER () - 1) // 4 AS batch_id, row_number() OVER () - 1 AS example FROM documents
-""")
+EPOCH_LENGTH, EPOCH_BATCH = 64, 4
+_EPOCH_SQL = f"""
+    SELECT *, '0:' || example AS row_key, '0:' || (example // {EPOCH_BATCH}) AS batch_key FROM (
+      SELECT id, text, row_number() OVER (ORDER BY {sql_uniform('epoch0', 'k')}, k) - 1 AS example
+      FROM (SELECT *, id || '|0' AS k FROM ({DOCS_SQL})))
+"""
+
+
+@query("training_batches", padded_sql(
+    sql_arranged(_EPOCH_SQL, 0.5, 0.5, EPOCH_LENGTH, True, "row_key", "batch_key", "row_key, example,"), EPOCH_BATCH, "id"))
 def training_batches_query(spark, sf_dir):
-    """An epoch over all documents: which examples there are, and the batch of each."""
+    """An epoch over all documents: ids, labels and mask of every padded example."""
     corpus = docs(spark, sf_dir).withColumn("row_ord", F.lit(0))
-    batches = training_batches(corpus, fixed_model(), seed=SEED, batch_size=4, max_length=64, fim_rate=0.5)
-    return batches.filter("size(input_ids) > 0").select("batch_id", "example")
+    return padded_text(training_batches(
+        corpus, fixed_model(), seed=SEED, batch_size=EPOCH_BATCH, max_length=EPOCH_LENGTH, fim_rate=0.5
+    ))
+
+
+@query("file_names", f"""
+    SELECT page_id, regexp_extract(name, '([^/]+)$', 1) AS base, regexp_replace(name, '\\.[^.]*$', '') AS stem,
+           regexp_replace(name, '/[^/]*$', '') AS folder,
+           '{GENERATED}_' || strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id * 86399), '%Y%m%d_%H%M%S') || '.fasta' AS stamped
+    FROM (SELECT page_id, regexp_replace(url, '^[^:]*://', '') || '/page.' || (page_id % 7) || '.html' AS name FROM pages)
+""")
+def file_names(spark, sf_dir):
+    """Names of files made from urls: base, without extension, folder, and with a time."""
+    name = F.concat(
+        F.regexp_replace("url", "^[^:]*://", ""), F.lit("/page."), (F.col("page_id") % 7).cast("string"), F.lit(".html")
+    )
+    at = F.timestamp_seconds(F.lit(1577836800) + F.col("page_id") * 86399)
+    rows = table(spark, sf_dir, "pages").select("page_id", name.alias("name"), at.alias("at"))
+    return rows.select(
+        "page_id", text.base_name(F.col("name")).alias("base"), text.without_extension(F.col("name")).alias("stem"),
+        text.parent_dir(F.col("name")).alias("folder"), text.stamped_name(GENERATED, F.col("at")).alias("stamped"),
+    )
+
+
+MODEL_TOKENS = 75
+
+
+@query("bpe_model_roundtrip", _training_sql(MODEL_TOKENS - len(SPECIAL_TOKENS) - 55, MODEL_TOKENS))
+def bpe_model_roundtrip(spark, sf_dir):
+    """Merges of a trained vocabulary, written to a file and read back."""
+    path = fresh_path(spark, "model")
+    bpe.train_bpe(table(spark, sf_dir, "conversations").select("text"), MODEL_TOKENS).save(spark, path)
+    merges = bpe.BpeModel.load(spark, path).merge_table(spark)
+    return merges.withColumnsRenamed({"left": "left_token", "right": "right_token"})

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandmill.functions.text import wrap_lines
 from strandmill.operators import metrics as M
-from strandmill.plans.catalog.corpus import DOC_LINES_SQL, _write_lines
-from strandmill.plans.catalog.registry import DOCS_SQL, SEED, query, sql_arranged, table
+from strandmill.plans.catalog.corpus import _SEQ_SQL, DOC_LINES_SQL, _sequences, _write_lines
+from strandmill.plans.catalog.padded import padded_sql, padded_text
+from strandmill.plans.catalog.registry import (
+    DOCS_SQL, SEED, query, sql_arranged, sql_wrap, table,
+)
+from strandmill.plans.catalog.tokens import fixed_model
 from strandmill.session import fresh_path
-from strandmill.streaming import streams
+from strandmill.streaming import stateful, streams
 
 ROWS_PER_STEP = 32
 LOGGING_STEPS = 10
@@ -138,3 +143,92 @@ def stream_lines(spark, sf_dir):
     """Lines of text files as a stream; ids depend on file names, so lines are counted."""
     lines = streams.stream_lines(spark, _write_lines(spark, sf_dir))
     return _drained(spark, lines, "stream-lines").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_tokens", padded_sql(sql_arranged(
+    f"SELECT *, row_number() OVER (ORDER BY id) - 1 AS example FROM ({DOCS_SQL})", 0.5, 0.5, 64, True, keep="example,"), 8, "id"))
+def stream_tokens(spark, sf_dir):
+    """Documents as a stream, written as padded batches."""
+    lines = _stream_table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) id", "text")
+    path = fresh_path(spark, "stream-tokens")
+    streams.stream_tokens(
+        lines, fixed_model(), path, fresh_path(spark, "stream-tokens-progress"), batch_size=8,
+        seed=SEED, max_length=64, fim_rate=0.5,
+    )
+    return padded_text(spark.read.parquet(path))
+
+
+# Micro-batches that the streams below are cut into.
+PARTS = 4
+
+
+def _in_parts(spark, rows, part: str, name: str):
+    """A stream of the rows in ``PARTS`` micro-batches, by a column that says which."""
+    path = fresh_path(spark, name)
+    for k in range(PARTS):
+        rows.where(F.col(part) == k).drop(part).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.drop(part).schema).option("maxFilesPerTrigger", 1).option("latestFirst", False)
+    return stream.parquet(path)
+
+
+@query("metric_steps_stream", f"""
+    SELECT phase, step // {LOGGING_STEPS} AS "interval", {', '.join(
+        _round_sql(f'avg({m})', m) for m in ('n_fim', 'n_std', 'loss_fim', 'loss_std'))}, count(*) AS n_steps, 0 AS late_rows
+    FROM ({_BY_TAG_SQL}) GROUP BY phase, step // {LOGGING_STEPS}
+""")
+def metric_steps_stream(spark, sf_dir):
+    """The roll-up by step intervals, from rows that come in parts; a null step ends a phase."""
+    rows = _rows(table(spark, sf_dir, "events")).drop("ts")
+    last = rows.agg(F.max("step")).first()[0] or 0
+    part = F.least(F.floor(F.col("step") * PARTS / (last + 1)), F.lit(PARTS - 1)).cast("int")
+    ends = rows.select("phase").distinct().select(
+        F.lit(None).cast("bigint").alias("step"), "phase", F.lit(None).cast("boolean").alias("is_fim"),
+        F.lit(None).cast("double").alias("loss"), F.lit(PARTS - 1).alias("part"),
+    )
+    parts = rows.withColumn("part", part).unionByName(ends)
+    steps = stateful.stream_metric_steps(_in_parts(spark, parts, "part", "steps"), LOGGING_STEPS)
+    return _drained(spark, steps, "metric-steps").select(
+        "phase", "interval", *[_round(m) for m in ("n_fim", "n_std", "loss_fim", "loss_std")], "n_steps", "late_rows"
+    )
+
+
+def _record_lines(spark, sf_dir, ended: bool):
+    """Lines of FASTA records, a file per source; each document goes to one of the parts, in order."""
+    rows = _sequences(spark, sf_dir).select("source", "doc_id", "id", "text")
+    last = rows.agg(F.max("doc_id")).first()[0] or 0
+    part = F.floor(F.col("doc_id") * PARTS / (last + 1)).cast("int").alias("part")
+    pieces = F.concat(F.array(F.concat(F.lit(">"), "id")), F.split(wrap_lines(F.col("text")), "\n"))
+    lines = rows.select(
+        F.col("source").alias("file"), part, "doc_id", F.posexplode(pieces).alias("pos", "line")
+    ).select("file", "part", (F.col("doc_id") * F.lit(1 << 24) + F.col("pos")).alias("line_no"), "line")
+    if not ended:
+        return lines
+    ends = rows.select("source").distinct().select(
+        F.col("source").alias("file"), F.lit(PARTS - 1).alias("part"),
+        F.lit((last + 1) << 24).cast("bigint").alias("line_no"), F.lit(None).cast("string").alias("line"),
+    )
+    return lines.unionByName(ends)
+
+
+@query("stream_fasta", f"""
+    SELECT file, record_no, id, text FROM (
+      SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS record_no, id, text
+      FROM ({_SEQ_SQL}))
+    WHERE text <> ''
+""")
+def stream_fasta(spark, sf_dir):
+    """Records whose lines come in several micro-batches."""
+    lines = _in_parts(spark, _record_lines(spark, sf_dir, True), "part", "record-lines")
+    return _drained(spark, stateful.stream_records(lines), "stream-records")
+
+
+@query("stream_row_id", f"""
+    SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) - 1 AS id, line AS text FROM (
+      SELECT source, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (
+        SELECT source, doc_id, list_concat(['>' || id], string_split({sql_wrap('text')}, chr(10))) AS ls FROM ({_SEQ_SQL})))
+    WHERE line <> ''
+""")
+def stream_row_id(spark, sf_dir):
+    """Running ids of lines that come in several micro-batches."""
+    lines = _in_parts(spark, _record_lines(spark, sf_dir, False), "part", "id-lines")
+    return _drained(spark, stateful.stream_row_ids(lines), "stream-row-ids").select("file", "id", "text")

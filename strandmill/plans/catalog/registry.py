@@ -63,24 +63,25 @@ def sql_wrap(x: str, width: int = 60) -> str:
 
 def sql_arranged(
     source: str, spm_rate: float, fim_rate: float | None = None, max_length: int | None = None,
-    wrap: bool = False,
+    wrap: bool = False, key: str = "id", batch_key: str | None = None, keep: str = "",
 ) -> str:
     """Query for ``id, text, is_fim, prefix, middle, suffix, spm`` of the rows ``id, text``.
 
-    Without a rate every text is rearranged.
+    Without a rate every text is rearranged. ``key`` and ``batch_key`` name what draws depend on;
+    ``keep`` lists more columns, each with a comma behind it.
     """
-    wanted = "TRUE" if fim_rate is None else f"({sql_uniform('fim', 'id')} < {fim_rate})"
+    wanted = "TRUE" if fim_rate is None else f"({sql_uniform('fim', batch_key or key)} < {fim_rate})"
     if max_length is None:
-        cropped = f"SELECT id, text, {wanted} AS wanted FROM ({source})"
+        cropped = f"SELECT {keep} id, text, {wanted} AS wanted FROM ({source})"
     else:
         limit = f"({max_length} - CASE WHEN {wanted} THEN 5 ELSE 2 END)"
-        start = sql_randint(sql_uniform("crop", "id"), "0", f"length(text) - {limit}")
+        start = sql_randint(sql_uniform("crop", key), "0", f"length(text) - {limit}")
         cropped = (
-            f"SELECT id, CASE WHEN {limit} < length(text) THEN substr(text, {start} + 1, {limit}) "
+            f"SELECT {keep} id, CASE WHEN {limit} < length(text) THEN substr(text, {start} + 1, {limit}) "
             f"ELSE text END AS text, {wanted} AS wanted FROM ({source})"
         )
-    cut1 = sql_randint(sql_uniform("cut1", "id"), "0", "length(text) - 1")
-    cut2 = sql_randint(sql_uniform("cut2", "id"), "cut1 + 1", "length(text)")
+    cut1 = sql_randint(sql_uniform("cut1", key), "0", "length(text) - 1")
+    cut2 = sql_randint(sql_uniform("cut2", key), "cut1 + 1", "length(text)")
     first = (
         "CASE WHEN spm THEN '<fim_suffix>' || suffix || '<fim_prefix>' || prefix "
         "ELSE '<fim_prefix>' || prefix || '<fim_suffix>' || suffix END || '<fim_middle>' || middle"
@@ -89,9 +90,9 @@ def sql_arranged(
     if wrap:
         out = f"'[BOS]' || {out} || '[EOS]'"
     return f"""
-        SELECT id, {out} AS text, wanted AS is_fim, prefix, middle, suffix, spm FROM (
+        SELECT {keep} id, {out} AS text, wanted AS is_fim, prefix, middle, suffix, spm FROM (
           SELECT *, substr(text, 1, cut1) AS prefix, substr(text, cut1 + 1, cut2 - cut1) AS middle,
-                 substr(text, cut2 + 1) AS suffix, {sql_uniform('spm', 'id')} < {spm_rate} AS spm
+                 substr(text, cut2 + 1) AS suffix, {sql_uniform('spm', key)} < {spm_rate} AS spm
           FROM (SELECT *, {cut2} AS cut2 FROM (SELECT *, {cut1} AS cut1 FROM ({cropped}))))
     """
 

@@ -151,41 +151,73 @@ def structure_features(spark, sf_dir):
 _EXACT = "decimal(18,6)"
 
 
+def _exact_sql(x: str) -> str:
+    return f"CAST(CAST(round({x}, 6) AS {_EXACT}) AS VARCHAR)"
+
+
+_PLACES_SQL = ", ".join(
+    [f"string_agg({_exact_sql(f'coords[{_PB_SQL}][{k}]')}, ',' ORDER BY pos) AS pb_{n}" for k, n in enumerate("xyz", 1)]
+    + [f"string_agg({_exact_sql(f'coords[{a}][{k}]')}, ',' ORDER BY pos) AS atom{a}_{n}"
+       for a in range(1, 5) for k, n in enumerate("xyz", 1)]
+    + [f"string_agg(CASE WHEN mask[{i + 1}] THEN {_exact_sql(f'coords[{i + 1}][{k}]')} ELSE 'NaN' END, ',' ORDER BY pos) AS {name}_{n}"
+       for name, i in _BACKBONE for k, n in enumerate("xyz", 1)]
+)
+
+
 @query("chain_features", f"""
     SELECT dataset, chain_id, CAST(count(*) AS INTEGER) AS n_residues, string_agg(letter, '' ORDER BY pos) AS text,
            string_agg(CAST(residue_idx AS VARCHAR), ',' ORDER BY pos) AS residue_idx,
            string_agg({_BITS_SQL}, ',' ORDER BY pos) AS mask,
-           string_agg(CAST(CAST(round(coords[{_PB_SQL}][1], 6) AS {_EXACT}) AS VARCHAR), ',' ORDER BY pos) AS pb_x
+           {_PLACES_SQL}, string_agg(CASE WHEN mask[{_PB_SQL}] THEN '1' ELSE '0' END, '' ORDER BY pos) AS pb_mask
     FROM ({_INDEX_SQL}) GROUP BY ALL
 """)
 def chain_features(spark, sf_dir):
     chains = S.chain_features(residues(spark, sf_dir), FILL)
-    text = lambda name, f: F.array_join(F.transform(name, f), ",")
+    text = lambda name, f: F.array_join(F.transform(name, lambda r: f(r)), ",")
+    exact = lambda x: F.round(x, 6).cast(_EXACT).cast("string")
     return chains.select(
         "dataset", "chain_id", "n_residues", "text",
         text("residue_idx", lambda i: i.cast("string")).alias("residue_idx"),
         text("coord_mask", _bits).alias("mask"),
-        text("pseudo_beta", lambda x: F.round(x[0], 6).cast(_EXACT).cast("string")).alias("pb_x"),
+        *(text("pseudo_beta", lambda x, k=k: exact(x[k])).alias(f"pb_{n}") for k, n in enumerate("xyz")),
+        *(text("coords", lambda x, a=a, k=k: exact(x[a][k])).alias(f"atom{a + 1}_{n}")
+          for a in range(4) for k, n in enumerate("xyz")),
+        *(text("backbone", lambda b, name=name, k=k: F.when(F.isnan(b[name][k]), "NaN").otherwise(exact(b[name][k])))
+          .alias(f"{name}_{n}") for name, _ in _BACKBONE for k, n in enumerate("xyz")),
+        F.array_join(F.transform("pseudo_beta_mask", lambda m: F.when(m, "1").otherwise("0")), "").alias("pb_mask"),
     )
 
 
-# Fixed value: the datasets that are stored and read as a corpus.
-STORED = ("click", "signup")
+_CHAINS_SQL = f"""
+    SELECT dataset, chain_id, string_agg(letter, '' ORDER BY pos) AS text FROM ({_RES_SQL}) GROUP BY ALL
+"""
 
 
-@query("structure_corpus", f"""
-    SELECT chain_id AS id, dataset, text FROM (
-      SELECT dataset, chain_id, string_agg(letter, '' ORDER BY pos) AS text FROM ({_RES_SQL})
-      WHERE dataset IN {STORED} GROUP BY ALL)
-""")
+def _stores(spark, sf_dir) -> dict[str, str]:
+    """A store of residues per event type."""
+    rows = residues(spark, sf_dir)
+    folder = fresh_path(spark, "stores")
+    rows.withColumn("store", F.col("dataset")).write.partitionBy("store").parquet(folder)
+    names = [r[0] for r in rows.select("dataset").distinct().orderBy("dataset").collect()]
+    return {name: f"{folder}/store={name}" for name in names}
+
+
+@query("structure_corpus", f"SELECT chain_id AS id, dataset, text FROM ({_CHAINS_SQL})")
 def structure_corpus(spark, sf_dir):
-    """Two stores of residues read as a corpus of texts."""
-    stores = {name: fresh_path(spark, f"store-{name}") for name in STORED}
-    for name, path in stores.items():
-        residues(spark, sf_dir).filter(F.col("dataset") == name).write.parquet(path)
-    corpus = read_corpus(spark, "foldcomp", list(stores.values()))
-    name = F.regexp_extract("dataset", "store-([a-z]+)-", 1)
-    return corpus.select("id", name.alias("dataset"), "text")
+    """Stores of residues, one per event type, read as a corpus of texts."""
+    corpus = read_corpus(spark, "foldcomp", list(_stores(spark, sf_dir).values()))
+    return corpus.select("id", F.regexp_extract("dataset", "store=([a-z_]+)", 1).alias("dataset"), "text")
+
+
+@query("indexed_corpus", f"SELECT chain_id AS id, dataset, text FROM ({_CHAINS_SQL}) WHERE length(text) % 2 = 0")
+def indexed_corpus(spark, sf_dir):
+    """The same stores, each with an index of the chains to read: those of even length."""
+    stores = _stores(spark, sf_dir)
+    index = fresh_path(spark, "chain-index")
+    sizes = residues(spark, sf_dir).groupBy("dataset", F.col("chain_id").alias("id")).count()
+    sizes.where("count % 2 = 0").write.partitionBy("dataset").option("header", True).csv(index)
+    corpus = read_corpus(spark, "pdb", [f"{path}#{index}/dataset={name}" for name, path in stores.items()])
+    return corpus.select("id", F.regexp_extract("dataset", "store=([a-z_]+)", 1).alias("dataset"), "text")
 
 
 _WANTED_SQL = f"SELECT dataset, chain_id FROM ({_RES_SQL}) GROUP BY ALL HAVING max(value) > {MANY}"

@@ -274,6 +274,37 @@ def bpe_tokenize(spark, sf_dir):
     )
 
 
+DROPOUT = 0.3
+
+
+@query("bpe_tokenize_dropout", """
+    SELECT id, length(text) AS n_chars, true AS spelled, length(text) AS all_dropped, true AS none_dropped
+    FROM (SELECT CAST(doc_id AS VARCHAR) AS id, translate(text, chr(10) || chr(9) || chr(13), '   ') AS text FROM documents)
+""")
+def bpe_tokenize_dropout(spark, sf_dir):
+    """With dropout, tokens lie end to end and spell the text; without, they are the plain ones;
+    if all merges are dropped, every character is one. No text holds a special token."""
+    model = fixed_model()
+    rows = docs(spark, sf_dir).withColumn("text", F.translate("text", "\n\t\r", "   "))
+    done = rows
+    for tag, rate in (("some", DROPOUT), ("all", 1.0), ("least", 1e-12)):
+        done = bpe.tokenize(done, model, dropout=rate, seed=SEED).withColumnsRenamed(
+            {c: f"{tag}_{c}" for c in ("input_ids", "starts", "ends")}
+        )
+    done = bpe.tokenize(done, model)
+    starts, ends = F.col("some_starts"), F.col("some_ends")
+    end_to_end = F.concat(F.array(F.lit(0)), ends) == F.concat(starts, F.array(F.length("text")))
+    # An unknown token stands for one character, any other for its own text.
+    sizes = F.zip_with(starts, ends, lambda a, b: b - a)
+    name_sizes = F.transform(bpe.token_names(F.col("some_input_ids"), model), lambda t: F.when(t == model.unk, 1).otherwise(F.length(t)))
+    return done.select(
+        "id", F.coalesce(F.array_max(ends), F.lit(0)).cast("bigint").alias("n_chars"),
+        (end_to_end & (sizes == name_sizes)).alias("spelled"),
+        F.size("all_input_ids").cast("bigint").alias("all_dropped"),
+        (F.col("least_input_ids") == F.col("input_ids")).alias("none_dropped"),
+    )
+
+
 @query("tokenizer_eval", f"""
     WITH t AS (SELECT text, {_coded_sql('text')} AS coded FROM documents),
     s AS (SELECT sum(length(coded)) AS total_tokens, sum(length(text)) AS total_chars,
@@ -335,7 +366,7 @@ def bpe_top_pairs(spark, sf_dir):
 VOCAB_SIZE = 120
 
 
-def _training_sql(rounds: int) -> str:
+def _training_sql(rounds: int, size: int = VOCAB_SIZE) -> str:
     """One common table per round: count pairs, take the best, replace it by a new character."""
     first = 0x100
     steps = [f"""
@@ -362,7 +393,7 @@ def _training_sql(rounds: int) -> str:
         s{r + 1} AS MATERIALIZED (
           SELECT replace(t, pair, chr(CAST({first} + n AS INTEGER))) AS t, copies FROM s{r}, m{r})""")
     rows = " UNION ALL ".join(
-        f"SELECT {r} AS rank, l AS left_token, r AS right_token FROM m{r} WHERE n < {VOCAB_SIZE}"
+        f"SELECT {r} AS rank, l AS left_token, r AS right_token FROM m{r} WHERE n < {size}"
         for r in range(rounds)
     )
     return f"WITH {','.join(steps)} {rows}"
@@ -384,6 +415,23 @@ _ARRANGED_SQL = sql_arranged(DOCS_SQL, SPM_RATE, FIM_RATE, MAX_LENGTH, wrap=True
 _FIM_MIDDLE_ID = _MODEL.ids[FIM_TAGS[2]]
 
 
+@query("prepare_prefixed", f"""
+    SELECT id, array_to_string({_ids_sql('coded')}, ' ') AS seq_input_ids, array_to_string({_ids_sql('coded')}, ' ') AS seq_labels,
+           length(coded) AS n_mask, length(coded) AS n_offsets
+    FROM (SELECT id, {_coded_sql('text')} AS coded FROM ({_ARRANGED_SQL}))
+""")
+def prepare_prefixed(spark, sf_dir):
+    """The training transform with a prefix before its columns."""
+    prepared = prepare_corpus(
+        docs(spark, sf_dir), fixed_model(), seed=SEED, max_length=MAX_LENGTH, fim_rate=FIM_RATE,
+        spm_rate=SPM_RATE, prefix="seq_",
+    )
+    return prepared.select(
+        "id", _joined(F.col("seq_input_ids")).alias("seq_input_ids"), _joined(F.col("seq_labels")).alias("seq_labels"),
+        F.size("seq_attention_mask").cast("bigint").alias("n_mask"), F.size("seq_offset_mapping").cast("bigint").alias("n_offsets"),
+    )
+
+
 @query("prepare_corpus", f"""
     WITH t AS (
       SELECT id, text, is_fim, {_ids_sql('coded')} AS ids
