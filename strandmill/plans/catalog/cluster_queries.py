@@ -12,6 +12,7 @@ from strandmill.operators.idmapping import (
 from strandmill.plans.catalog.registry import SEED, docs, query, sql_uniform, table
 from strandmill.session import fresh_path
 from strandmill.sources.clusters import explode_cluster_lines, read_cluster_store
+from strandmill.sources.lookup_store import open_lookup_store, write_lookup_store
 from strandmill.sources.writers import write_cluster_store
 
 # A second source puts the orders above this price into one cluster per priority.
@@ -191,3 +192,12 @@ def cluster_store_roundtrip(spark, sf_dir):
     path = fresh_path(spark, "store") + ".db"
     write_cluster_store(idmapping_filter(_triples(spark, sf_dir), ID_TYPE, KEY_FORMAT), path)
     return read_cluster_store(spark, path).select("cluster_id", "member_id")
+
+
+@query("stored_cluster_filter", f"SELECT source, cluster_id, member_id, ord FROM ({_KEPT_SQL})")
+def stored_cluster_filter(spark, sf_dir):
+    """The members that are in the dataset, from a store of members that is not moved."""
+    path = fresh_path(spark, "member-store")
+    write_lookup_store(_members(spark, sf_dir), path, ["member_id"], ["source", "cluster_id", "ord"])
+    ids = _dataset(spark, sf_dir).select(F.col("id").alias("member_id"))
+    return open_lookup_store(spark, path).lookup(ids, "left_semi")

@@ -8,6 +8,7 @@ from strandmill.functions import residues as R
 from strandmill.operators import structures as S
 from strandmill.plans.catalog.registry import query, table
 from strandmill.session import fresh_path
+from strandmill.sources.lookup_store import open_lookup_store, write_lookup_store
 from strandmill.sources.tables import read_corpus, read_structures
 
 FILL = 1e-05
@@ -239,6 +240,37 @@ def structure_lookup(spark, sf_dir):
     return found.select("dataset", "chain_id", "pos", "residue_name")
 
 
+def _chain_store(spark, sf_dir):
+    path = fresh_path(spark, "chain-store")
+    write_lookup_store(residues(spark, sf_dir), path, S.CHAIN, ["pos"])
+    return open_lookup_store(spark, path)
+
+
+@query("stored_structure_lookup", f"""
+    SELECT dataset, chain_id, pos, residue_name FROM ({_RES_SQL})
+    SEMI JOIN ({_WANTED_SQL}) w USING (dataset, chain_id)
+""")
+def stored_structure_lookup(spark, sf_dir):
+    """As ``structure_lookup``, from a store that is not moved."""
+    found = _chain_store(spark, sf_dir).lookup(_wanted(spark, sf_dir).drop("top"))
+    return found.select("dataset", "chain_id", "pos", "residue_name")
+
+
+POINTS = 5
+
+
+@query("structure_points", f"""
+    SELECT dataset, chain_id, pos, residue_name FROM ({_RES_SQL}) SEMI JOIN (
+      SELECT dataset, chain_id FROM ({_RES_SQL}) GROUP BY ALL ORDER BY count(*) DESC, dataset, chain_id LIMIT {POINTS}) w
+    USING (dataset, chain_id)
+""")
+def structure_points(spark, sf_dir):
+    """The longest chains, one by one from the store."""
+    store = _chain_store(spark, sf_dir)
+    longest = store.table.groupBy(*S.CHAIN).count().orderBy(F.desc("count"), *S.CHAIN).limit(POINTS)
+    return store.points(*longest.select(*S.CHAIN).collect()).select("dataset", "chain_id", "pos", "residue_name")
+
+
 @query("id_list_restrict", f"""
     SELECT chain_id, pos, residue_name FROM ({_RES_SQL})
     WHERE chain_id IN (SELECT chain_id FROM ({_WANTED_SQL}))
