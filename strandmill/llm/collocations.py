@@ -17,7 +17,6 @@ each. Texts without words and empty tables give no rows. Other columns are not r
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,15 +26,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm.store import stored
-from strandmill.llm.text_arrays import strings, text_buffer, text_slices
+from strandmill.llm.text_arrays import STEP, hash_strings, mix, strings, text_buffer, text_slices
 
 MIN_COUNT, TOP, COVERED = 10, 2000, 50
 UNKNOWN = "und"
 SCALE = 1_000_000
 #: Slices of a language in which the first rows are chosen before they meet.
 RANK_SLICES = 64
-#: Nodes whose edges are dealt over slices, how many, and documents that they are looked for in.
-HOT_NODES, HOT_SLICES, SAMPLED_DOCS = 1024, 64, 10_000
+#: Places that nodes are dealt to.
+PLACES = 1 << 18
+#: Nodes whose edges are dealt to all places, and documents that they are looked for in.
+HOT_NODES, SAMPLED_DOCS = 1024, 10_000
 
 BLANK, BREAK = 1, 2
 _KINDS = np.zeros(256, np.uint8)
@@ -64,20 +65,18 @@ def piece_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return strings(data[word], np.concatenate([[0], np.cumsum(sizes)])), rows, last
 
 
-#: Columns of counted edges. ``node`` is its words, a tab (in no word) and the language; ``rest`` is
-#: what follows it. A node of one word ends its piece.
-EDGES = "node string, rest string, slice int, n long"
+#: Columns of counted edges: where the node lies; the words, a tab (in no word) and the language.
+EDGES = "place int, gram string, n long"
 
 
 def edge_counts(texts: pa.Array, langs: pa.Array, hot: Sequence[str] = ()) -> pa.Table:
     """Rows of ``EDGES``: the run of three words that begins at each word, or what is left of its
-    piece. Edges that leave a hot node are dealt over slices."""
+    piece. All edges that leave a node have its place, those that leave a hot one have any."""
     words, rows, last = piece_words(texts)
     coded, spoken = words.dictionary_encode(), pc.fill_null(langs, UNKNOWN).dictionary_encode()
     names, tongues = coded.dictionary, spoken.dictionary.cast(pa.large_string())
     if not len(words):
-        return pa.table([pa.array([], t) for t in (pa.string(), pa.string(), pa.int32(), pa.int64())],
-                        ["node", "rest", "slice", "n"])
+        return pa.table([pa.array([], t) for t in (pa.int32(), pa.string(), pa.int64())], ["place", "gram", "n"])
     size = len(names)
     both = spoken.indices.to_numpy()[rows].astype(np.int64) * size + coded.indices.to_numpy()
     known, own = np.unique(both, return_inverse=True)
@@ -95,18 +94,21 @@ def edge_counts(texts: pa.Array, langs: pa.Array, hot: Sequence[str] = ()) -> pa
     def word(code: np.ndarray) -> pa.Array:
         return names.take(pa.array(known[np.maximum(code, 1) - 1] % size, mask=code == 0))
 
-    def text(value: str) -> pa.Scalar:
-        return pa.scalar(value, pa.large_string())
+    def joined(sign: str, *parts: pa.Array) -> pa.Array:
+        return pc.binary_join_element_wise(*parts, pa.scalar(sign, pa.large_string()), null_handling="skip")
 
-    runs = pc.binary_join_element_wise(word(one), word(two), text(" "), null_handling="skip")
-    runs = pc.binary_join_element_wise(runs, tongues.take(pa.array(known[one - 1] // size)), text("\t"))
-    slices = np.zeros(len(edge), np.int32)
+    # Of words alone, so that all tasks agree.
+    hashes = np.concatenate([np.zeros(1, np.uint64), (
+        mix(hash_strings(tongues))[known // size] ^ hash_strings(names)[known % size])])
+    place = mix(hashes[one] * STEP + hashes[two])
+    lang = tongues.take(pa.array(known[one - 1] // size))
     if hot:
-        at = np.flatnonzero(pc.is_in(runs, pa.array(hot, pa.large_string())).to_numpy(zero_copy_only=False))
-        follow = word(three[at]).fill_null("").to_pylist()
-        slices[at] = [1 + zlib.crc32(w.encode()) % HOT_SLICES for w in follow]
+        runs = joined("\t", joined(" ", word(one), word(two)), lang)
+        dealt = pc.is_in(runs, pa.array(hot, pa.large_string())).to_numpy(zero_copy_only=False)
+        place[dealt] = mix(place[dealt] ^ hashes[three[dealt]])
     return pa.table({
-        "node": runs.cast(pa.string()), "rest": word(three).cast(pa.string()), "slice": slices, "n": counts,
+        "place": (place % np.uint64(PLACES)).astype(np.int32),
+        "gram": joined("\t", joined(" ", word(one), word(two), word(three)), lang).cast(pa.string()), "n": counts,
     })
 
 
@@ -118,23 +120,36 @@ def _counted(docs: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
     return docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, EDGES)
 
 
+def _words(gram: str) -> Column:
+    return F.substring_index(gram, "\t", 1)
+
+
+def _lang(gram: str) -> Column:
+    return F.expr(f"substring({gram}, locate('\\t', {gram}) + 1)")
+
+
+def _node(gram: str) -> Column:
+    """The node that an edge leaves, with the language; a shorter run is one itself."""
+    return F.concat(_first(_words(gram), 2), F.lit("\t"), _lang(gram))
+
+
 def hot_nodes(docs: DataFrame) -> list[str]:
     """The ``HOT_NODES`` nodes that most edges leave, by a sample of documents.
 
     Any other leads to a small part of the edges. A node judged wrongly costs time, never counts.
     """
     sample = docs.sample(min(1.0, SAMPLED_DOCS / max(docs.count(), 1)), seed=1)
-    found = _counted(sample).groupBy("node").agg(F.count("*").alias("edges"))
+    found = _counted(sample).groupBy(_node("gram").alias("node")).agg(F.count("*").alias("edges"))
     return [r["node"] for r in found.orderBy(F.desc("edges"), "node").limit(HOT_NODES).collect()]
 
 
 # ------------------------------------------------------------------------- the graph
 
-def _first(gram: str, words: int) -> Column:
+def _first(gram: str | Column, words: int) -> Column:
     return F.substring_index(gram, " ", words)
 
 
-def _n_words(gram: str) -> Column:
+def _n_words(gram: str | Column) -> Column:
     return F.length(gram) - F.length(F.translate(gram, " ", "")) + 1
 
 
@@ -142,30 +157,25 @@ def flows(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """Rows (lang, gram, n) of all runs of one to three words with at least this count.
 
     Counts of one and two words are flows. The empty gram has the count of all words. Edges are
-    moved once, to where their node is, so a node's flow needs no further shuffle; words, and
-    nodes in slices, are summed from those sums.
+    moved once, to the place of their node, so its flow needs no further shuffle; words, and hot
+    nodes, are summed from what places have of them.
     """
-    key = ["node", "slice"]
-    moved = _counted(docs, hot_nodes(docs)).repartition(*key)
-    edge = moved.groupBy(*key, "rest").agg(F.sum("n").alias("n"))
-    none = F.lit(None).cast("string")
+    hot = hot_nodes(docs)
+    edge = _counted(docs, hot).repartition("place").groupBy("place", "gram").agg(F.sum("n").alias("n"))
+    enough, is_edge = F.col("n") >= min_count, _n_words(_words("gram")) == 3
     out = F.array(
-        F.when(F.col("rest").isNotNull() & (F.col("n") >= min_count), F.struct("rest", "n")),
-        F.struct(none.alias("rest"), F.col("n").alias("n")),
+        F.when(is_edge & enough, F.struct("gram", "n")), F.struct(_node("gram").alias("gram"), F.col("n").alias("n")),
     )
     flow = (
-        edge.select(*key, F.inline(F.filter(out, lambda x: x.isNotNull())))
-        .groupBy(*key, "rest").agg(F.sum("n").alias("n"))
-    )
-    flow = flow.select(
-        F.expr("substring(node, locate('\t', node) + 1)").alias("lang"),
-        F.substring_index("node", "\t", 1).alias("words"), "slice", "rest", "n",
+        edge.select("place", F.inline(F.filter(out, lambda x: x.isNotNull())))
+        .groupBy("place", "gram").agg(F.sum("n").alias("n"))
+        .select(_lang("gram").alias("lang"), _words("gram").alias("words"), F.col("gram").isin(hot).alias("hot"), "n")
+        .withColumn("size", _n_words("words"))
     )
-    whole, enough = F.col("rest").isNull(), F.col("n") >= min_count
+    node, two = F.col("size") < 3, F.col("size") == 2
     runs = F.array(
-        F.when(~whole, F.concat_ws(" ", "words", "rest")),
-        F.when(whole & F.contains("words", F.lit(" ")) & (enough | (F.col("slice") > 0)), F.col("words")),
-        F.when(whole, _first("words", 1)), F.when(whole, F.lit("")),
+        F.when(~node | (two & (enough | F.col("hot"))), F.col("words")),
+        F.when(node, _first("words", 1)), F.when(node, F.lit("")),
     )
     return (
         flow.select("lang", F.explode(F.filter(runs, lambda g: g.isNotNull())).alias("gram"), "n")

@@ -110,7 +110,7 @@ def test_paths_are_compact(spark):
 
 
 def as_counts(table):
-    keys = [(*reversed(r["node"].split("\t", 1)), r["rest"], r["slice"]) for r in table.to_pylist()]
+    keys = [tuple(reversed(r["gram"].split("\t", 1))) for r in table.to_pylist()]
     return dict(zip(keys, table["n"].to_pylist()))
 
 
@@ -118,19 +118,26 @@ def test_long_texts_and_large_vocabularies():
     texts = pa.array(["a b. c " * 200_000, None, "b c"])
     langs = pa.array(["en", "en", None])
     assert as_counts(co.edge_counts(texts, langs)) == {
-        ("en", "a b", None, 0): 200_000, ("en", "b", None, 0): 200_000, ("en", "c a", "b", 0): 199_999,
-        ("en", "c", None, 0): 1, ("und", "b c", None, 0): 1, ("und", "c", None, 0): 1}
+        ("en", "a b"): 200_000, ("en", "b"): 200_000, ("en", "c a b"): 199_999, ("en", "c"): 1,
+        ("und", "b c"): 1, ("und", "c"): 1}
     many = pa.array([" ".join(f"x{i}" for i in range(2_200_000))])
     found = co.edge_counts(many, pa.array(["en"]))
-    assert found.num_rows == 2_200_000 and found["node"][0].as_py() == "x0 x1\ten" and found["rest"][0].as_py() == "x2"
+    assert found.num_rows == 2_200_000 and found["gram"][0].as_py() == "x0 x1 x2\ten"
 
 
-def test_hot_nodes_are_sliced(spark):
+def test_edges_lie_where_their_node_is(spark):
     texts, langs = pa.array(["a b c a b d a b. a b", "a b c"]), pa.array(["en", "de"])
-    plain = as_counts(co.edge_counts(texts, langs))
-    got = as_counts(co.edge_counts(texts, langs, ["a b\ten", "b c\tfr", "zz a\ten"]))
-    assert {k[:3]: n for k, n in got.items()} == {k[:3]: n for k, n in plain.items()}
-    assert {k[:2] for k in got if k[3] > 0} == {("en", "a b")} and len({k[3] for k in got}) > 2
+    plain, got = (co.edge_counts(texts, langs, h) for h in ([], ["a b\ten", "b c\tfr", "zz a\ten"]))
+    assert as_counts(got) == as_counts(plain)
+
+    def places(table, node):
+        return {r["place"] for r in table.to_pylist() if r["gram"].startswith(node)}
+
+    assert len(places(plain, "a b c\ten") | places(plain, "a b d\ten") | places(plain, "a b\ten")) == 1
+    assert places(plain, "a b c\ten") != places(plain, "a b c\tde") == places(got, "a b c\tde")
+    assert len(places(got, "a b c\ten") | places(got, "a b d\ten") | places(got, "a b\ten")) == 3
+    other = co.edge_counts(pa.array(["x y z. a b q"]), pa.array(["en"]))
+    assert places(other, "a b q") == places(plain, "a b c\ten")
     docs = spark.createDataFrame([(1, "a b c a b d a b e", "en"), (2, "a b", "de")], SCHEMA)
     assert co.hot_nodes(docs)[0] == "a b\ten"
 
