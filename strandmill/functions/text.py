@@ -16,7 +16,10 @@ UNK, CLS, SEP, PAD, MASK, BOS, EOS = SPECIAL_TOKENS = (
     "[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]", "[BOS]", "[EOS]",
 )
 NEWLINE = r"\r\n|\r|\n"
+# The width of FASTA lines, headers of generated records, times in file names.
 FASTA_WIDTH = 60
+GENERATED_HEADER = "%s_%d length=%d"
+TIME_IN_NAME = "yyyyMMdd_HHmmss"
 
 
 def strip(text: Column) -> Column:
@@ -39,7 +42,7 @@ def fasta_record(header: Column, text: Column, width: int = FASTA_WIDTH) -> Colu
 
 
 def generated_header(prefix: str, index: Column, text: Column) -> Column:
-    return F.format_string(f"{prefix}_%d length=%d", index, F.length(text))
+    return F.format_string(GENERATED_HEADER, F.lit(prefix), index, F.length(text))
 
 
 def clean_decoded(text: Column) -> Column:
@@ -74,4 +77,4 @@ def url_fragment(url: Column) -> Column:
 
 def stamped_name(stem: str, ts: Column, suffix: str = ".fasta") -> Column:
     """File name carrying a timestamp, as the generator's output files do."""
-    return F.concat(F.lit(f"{stem}_"), F.date_format(ts, "yyyyMMdd_HHmmss"), F.lit(suffix))
+    return F.concat(F.lit(f"{stem}_"), F.date_format(ts, TIME_IN_NAME), F.lit(suffix))

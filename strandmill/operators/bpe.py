@@ -379,9 +379,13 @@ def tokenizer_score(tokenized: DataFrame, unk_id: int, text: str = "text") -> Da
     ).withColumn("unk_rate", F.when(tokens > 0, unk / tokens * 100).otherwise(0.0))
 
 
+# The printed lines of a score.
+TOKENS_LINE, UNK_LINE = "Tokens per Word: %.2f", "UNK Token Rate:  %.2f%%"
+
+
 def score_lines(score: DataFrame) -> DataFrame:
     """The two printed lines of a score, with two decimals."""
     return score.select(
-        F.format_string("Tokens per Word: %.2f", "tokens_per_char").alias("tokens_line"),
-        F.format_string("UNK Token Rate:  %.2f%%", "unk_rate").alias("unk_line"),
+        F.format_string(TOKENS_LINE, "tokens_per_char").alias("tokens_line"),
+        F.format_string(UNK_LINE, "unk_rate").alias("unk_line"),
     )

@@ -125,19 +125,25 @@ def training_batches_query(spark, sf_dir):
 @query("file_names", f"""
     SELECT page_id, regexp_extract(name, '([^/]+)$', 1) AS base, regexp_replace(name, '\\.[^.]*$', '') AS stem,
            regexp_replace(name, '/[^/]*$', '') AS folder,
-           '{GENERATED}_' || strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id * 86399), '%Y%m%d_%H%M%S') || '.fasta' AS stamped
+           '{GENERATED}_' || strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id * 86399), '%Y%m%d_%H%M%S') || '.fasta' AS stamped,
+           '/pages/' || page_id AS store, 'ids-' || page_id AS ids
     FROM (SELECT page_id, regexp_replace(url, '^[^:]*://', '') || '/page.' || (page_id % 7) || '.html' AS name FROM pages)
 """)
 def file_names(spark, sf_dir):
-    """Names of files made from urls: base, without extension, folder, and with a time."""
+    """Names of files made from urls: base, without extension, folder, with a time, and the parts of
+    a store's location."""
     name = F.concat(
         F.regexp_replace("url", "^[^:]*://", ""), F.lit("/page."), (F.col("page_id") % 7).cast("string"), F.lit(".html")
     )
     at = F.timestamp_seconds(F.lit(1577836800) + F.col("page_id") * 86399)
-    rows = table(spark, sf_dir, "pages").select("page_id", name.alias("name"), at.alias("at"))
+    location = F.format_string("store://db/pages/%d#ids-%d", "page_id", "page_id")
+    rows = table(spark, sf_dir, "pages").select(
+        "page_id", name.alias("name"), at.alias("at"), location.alias("location")
+    )
     return rows.select(
         "page_id", text.base_name(F.col("name")).alias("base"), text.without_extension(F.col("name")).alias("stem"),
         text.parent_dir(F.col("name")).alias("folder"), text.stamped_name(GENERATED, F.col("at")).alias("stamped"),
+        text.url_path(F.col("location")).alias("store"), text.url_fragment(F.col("location")).alias("ids"),
     )
 
 

@@ -8,14 +8,12 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 _scope: ContextVar[str | None] = ContextVar("scratch", default=None)
-SMALL_BYTES_PER_CORE = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,35 +79,28 @@ def two_paths(spark: SparkSession, name: str) -> Iterator[str]:
     return itertools.cycle([fresh_path(spark, name), fresh_path(spark, name)])
 
 
-def pin_splits(spark: SparkSession) -> None:
-    """Fix how files are cut into splits for the rest of the session.
+def pinned_session(spark: SparkSession) -> SparkSession:
+    """A session like this one that always cuts files into the same splits.
 
-    Spark derives the split size of small inputs from the number of cores it has at that
-    moment. Readers that scan a file twice and match rows by split need both scans cut alike,
-    also when executors come and go in between.
+    Spark derives the split size of small inputs from the number of cores it has at that moment.
+    Readers that scan a file twice and match rows by split need both scans cut alike, also when
+    executors come and go in between. Settings of the caller's session stay as they are.
     """
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set(
-            "spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism)
-        )
+    pinned = spark.newSession()
+    for row in spark.sql("SET").collect():
+        if row["key"].startswith("spark.sql.") and spark.conf.isModifiable(row["key"]):
+            pinned.conf.set(row["key"], row["value"])
+    least = "spark.sql.files.minPartitionNum"
+    if pinned.conf.get(least, None) is None:
+        pinned.conf.set(least, str(spark.sparkContext.defaultParallelism))
+    return pinned
 
 
 def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Spread a small input over all cores ahead of work that is heavy per byte.
-
-    Small means fewer files than cores, and few bytes per core; such a scan may well be a
-    single task. Larger inputs, streams and tables not read from files are returned as they
-    are, so nothing is moved at scale.
+    """Rows over all cores, ahead of work that is heavy per byte, where a scan has fewer tasks than
+    there are cores. Scans with as many or more, and streams, stay as they are.
     """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = [unquote(f) for f in df.inputFiles()]
-    if not files or len(files) >= cores:
-        return df
-    # Lists the files; their content is not read.
-    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
-    if size >= cores * SMALL_BYTES_PER_CORE:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, F.xxhash64(*by))

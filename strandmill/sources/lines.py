@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.text import strip
 from strandmill.operators.rowid import running_total
-from strandmill.session import pin_splits
+from strandmill.session import fresh_path, pinned_session
 
 SPLIT = ["file_ord", "file_path", "block_start"]
 # Largest split table that is broadcast, by integer keys: about 200 MB, for 500 TB of text in
@@ -27,7 +27,6 @@ def scan_text(spark: SparkSession, paths: Sequence[str], **options: str) -> Data
     that several paths lead to is scanned once; see ``file_order``. A folder with partition
     folders in it is read by itself, without other paths.
     """
-    pin_splits(spark)
     reader = spark.read.options(**options)
     scan = reader.text(sorted(set(paths)))
     if len(paths) > 1:
@@ -97,7 +96,7 @@ def read_lines(spark: SparkSession, paths: Sequence[str], per_path: bool = False
     no shuffle of the text: the first counts lines per file split, and a table with a row per split
     is summed up partition by partition; the second adds the sum before its split to each line's place.
     """
-    scan = scan_text(spark, paths)
+    scan = scan_text(pinned_session(spark), paths)
     lines = (
         scan.withColumn("text", strip(F.col("value")))
         .filter(F.col("text") != "")
@@ -105,9 +104,12 @@ def read_lines(spark: SparkSession, paths: Sequence[str], per_path: bool = False
         .withColumn("_path", F.xxhash64("file_path"))
         .drop("value")
     )
-    splits = lines.groupBy("file_path", "_path", "block_start").agg(
+    counted = lines.groupBy("file_path", "_path", "block_start").agg(
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_lines")
     )
+    path = fresh_path(spark, "splits")
+    counted.write.parquet(path)
+    splits = spark.read.schema(counted.schema).parquet(path)
     order = file_order(spark, scan, paths)
     splits = splits.withColumn("file_ord", F.lit(0)) if order is None else splits.join(order, "file_path")
     before = running_total(splits, SPLIT, "_lines", "_before")
@@ -118,7 +120,8 @@ def read_lines(spark: SparkSession, paths: Sequence[str], per_path: bool = False
     if split_bound(scan) <= BROADCAST_SPLITS // len(paths):
         offsets = F.broadcast(offsets)
     row_id = F.col("_before") + F.col("_mid") - F.col("_first")
-    return lines.join(offsets, ["_path", "block_start"]).select(row_id.alias("id"), "text", "file_ord")
+    # The caller's table comes first, so the result is of the caller's session.
+    return offsets.join(lines, ["_path", "block_start"]).select(row_id.alias("id"), "text", "file_ord")
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
