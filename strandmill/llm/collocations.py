@@ -17,6 +17,7 @@ each. Texts without words and empty tables give no rows. Other columns are not r
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,15 +27,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm.store import stored
-from strandmill.llm.text_arrays import STEP, hash_strings, mix, strings, text_buffer, text_slices
+from strandmill.llm.text_arrays import (
+    STEP, give_back, hash_strings, mix, strings, text_buffer, text_slices,
+)
 
 MIN_COUNT, TOP, COVERED = 10, 2000, 50
 UNKNOWN = "und"
 SCALE = 1_000_000
 #: Slices of a language in which the first rows are chosen before they meet.
 RANK_SLICES = 64
-#: Places that nodes are dealt to.
-PLACES = 1 << 18
+#: Places that nodes are dealt to, and parts of them for each shuffle partition.
+PLACES, PARTS = 1 << 30, 4
+#: How hard edges are packed, edges added up at once at least, and what stands for a line feed there.
+PACKING, ADDED_ROWS, ESCAPED = 1, 1 << 19, "\x00n"
 #: Nodes whose edges are dealt to all places, and documents that they are looked for in.
 HOT_NODES, SAMPLED_DOCS = 1024, 10_000
 
@@ -65,8 +70,9 @@ def piece_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return strings(data[word], np.concatenate([[0], np.cumsum(sizes)])), rows, last
 
 
-#: Columns of counted edges: where the node lies; the words, a tab (in no word) and the language.
-EDGES = "place int, gram string, n long"
+#: Columns of counted edges: where the node lies; the node's words, a tab (in no word) and the
+#: language; the word that the edge adds, or none where a piece ends.
+EDGES = "place int, node string, rest string, n long"
 
 
 def edge_counts(texts: pa.Array, langs: pa.Array, hot: Sequence[str] = ()) -> pa.Table:
@@ -76,7 +82,8 @@ def edge_counts(texts: pa.Array, langs: pa.Array, hot: Sequence[str] = ()) -> pa
     coded, spoken = words.dictionary_encode(), pc.fill_null(langs, UNKNOWN).dictionary_encode()
     names, tongues = coded.dictionary, spoken.dictionary.cast(pa.large_string())
     if not len(words):
-        return pa.table([pa.array([], t) for t in (pa.int32(), pa.string(), pa.int64())], ["place", "gram", "n"])
+        return pa.table([pa.array([], t) for t in (pa.int32(), pa.string(), pa.string(), pa.int64())],
+                        ["place", "node", "rest", "n"])
     size = len(names)
     both = spoken.indices.to_numpy()[rows].astype(np.int64) * size + coded.indices.to_numpy()
     known, own = np.unique(both, return_inverse=True)
@@ -101,36 +108,110 @@ def edge_counts(texts: pa.Array, langs: pa.Array, hot: Sequence[str] = ()) -> pa
     hashes = np.concatenate([np.zeros(1, np.uint64), (
         mix(hash_strings(tongues))[known // size] ^ hash_strings(names)[known % size])])
     place = mix(hashes[one] * STEP + hashes[two])
-    lang = tongues.take(pa.array(known[one - 1] // size))
+    runs = joined("\t", joined(" ", word(one), word(two)), tongues.take(pa.array(known[one - 1] // size)))
     if hot:
-        runs = joined("\t", joined(" ", word(one), word(two)), lang)
         dealt = pc.is_in(runs, pa.array(hot, pa.large_string())).to_numpy(zero_copy_only=False)
         place[dealt] = mix(place[dealt] ^ hashes[three[dealt]])
     return pa.table({
-        "place": (place % np.uint64(PLACES)).astype(np.int32),
-        "gram": joined("\t", joined(" ", word(one), word(two), word(three)), lang).cast(pa.string()), "n": counts,
+        "place": (place % np.uint64(PLACES)).astype(np.int32), "node": runs.cast(pa.string()),
+        "rest": word(three).cast(pa.string()), "n": counts,
     })
 
 
-def _counted(docs: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            yield from edge_counts(batch.column("text"), batch.column("lang"), hot).to_batches()
-
-    return docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, EDGES)
+def _pack(edges: pa.Table) -> bytes:
+    """Edges as one compressed value: no word or language has a line feed but escaped ones."""
+    nodes, rests = ("\n".join(edges[c].to_pylist()).encode() for c in ("node", "rest"))
+    counts = np.ascontiguousarray(edges["n"].to_numpy().astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    sizes = np.array([len(nodes), len(rests), len(counts)], "<i8").tobytes()
+    return sizes + zlib.compress(nodes + rests + counts, PACKING)
 
 
-def _words(gram: str) -> Column:
-    return F.substring_index(gram, "\t", 1)
+def _unpack(packed: bytes) -> pa.Table:
+    a, b, c = np.frombuffer(packed[:24], "<i8").tolist()
+    raw = zlib.decompress(packed[24:])
+    lines = [pc.split_pattern(pa.array([raw[x:y].decode()], pa.large_string()), "\n").flatten()
+             for x, y in ((0, a), (a, a + b))]
+    counts = np.ascontiguousarray(np.frombuffer(raw[a + b:], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return pa.table({"node": lines[0], "rest": lines[1], "n": counts.astype(np.int64)})
 
 
-def _lang(gram: str) -> Column:
-    return F.expr(f"substring({gram}, locate('\\t', {gram}) + 1)")
-
-
-def _node(gram: str) -> Column:
-    """The node that an edge leaves, with the language; a shorter run is one itself."""
-    return F.concat(_first(_words(gram), 2), F.lit("\t"), _lang(gram))
+def _packed_edges(hot: Sequence[str], parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            langs = pc.replace_substring(pc.fill_null(batch.column("lang"), UNKNOWN), "\n", ESCAPED)
+            table = edge_counts(batch.column("text"), langs, hot)
+            if not table.num_rows:
+                continue
+            part = table["place"].to_numpy() % parts
+            order = np.argsort(part, kind="stable")
+            firsts = np.flatnonzero(np.diff(part[order], prepend=-1))
+            table = table.set_column(2, "rest", pc.fill_null(table["rest"], "")).take(pa.array(order))
+            ends = np.append(firsts[1:], len(order))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[order[firsts]].astype(np.int32)),
+                 pa.array([_pack(table.slice(x, y - x)) for x, y in zip(firsts.tolist(), ends.tolist())], pa.binary())],
+                ["part", "edges"],
+            )
+
+    return run
+
+
+def _add(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["node", "rest"]).aggregate([("n", "sum")]).rename_columns(["node", "rest", "n"])
+
+
+def _part_flows(edges: pa.Table, hot: Sequence[str], min_count: int) -> Iterator[pa.RecordBatch]:
+    """What all edges of a part say of runs of three, two and one words: (lang, gram, n)."""
+    def cut(keys: pa.ChunkedArray, tail: pa.ChunkedArray | None, n: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+        words, lang = (pc.replace_substring_regex(keys, p, "") for p in ("\t(?s:.*)$", "^[^\t]*\t"))
+        if tail is not None:
+            words = pc.binary_join_element_wise(words, tail, pa.scalar(" ", pa.large_string()))
+        lang = pc.replace_substring(lang, ESCAPED, "\n")
+        yield from pa.table({"lang": lang.cast(pa.string()), "gram": words.cast(pa.string()), "n": n}).to_batches()
+
+    often = pc.and_(pc.greater_equal(edges["n"], min_count), pc.not_equal(edges["rest"], ""))
+    often = edges.filter(often)
+    yield from cut(often["node"], often["rest"], often["n"])
+    node = edges.group_by("node").aggregate([("n", "sum")])
+    two = pc.and_(pc.match_substring_regex(node["node"], "^[^ \t]+ "), pc.or_(
+        pc.greater_equal(node["n_sum"], min_count), pc.is_in(node["node"], pa.array(hot, pa.large_string()))))
+    kept = node.filter(two)
+    yield from cut(kept["node"], None, kept["n_sum"])
+    one = pc.replace_substring_regex(node["node"], "^([^ \t]+)[^\t]*\t", "\\1\t")
+    words = pa.table({"node": one, "n": node["n_sum"]}).group_by("node").aggregate([("n", "sum")])
+    yield from cut(words["node"], None, words["n_sum"])
+    langs = pc.replace_substring_regex(words["node"], "^[^\t]*\t", "\t")
+    total = pa.table({"node": langs, "n": words["n_sum"]}).group_by("node").aggregate([("n", "sum")])
+    yield from cut(total["node"], None, total["n_sum"])
+
+
+def _sum_parts(hot: Sequence[str], min_count: int):
+    """Adds up the packed edges of one part after another; rows come sorted by part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tables, rows = None, [], 0
+        for batch in batches:
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("edges")):
+                if part != now and tables:
+                    yield from _part_flows(_add(tables), hot, min_count)
+                    tables, rows = [], 0
+                    give_back()
+                now = part
+                tables.append(_unpack(packed.as_py()))
+                rows += tables[-1].num_rows
+                if rows > 2 * tables[0].num_rows + ADDED_ROWS:
+                    tables = [_add(tables)]
+                    rows = tables[0].num_rows
+        if tables:
+            yield from _part_flows(_add(tables), hot, min_count)
+
+    return run
+
+
+def _node_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches):
+        nodes = edge_counts(batch.column("text"), batch.column("lang"))["node"].value_counts()
+        if len(nodes):
+            yield pa.RecordBatch.from_arrays([nodes.field("values"), nodes.field("counts")], ["node", "edges"])
 
 
 def hot_nodes(docs: DataFrame) -> list[str]:
@@ -139,10 +220,14 @@ def hot_nodes(docs: DataFrame) -> list[str]:
     Any other leads to a small part of the edges. A node judged wrongly costs time, never counts.
     """
     sample = docs.sample(min(1.0, SAMPLED_DOCS / max(docs.count(), 1)), seed=1)
-    found = _counted(sample).groupBy(_node("gram").alias("node")).agg(F.count("*").alias("edges"))
+    found = _texts(sample).mapInArrow(_node_edges, "node string, edges long").groupBy("node").agg(F.sum("edges").alias("edges"))
     return [r["node"] for r in found.orderBy(F.desc("edges"), "node").limit(HOT_NODES).collect()]
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("text", F.col("lang").cast("string").alias("lang"))
+
+
 # ------------------------------------------------------------------------- the graph
 
 def _first(gram: str | Column, words: int) -> Column:
@@ -157,30 +242,18 @@ def flows(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """Rows (lang, gram, n) of all runs of one to three words with at least this count.
 
     Counts of one and two words are flows. The empty gram has the count of all words. Edges are
-    moved once, to the place of their node, so its flow needs no further shuffle; words, and hot
-    nodes, are summed from what places have of them.
+    moved once, packed, to the part where their node lies, so its flow needs no further shuffle;
+    words, and hot nodes, are summed from what parts have of them. A task adds up one part after
+    another, and there are ``PARTS`` for each shuffle partition.
     """
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = hot_nodes(docs)
-    edge = _counted(docs, hot).repartition("place").groupBy("place", "gram").agg(F.sum("n").alias("n"))
-    enough, is_edge = F.col("n") >= min_count, _n_words(_words("gram")) == 3
-    out = F.array(
-        F.when(is_edge & enough, F.struct("gram", "n")), F.struct(_node("gram").alias("gram"), F.col("n").alias("n")),
-    )
-    flow = (
-        edge.select("place", F.inline(F.filter(out, lambda x: x.isNotNull())))
-        .groupBy("place", "gram").agg(F.sum("n").alias("n"))
-        .select(_lang("gram").alias("lang"), _words("gram").alias("words"), F.col("gram").isin(hot).alias("hot"), "n")
-        .withColumn("size", _n_words("words"))
-    )
-    node, two = F.col("size") < 3, F.col("size") == 2
-    runs = F.array(
-        F.when(~node | (two & (enough | F.col("hot"))), F.col("words")),
-        F.when(node, _first("words", 1)), F.when(node, F.lit("")),
+    packed = _texts(docs).mapInArrow(_packed_edges(hot, parts), "part int, edges binary")
+    found = packed.repartition("part").sortWithinPartitions("part").mapInArrow(
+        _sum_parts(hot, min_count), "lang string, gram string, n long"
     )
-    return (
-        flow.select("lang", F.explode(F.filter(runs, lambda g: g.isNotNull())).alias("gram"), "n")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        .where(enough | (F.col("gram") == ""))
+    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(
+        (F.col("n") >= min_count) | (F.col("gram") == "")
     )
 
 
