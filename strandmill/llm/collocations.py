@@ -17,7 +17,6 @@ each. Texts without words and empty tables give no rows. Other columns are not r
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -38,8 +37,8 @@ SCALE = 1_000_000
 RANK_SLICES = 64
 #: Places that nodes are dealt to, and parts of them for each shuffle partition.
 PLACES, PARTS = 1 << 30, 4
-#: How hard edges are packed, edges added up at once at least, and what stands for a line feed there.
-PACKING, ADDED_ROWS, ESCAPED = 1, 1 << 19, "\x00n"
+#: Edges added up at once at least, and what stands for a line feed in a language.
+ADDED_ROWS, ESCAPED = 1 << 19, "\x00n"
 #: Nodes whose edges are dealt to all places, and documents that they are looked for in.
 HOT_NODES, SAMPLED_DOCS = 1024, 10_000
 
@@ -118,20 +117,29 @@ def edge_counts(texts: pa.Array, langs: pa.Array, hot: Sequence[str] = ()) -> pa
     })
 
 
+def _joined_lines(column: pa.ChunkedArray) -> pa.Buffer:
+    values = column.combine_chunks()
+    whole = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pc.binary_join(whole, "\n")[0].as_buffer()
+
+
 def _pack(edges: pa.Table) -> bytes:
     """Edges as one compressed value: no word or language has a line feed but escaped ones."""
-    nodes, rests = ("\n".join(edges[c].to_pylist()).encode() for c in ("node", "rest"))
+    nodes, rests = (_joined_lines(edges[c]) for c in ("node", "rest"))
     counts = np.ascontiguousarray(edges["n"].to_numpy().astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    sizes = np.array([len(nodes), len(rests), len(counts)], "<i8").tobytes()
-    return sizes + zlib.compress(nodes + rests + counts, PACKING)
-
-
-def _unpack(packed: bytes) -> pa.Table:
-    a, b, c = np.frombuffer(packed[:24], "<i8").tolist()
-    raw = zlib.decompress(packed[24:])
-    lines = [pc.split_pattern(pa.array([raw[x:y].decode()], pa.large_string()), "\n").flatten()
-             for x, y in ((0, a), (a, a + b))]
-    counts = np.ascontiguousarray(np.frombuffer(raw[a + b:], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    sizes = np.array([nodes.size, rests.size, len(counts)], "<i8").tobytes()
+    return sizes + pa.compress(b"".join([nodes, rests, counts]), "zstd", asbytes=True)
+
+
+def _unpack(packed: pa.Buffer) -> pa.Table:
+    a, b, c = np.frombuffer(packed, "<i8", 3).tolist()
+    raw = pa.decompress(packed.slice(24), a + b + c, "zstd")
+    lines = [
+        pc.split_pattern(pa.Array.from_buffers(
+            pa.large_string(), 1, [None, pa.py_buffer(np.array([0, size], np.int64)), raw.slice(at, size)]), "\n").flatten()
+        for at, size in ((0, a), (a, b))
+    ]
+    counts = np.ascontiguousarray(np.frombuffer(raw.slice(a + b), np.uint8).reshape(4, -1).T).view("<u4").ravel()
     return pa.table({"node": lines[0], "rest": lines[1], "n": counts.astype(np.int64)})
 
 
@@ -173,9 +181,9 @@ def _part_flows(edges: pa.Table, hot: Sequence[str], min_count: int) -> Iterator
     often = edges.filter(often)
     yield from cut(often["node"], often["rest"], often["n"])
     node = edges.group_by("node").aggregate([("n", "sum")])
-    two = pc.and_(pc.match_substring_regex(node["node"], "^[^ \t]+ "), pc.or_(
+    kept = node.filter(pc.or_(
         pc.greater_equal(node["n_sum"], min_count), pc.is_in(node["node"], pa.array(hot, pa.large_string()))))
-    kept = node.filter(two)
+    kept = kept.filter(pc.match_substring_regex(kept["node"], "^[^ \t]+ "))
     yield from cut(kept["node"], None, kept["n_sum"])
     one = pc.replace_substring_regex(node["node"], "^([^ \t]+)[^\t]*\t", "\\1\t")
     words = pa.table({"node": one, "n": node["n_sum"]}).group_by("node").aggregate([("n", "sum")])
@@ -196,7 +204,7 @@ def _sum_parts(hot: Sequence[str], min_count: int):
                     tables, rows = [], 0
                     give_back()
                 now = part
-                tables.append(_unpack(packed.as_py()))
+                tables.append(_unpack(packed.as_buffer()))
                 rows += tables[-1].num_rows
                 if rows > 2 * tables[0].num_rows + ADDED_ROWS:
                     tables = [_add(tables)]
