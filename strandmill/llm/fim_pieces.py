@@ -18,7 +18,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from strandmill.llm.text_arrays import gather_runs, strings, text_buffer, text_slices
