@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     trusted = quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.keep_good(docs, quality.log_ratios(quality.ngram_counts(docs, trusted)))
+    return quality.keep_good(docs, quality.log_ratios(quality.ngram_counts(docs, trusted)), trusted)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Quality rules: base rules, and how much likelier a text is in trusted text than in the corpus.
 
 Two multinomials over hashed word unigrams and bigrams are counted, one over all documents and
-one over trusted documents. A document's score is the mean log ratio of its n-grams, its own counts
-left out. A few words, insults for one, hardly move that mean, so words that trusted documents shun, by
-the number of documents that have them, are counted apart. Ratios are fixed-point integers, so a score depends on the text alone, not on how rows were batched.
+one over trusted documents. A document's score is the weighted mean log ratio of its n-grams, its own
+counts left out of both. A few words that trusted text shuns, insults for one, hardly move a plain
+mean, so unigrams with a ratio below ``TAIL`` weigh more. Ratios are fixed-point integers, so a score
+depends on the text alone, not on how rows were batched.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandmill.llm.store import SENT_IDS, how_to_send, semi_join, stored
 from strandmill.llm.text_arrays import (
     column_texts, hash_strings, mix, row_sums, split_words, text_slices, window_hashes,
     window_rows,
@@ -33,15 +35,14 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
-MIN_SCORE = -0.18
+#: Documents that score less are not kept. Set, as are ``TAIL`` and its weight, with half of the trusted
+#: documents held out.
+MIN_SCORE = -0.5
 #: Pseudo-counts that draw a bucket's ratio to 1 where there is little text.
-PRIOR = 3
-#: A word is shunned if the log of the trusted documents that have it, over those expected, is less.
-SHUNNED = -1.5
-#: Added to both: this share of all (document, word) cells of trusted text, 1 at least.
-SHUNNED_PRIOR = 1e-6
-#: A document with so many shunned words in a thousand is not kept.
-MAX_SHUNNED = 8
+PRIOR = 1
+#: Unigrams with a log ratio below this count ``TAIL_WEIGHT`` times.
+TAIL = -1.75
+TAIL_WEIGHT = 32
 
 JUDGED = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -52,18 +53,21 @@ JUDGED = T.StructType([
     T.StructField("n_repeat_words", T.LongType()),
     T.StructField("base_failed", T.BooleanType()),
     T.StructField("score", T.DoubleType()),
-    T.StructField("n_shunned", T.LongType()),
     T.StructField("kept", T.BooleanType()),
 ])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Ids of documents whose labels all say good and none says toxic; null ids are left out."""
+    """Rows (doc_id, trusted), written once: ids whose labels all say good and none toxic.
+
+    Null ids are left out.
+    """
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    return (
-        labels.where("doc_id is not null").groupBy("doc_id")
+    found = (
+        labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min(F.coalesce(good, F.lit(False))).alias("trusted")).where("trusted")
     )
+    return stored(found, "trusted-ids")
 
 
 def _buckets(words: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,45 +84,41 @@ def _buckets(words: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 #: Columns of the table of counts.
-COUNTED = ["bucket", "raw", "target", "docs", "trusted_docs"]
+COUNTED = ["bucket", "raw", "target"]
+PACKED = "kind int, part int, cells binary"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
     # A task reads far fewer than 2^32 n-grams.
-    raw, target, docs, trusted_docs = np.zeros((4, N_BUCKETS), np.uint32)
-    one = np.uint32(1)
+    counts, one = np.zeros(N_BUCKETS, np.uint32), np.uint32(1)
     for batch in text_slices(batches):
-        ones, offsets, twos, rows = _buckets(split_words(column_texts(batch)))
-        trusted = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-        for buckets, of_target in ((ones, np.repeat(trusted, np.diff(offsets))), (twos, trusted[rows])):
-            np.add.at(raw, buckets, one)
-            np.add.at(target, buckets[of_target], one)
-        owners = np.repeat(np.arange(len(trusted)), np.diff(offsets))
-        cells = np.unique(owners * N_BUCKETS + ones)
-        np.add.at(docs, cells % N_BUCKETS, one)
-        np.add.at(trusted_docs, cells[trusted[cells // N_BUCKETS]] % N_BUCKETS, one)
-    yield _packed(raw, target, docs, trusted_docs)
-
-
-def _packed(*counts: np.ndarray) -> pa.RecordBatch:
-    """Rows (part, cells): the buckets of each range that were found, with their counts."""
-    found = np.flatnonzero(counts[0])
+        ones, _, twos, _ = _buckets(split_words(column_texts(batch)))
+        for buckets in (ones, twos):
+            np.add.at(counts, buckets, one)
+    yield _packed(counts, kind)
+
+
+def _packed(counts: np.ndarray, kind: int) -> pa.RecordBatch:
+    """Rows (kind, part, cells): the buckets of each range that were found, with their counts."""
+    found = np.flatnonzero(counts)
     parts, firsts = np.unique(found >> RANGE_BITS, return_index=True)
     cells = []
     for at in np.split(found, firsts[1:]) if len(found) else []:
-        table = np.stack([np.diff(at, prepend=0), *(c[at] for c in counts)])
+        table = np.stack([np.diff(at, prepend=0), counts[at]])
         # Bytes of equal weight together: most are 0.
         planes = np.ascontiguousarray(table.astype("<i8").view(np.uint8).reshape(-1, 8).T)
         cells.append(zlib.compress(planes.tobytes(), 1))
+    kinds = np.full(len(parts), kind, np.int32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(parts.astype(np.int32)), pa.array(cells, pa.binary())], names=["part", "cells"]
+        [pa.array(kinds), pa.array(parts.astype(np.int32)), pa.array(cells, pa.binary())],
+        names=["kind", "part", "cells"],
     )
 
 
-def _unpacked(cells: bytes, columns: int) -> np.ndarray:
+def _unpacked(cells: bytes) -> np.ndarray:
     """Buckets and counts of a packed range, one line each."""
     planes = np.frombuffer(zlib.decompress(cells), np.uint8).reshape(8, -1)
-    table = np.ascontiguousarray(planes.T).view("<i8").reshape(1 + columns, -1).astype(np.int64)
+    table = np.ascontiguousarray(planes.T).view("<i8").reshape(2, -1).astype(np.int64)
     table[0] = np.cumsum(table[0])
     return table
 
@@ -127,31 +127,31 @@ def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ``COUNTED`` from all packed values of some ranges."""
     width, sums = 1 << RANGE_BITS, {}
     for batch in batches:
-        for part, cells in zip(batch.column("part").to_pylist(), batch.column("cells")):
-            at, *counts = _unpacked(cells.as_py(), len(COUNTED) - 1)
-            total = sums.setdefault(part, np.zeros((len(counts), width), np.int64))
-            total[:, at - part * width] += counts
+        columns = (batch.column(c).to_pylist() for c in ("kind", "part"))
+        for kind, part, cells in zip(*columns, batch.column("cells")):
+            at, counts = _unpacked(cells.as_py())
+            total = sums.setdefault(part, np.zeros((2, width), np.int64))
+            total[kind, at - part * width] += counts
     for part, total in sums.items():
-        found = np.flatnonzero(total[0])
+        found = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(found + part * width), *(pa.array(c[found]) for c in total)], names=COUNTED
         )
 
 
 def ngram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Rows (bucket, raw, target, docs, trusted_docs): counts over all documents, and over the trusted ones.
+    """Rows (bucket, raw, target): counts over all documents, and over the trusted ones.
 
-    The last two are the documents that have a unigram.
+    All documents are counted where they are read. ``trusted`` are the stored ids of ``trusted_ids``;
+    only to count their texts do documents meet them.
     """
-    # Always a merge join: labels grow with the documents, so their ids are never sent to all.
-    flagged = (
-        docs.select("doc_id", "text")
-        .join(trusted.select("doc_id", "trusted").hint("merge"), "doc_id", "left")
-        .select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    texts = [docs.select("text"), semi_join(docs.select("doc_id", "text"), trusted, "doc_id").select("text")]
+    raw, target = (
+        part.mapInArrow(lambda batches, kind=kind: _count(batches, kind), PACKED)
+        for kind, part in enumerate(texts)
     )
-    return (
-        flagged.mapInArrow(_count, "part int, cells binary").repartition("part")
-        .mapInArrow(_sum_ranges, ", ".join(f"{c} long" for c in COUNTED))
+    return raw.unionAll(target).repartition("part").mapInArrow(
+        _sum_ranges, ", ".join(f"{c} long" for c in COUNTED)
     )
 
 
@@ -161,39 +161,25 @@ class Ratios:
 
     raw: np.ndarray
     target: np.ndarray
-    docs: np.ndarray | None = None
-    trusted_docs: np.ndarray | None = None
 
-    def scores(self, buckets: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Log of the target count over the one that the rest of the corpus lets expect.
+    def scores(self, buckets: np.ndarray, own: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+        """Weighted log of the target count over the one that the corpus lets expect.
 
-        ``own`` counts the document's own n-grams, which say nothing about the rest. ``PRIOR``
-        is added to both, so buckets with little text say little. Fixed-point integers; all 0
-        without trusted text.
+        ``own`` counts the document's own n-grams, which say nothing about the rest: they leave
+        the corpus, and where ``trusted`` the target too. ``PRIOR`` is added to both, so buckets
+        with little text say little. Fixed-point integers; all 0 without trusted text.
         """
         out = np.zeros(len(buckets))
         half = N_BUCKETS // 2
         for part, inside in ((slice(0, half), buckets < half), (slice(half, None), buckets >= half)):
             if self.target[part].any():
                 share = self.target[part].sum(dtype=np.int64) / self.raw[part].sum(dtype=np.int64)
-                at = buckets[inside]
-                rest = np.maximum(self.raw[at].astype(np.int64) - own[inside], 0) * share
-                out[inside] = np.log((self.target[at].astype(np.int64) + PRIOR) / (rest + PRIOR))
-        return np.round(out * FIXED_POINT).astype(np.int64)
-
-    def shunned(self, buckets: np.ndarray) -> np.ndarray:
-        """Whether far fewer trusted documents have a unigram than other documents let expect.
-
-        The document looked at is not counted. None is shunned without trusted text.
-        """
-        half = N_BUCKETS // 2
-        out = np.zeros(len(buckets), bool)
-        if self.docs is not None and (total := self.trusted_docs[:half].sum(dtype=np.int64)):
-            share = total / self.docs[:half].sum(dtype=np.int64)
-            at, prior = buckets[buckets < half], max(1.0, SHUNNED_PRIOR * total)
-            others = np.maximum(self.docs[at].astype(np.int64) - 1, 0) * share
-            out[buckets < half] = np.log((self.trusted_docs[at] + prior) / (others + prior)) < SHUNNED
-        return out
+                at, left_out = buckets[inside], own[inside]
+                rest = np.maximum(self.raw[at].astype(np.int64) - left_out, 0) * share
+                of_target = self.target[at].astype(np.int64) - np.where(trusted[inside], left_out, 0)
+                out[inside] = np.log((np.maximum(of_target, 0) + PRIOR) / (rest + PRIOR))
+        weight = np.where((out < TAIL) & (buckets < half), TAIL_WEIGHT, 1)
+        return np.round(out * FIXED_POINT).astype(np.int64) * weight
 
 
 def log_ratios(counts: DataFrame) -> Ratios:
@@ -234,50 +220,74 @@ def _text_counts(text: str) -> tuple[int, int, int]:
     )
 
 
-def measure(texts: pa.Array, ratios: Ratios, min_score: float) -> dict[str, np.ndarray]:
+def measure(
+    texts: pa.Array, ratios: Ratios, min_score: float, trusted: np.ndarray | None = None
+) -> dict[str, np.ndarray]:
+    """Columns of ``JUDGED`` but the id; ``trusted`` marks texts that the target counts."""
     words = split_words(texts)
     n_words = np.diff(words[2])
     ones, offsets, twos, rows = _buckets(words)
     owners = np.concatenate([np.repeat(np.arange(len(n_words)), n_words), rows])
     cells, own = np.unique(owners * N_BUCKETS + np.concatenate([ones, twos]), return_counts=True)
-    values = ratios.scores(cells % N_BUCKETS, own) * own
-    shunned = ratios.shunned(cells % N_BUCKETS) * own
+    of_target = np.zeros(len(cells), bool) if trusted is None else trusted[cells // N_BUCKETS]
+    values = ratios.scores(cells % N_BUCKETS, own, of_target) * own
     of_row = np.searchsorted(cells, np.arange(len(n_words) + 1) * N_BUCKETS)
     sizes = n_words + np.bincount(rows, minlength=len(n_words))
     score = row_sums(values, of_row) / (np.maximum(sizes, 1) * float(FIXED_POINT))
-    n_shunned = row_sums(shunned, of_row)
     repeats = _repeat_words(words)
     failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PCT * n_words)
     counts = np.array(list(map(_text_counts, texts.to_pylist())), np.int64).reshape(-1, 3)
     return {
         "n_words": n_words, "word_chars": counts[:, 0], "n_symbols": counts[:, 1],
         "n_dup_lines": counts[:, 2], "n_repeat_words": repeats, "base_failed": failed,
-        "score": score, "n_shunned": n_shunned,
-        "kept": ~failed & (score >= min_score) & (1000 * n_shunned < np.maximum(MAX_SHUNNED * n_words, 1)),
+        "score": score, "kept": ~failed & (score >= min_score),
     }
 
 
-def judge(docs: DataFrame, ratios: Ratios, min_score: float = MIN_SCORE) -> DataFrame:
+def _flagged(docs: DataFrame, trusted: DataFrame, flag: str) -> DataFrame:
+    """``docs`` with a last column that marks trusted ids."""
+    marks = trusted.select(F.col("doc_id").alias(f"{flag}_id"), F.col("trusted").alias(flag))
+    marks = marks.hint(how_to_send(trusted, SENT_IDS))
+    joined = docs.join(marks, docs["doc_id"] == marks[f"{flag}_id"], "left")
+    return joined.select(*(docs[c] for c in docs.columns), F.coalesce(marks[flag], F.lit(False)).alias(flag))
+
+
+def _measured(batch: pa.RecordBatch, ratios: Ratios, min_score: float, flag: str) -> dict[str, np.ndarray]:
+    trusted = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool)
+    return measure(column_texts(batch), ratios, min_score, trusted)
+
+
+def judge(docs: DataFrame, ratios: Ratios, trusted: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per document: base counts, score and verdict.
 
-    A null or empty text has no words: all counts and the score are 0 and it fails the base
-    rules. Null and repeated ids are rows like any other. Other columns are not looked at.
+    ``trusted`` are the ids that ``ratios`` was counted with. A null or empty text has no words:
+    all counts and the score are 0 and it fails the base rules. Null and repeated ids are rows like
+    any other; of a trusted id each row leaves out its own counts. Other columns are not looked at.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            found = measure(column_texts(batch), ratios, min_score)
+            found = _measured(batch, ratios, min_score, "trusted")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *map(pa.array, found.values())], names=JUDGED.names
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, JUDGED)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return _flagged(rows, trusted, "trusted").mapInArrow(run, JUDGED)
+
 
+def keep_good(docs: DataFrame, ratios: Ratios, trusted: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The documents whose verdict, as by ``judge``, is to keep them, with all their columns.
+
+    Null and empty texts go; null and repeated ids are rows like any other.
+    """
+    columns = docs.columns
+    flag = "trusted"
+    while {flag, f"{flag}_id"} & {c.lower() for c in columns}:
+        flag += "_"
 
-def keep_good(docs: DataFrame, ratios: Ratios, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents whose verdict is to keep them, with all their columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            kept = measure(column_texts(batch), ratios, min_score)["kept"]
-            yield batch.filter(pa.array(kept))
+            kept = _measured(batch, ratios, min_score, flag)["kept"]
+            yield batch.select(columns).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _flagged(docs, trusted, flag).mapInArrow(run, docs.schema)

@@ -97,7 +97,7 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
-    return quality.judge(docs, quality.log_ratios(quality.ngram_counts(docs, trusted)))
+    return quality.judge(docs, quality.log_ratios(quality.ngram_counts(docs, trusted)), trusted)
 
 
 @query("op11_collocations", COLLOCATIONS_SQL)

@@ -37,8 +37,9 @@ def test_pipeline_equals_plain_stages(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").select("item_id", "text").collect()]
-    ratios = quality.log_ratios(quality.ngram_counts(docs, quality.trusted_ids(labels)))
-    kept = {r.doc_id for r in quality.judge(docs, ratios).where("kept").collect()}
+    trusted = quality.trusted_ids(labels)
+    ratios = quality.log_ratios(quality.ngram_counts(docs, trusted))
+    kept = {r.doc_id for r in quality.judge(docs, ratios, trusted).where("kept").collect()}
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.doc_id in kept]
     first = expected_links(rows)
     rows = [(i, t) for i, t in rows if first[i][1] == i]

@@ -7,9 +7,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from helpers import DOCS, WORD, by_id, docs_of, edited, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandmill.llm import langid, quality, substrings
 
@@ -35,12 +37,18 @@ def base_counts(text):
 
 
 NOTHING = quality.Ratios(*np.zeros((2, quality.N_BUCKETS), np.int64))
+
+
+def no_ids(spark):
+    return spark.createDataFrame([], "doc_id long, trusted boolean")
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def test_base_counts(spark):
     texts = ODD + [prose(s, 3 + 17 * s, 30) for s in range(12)] + [prose(99, 80) + "\n" + prose(99, 80)]
-    got = by_id(quality.judge(docs_of(spark, texts, clash=True), NOTHING),
+    got = by_id(quality.judge(docs_of(spark, texts, clash=True), NOTHING, no_ids(spark)),
                 *COUNTS, "score", "kept")
     assert got == {i: (*base_counts(t), 0.0, not base_counts(t)[-1]) for i, t in enumerate(texts)}
 
@@ -70,9 +78,9 @@ def test_ratios_part_marked_from_clean_texts(spark):
     assert counts.agg({"raw": "sum"}).first()[0] == 160 * (120 + 119)
     assert counts.agg({"target": "sum"}).first()[0] == 38 * (120 + 119)
     ratios = quality.log_ratios(counts)
-    kept = by_id(quality.judge(docs, ratios), "kept")
+    kept = by_id(quality.judge(docs, ratios, trusted), "kept")
     assert kept == {i: (i < 120,) for i in range(160)}
-    left = quality.keep_good(docs, ratios)
+    left = quality.keep_good(docs, ratios, trusted)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(range(120))
     one_by_one = [float(quality.measure(pa.array([t]), ratios, 0.0)["score"][0]) for t in clean[:5]]
     together = quality.measure(pa.array(clean[:5]), ratios, 0.0)["score"].tolist()
@@ -82,18 +90,76 @@ def test_ratios_part_marked_from_clean_texts(spark):
 def test_no_trusted_text(spark):
     docs = docs_of(spark, [prose(1, 60), None])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    nothing = quality.log_ratios(quality.ngram_counts(docs, quality.trusted_ids(none)))
-    assert [r.score for r in quality.judge(docs, nothing).collect()] == [0.0, 0.0]
+    none = quality.trusted_ids(none)
+    nothing = quality.log_ratios(quality.ngram_counts(docs, none))
+    assert [r.score for r in quality.judge(docs, nothing, none).collect()] == [0.0, 0.0]
     empty = docs_of(spark, [])
-    assert quality.judge(empty, quality.log_ratios(quality.ngram_counts(empty, quality.trusted_ids(none)))).count() == 0
+    assert quality.judge(empty, quality.log_ratios(quality.ngram_counts(empty, none)), none).count() == 0
+
+
+def plain_bucket(words):
+    """The top bits of a hash of one word or two, in Python's integers."""
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ x >> shift) * factor % 2**64
+        return x
+
+    found = [xxhash.xxh3_64_intdigest(w) for w in words]
+    whole = found[0] if len(found) == 1 else mixed((found[0] * 0x9E3779B97F4A7C15 + found[1]) % 2**64)
+    return whole >> 64 - quality.BUCKET_BITS
+
+
+def plain_score(text, texts, trusted, is_trusted):
+    """The weighted mean log ratio, n-gram by n-gram."""
+    def grams(t, n):
+        words = WORD.findall((t or "").encode())
+        return [plain_bucket(words[i:i + n]) for i in range(len(words) - n + 1)]
+
+    total, n_grams = 0.0, 0
+    for n in (1, 2):
+        raw = Counter(g for t in texts for g in grams(t, n))
+        target = Counter(g for t, good in zip(texts, trusted) if good for g in grams(t, n))
+        own = Counter(grams(text, n))
+        share = sum(target.values()) / sum(raw.values())
+        for g, times in own.items():
+            of_target = target[g] - (times if is_trusted else 0)
+            ratio = np.log((of_target + quality.PRIOR) / ((raw[g] - times) * share + quality.PRIOR))
+            weight = quality.TAIL_WEIGHT if n == 1 and ratio < quality.TAIL else 1
+            total += times * weight * ratio
+            n_grams += times
+    return total / max(n_grams, 1)
+
+
+def test_scores_and_verdicts_equal_a_plain_version(spark):
+    insults = [f"{prose(500 + s, 70, 40)} boo hiss boo" for s in range(30)]
+    texts = [prose(s, 60 + 5 * s, 90) for s in range(30)] + insults + [marked(prose(9, 80)), "boo " * 60, "few words"]
+    texts += [texts[3], None]
+    docs = docs_of(spark, texts, clash=True).withColumn("Trusted", F.lit("x"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    trusted = quality.trusted_ids(labels)
+    ratios = quality.log_ratios(quality.ngram_counts(docs, trusted))
+    good = [i < 20 for i in range(len(texts))]
+    want = [plain_score(t, texts, good, g) for t, g in zip(texts, good)]
+    got = by_id(quality.judge(docs, ratios, trusted), "score", "kept")
+    assert [got[i][0] for i in range(len(texts))] == pytest.approx(want, abs=1e-5)
+    verdicts = [not base_counts(t)[-1] and score >= quality.MIN_SCORE for t, score in zip(texts, want)]
+    assert [got[i][1] for i in range(len(texts))] == verdicts
+    assert all(verdicts[:20]) and not any(verdicts[30:60])
+    left = quality.keep_good(docs, ratios, trusted)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == [i for i, v in enumerate(verdicts) if v]
 
 
 def local_ratios(texts, trusted):
     """Ratios without Spark, so that the number of buckets can be changed."""
-    batch = pa.RecordBatch.from_pydict({"text": texts, "trusted": trusted})
-    found = list(quality._sum_ranges(quality._count([batch.slice(i, 1000) for i in range(0, len(texts), 1000)])))
-    counts = np.zeros((len(quality.COUNTED) - 1, quality.N_BUCKETS), np.int64)
-    for part in found:
+    def parts(kept):
+        batch = pa.RecordBatch.from_pydict({"text": kept})
+        return [batch.slice(i, 1000) for i in range(0, len(kept), 1000)]
+
+    packed = [*quality._count(parts(texts), 0)]
+    packed += quality._count(parts([t for t, good in zip(texts, trusted) if good]), 1)
+    counts = np.zeros((2, quality.N_BUCKETS), np.int64)
+    for part in quality._sum_ranges(packed):
         bucket, *columns = (c.to_numpy() for c in part.columns)
         counts[:, bucket] = columns
     return quality.Ratios(*counts)
@@ -111,10 +177,9 @@ def labelled():
     return out
 
 
-@pytest.mark.parametrize("size, fewer_bits, share", [
-    ("sf0.01", 0, 0.69), ("sf0.01", 2, 0.68), ("sf0.1", 0, 0.9), ("sf0.1", 2, 0.87),
-])
-def test_junk_scores_low_at_any_size(labelled, monkeypatch, size, fewer_bits, share):
+@pytest.mark.parametrize("size, fewer_bits", [("sf0.01", 0), ("sf0.01", 2), ("sf0.1", 0), ("sf0.1", 2)])
+def test_junk_scores_low_at_any_size(labelled, monkeypatch, size, fewer_bits):
+    """Junk that the base rules let pass, so that the score decides on it."""
     monkeypatch.setattr(quality, "BUCKET_BITS", quality.BUCKET_BITS - fewer_bits)
     monkeypatch.setattr(quality, "N_BUCKETS", 2 << quality.BUCKET_BITS)
     texts, good, toxic = labelled[size]
@@ -122,14 +187,14 @@ def test_junk_scores_low_at_any_size(labelled, monkeypatch, size, fewer_bits, sh
     ratios = local_ratios(texts, trusted.tolist())
     junk = [t for t, g in zip(texts, good) if g == 0]
     found = quality.measure(pa.array(junk), ratios, quality.MIN_SCORE)
-    assert np.mean(found["score"] < quality.MIN_SCORE) > share
+    assert np.mean(found["score"][~found["base_failed"]] < quality.MIN_SCORE) > 0.98
     assert found["kept"].sum() <= 1
     clean = [t for t, c in zip(texts, trusted) if c]
-    found = quality.measure(pa.array(clean[:600]), ratios, quality.MIN_SCORE)
-    assert (found["score"] >= quality.MIN_SCORE).all()
+    found = quality.measure(pa.array(clean), ratios, quality.MIN_SCORE, np.ones(len(clean), bool))
+    assert np.mean(found["score"] < quality.MIN_SCORE) < 0.015
 
 
-@pytest.mark.parametrize("size, caught, lost", [("sf0.01", 0.7, 0.01), ("sf0.1", 0.97, 0.015)])
+@pytest.mark.parametrize("size, caught, lost", [("sf0.01", 0.6, 0.04), ("sf0.1", 0.8, 0.01)])
 def test_toxic_documents_are_not_kept(labelled, size, caught, lost):
     """One in ten trusted documents is held out; nothing is counted of toxic labels."""
     texts, good, toxic = labelled[size]
@@ -140,19 +205,18 @@ def test_toxic_documents_are_not_kept(labelled, size, caught, lost):
     found = quality.measure(pa.array(bad), ratios, quality.MIN_SCORE)
     assert found["kept"][~found["base_failed"]].mean() < 1 - caught
     found = quality.measure(pa.array([t for t, c in zip(texts, held) if c]), ratios, quality.MIN_SCORE)
-    shunned = 1000 * found["n_shunned"] >= quality.MAX_SHUNNED * np.maximum(found["n_words"], 1)
-    assert shunned[~found["base_failed"]].mean() <= lost
+    assert 1 - found["kept"][~found["base_failed"]].mean() <= lost
 
 
 def test_counts_survive_packing():
-    counts = np.zeros((2, quality.N_BUCKETS), np.int64)
+    counts = np.zeros(quality.N_BUCKETS, np.int64)
     at = np.array([0, 5, (1 << quality.RANGE_BITS) - 1, 1 << quality.RANGE_BITS, quality.N_BUCKETS - 1])
-    counts[:, at] = [[1, 1 << 40, 3, 255, 256], [0, 7, 3, 0, 1 << 33]]
-    packed = quality._packed(*counts)
-    assert packed.num_rows == 3
-    tables = [quality._unpacked(c.as_py(), 2) for c in packed.column("cells")]
-    assert (np.concatenate(tables, axis=1) == [at, *counts[:, at]]).all()
-    assert quality._packed(*np.zeros((2, quality.N_BUCKETS), np.int64)).num_rows == 0
+    counts[at] = [1, 1 << 40, 3, 255, 256]
+    packed = quality._packed(counts, 1)
+    assert packed.num_rows == 3 and packed.column("kind").to_pylist() == [1, 1, 1]
+    tables = [quality._unpacked(c.as_py()) for c in packed.column("cells")]
+    assert (np.concatenate(tables, axis=1) == [at, counts[at]]).all()
+    assert quality._packed(np.zeros(quality.N_BUCKETS, np.int64), 0).num_rows == 0
 
 
 # ------------------------------------------------------------------------ languages
