@@ -10,8 +10,12 @@ import numpy as np
 EncodePieces = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
+#: Ids per piece, on average, that a full cache holds.
+PIECE_IDS = 16
+
+
 class PieceCache:
-    """Remembers the ids of up to ``limit`` pieces; a fuller cache is started anew."""
+    """Remembers the ids of up to ``limit`` pieces, few where they are long; a fuller cache is started anew."""
 
     def __init__(self, encode: EncodePieces, limit: int):
         self.encode, self.limit = encode, limit
@@ -42,7 +46,7 @@ class PieceCache:
         """Where in ``ids`` each of these distinct pieces starts, and its length."""
         missing = [p for p in pieces if p not in self.index]
         if missing:
-            if len(self.index) + len(missing) > self.limit:
+            if len(self.index) + len(missing) > self.limit or self.used > PIECE_IDS * self.limit:
                 self._clear()
                 missing = pieces
             self._add(missing)

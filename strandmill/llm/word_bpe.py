@@ -2,12 +2,15 @@
 
 Symbols of many words lie in one array. In each round every word's lowest-rank pair is found
 by binary search over the sorted pair keys, and all its occurrences are merged; words without
-a pair to merge leave the array. Ids equal those of the tokenizers library, which is not used.
+a pair to merge leave the array. Long words take as many rounds as the merges they hold: they are
+linked in flat arrays, a round merges one rank in all of them, and only pairs beside a merge are
+looked up again. Ids equal those of the tokenizers library, which is not used.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -46,6 +49,8 @@ NEW_CAPITALS = (
     (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
 )
 LOWER_NEW = {c: c + step for first, last, step in NEW_CAPITALS for c in range(first, last + 1)}
+#: Words with more symbols are merged rank by rank.
+LONG_WORD = 64
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -94,6 +99,11 @@ class WordBpe:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
+        self.pair_of_rank = keys
+        # Ranks whose symbol takes part in a merge of lower rank; trained files have none.
+        used = np.full(size, len(pairs))
+        np.minimum.at(used, np.concatenate([keys // size, keys % size]), np.tile(np.arange(len(pairs)), 2))
+        self.early = frozenset(np.flatnonzero(used[made] < np.arange(len(pairs))).tolist())
         self.word_cache = PieceCache(self.encode_words, 50_000)
         self.piece_cache = PieceCache(self._encode_pieces, 100_000)
 
@@ -114,6 +124,74 @@ class WordBpe:
         lasts = np.cumsum(sizes) - 1
         symbols[lasts] = self.final[data[lasts]]
         rows = np.repeat(np.arange(len(words)), sizes)
+        long = (sizes > LONG_WORD)[rows]
+        parts = [self._merge_rounds(symbols[~long], rows[~long])]
+        if long.any():
+            parts.append(self._merge_ranks(symbols[long], rows[long]))
+        symbols, rows = map(np.concatenate, zip(*parts))
+        order = np.argsort(rows, kind="stable")
+        return symbols[order].astype(np.uint32), np.bincount(rows, minlength=len(words))
+
+    def _merge_ranks(self, symbols: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges rank by rank, lowest first: each round makes one merge in all words.
+
+        Symbols form linked lists, one per word; places wait under the rank of their pair, and
+        those whose pair has changed since are passed over.
+        """
+        symbols, n = symbols.copy(), len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        border = np.flatnonzero(rows[1:] != rows[:-1])
+        after[border], before[border + 1], after[n - 1] = -1, -1, -1
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[after[places] >= 0]
+            ranks = self._pair_ranks(symbols[places], symbols[after[places]])
+            found = ranks < len(self.keys)
+            places, ranks = places[found], ranks[found]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            firsts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+            for start, stop in zip(firsts, [*firsts[1:], len(ranks)]):
+                rank = int(ranks[start])
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(queue, rank)
+                waiting[rank].append(places[start:stop])
+
+        wait(np.arange(n))
+        while queue:
+            rank = heapq.heappop(queue)
+            places = np.unique(np.concatenate(waiting.pop(rank)))
+            places = places[alive[places] & (after[places] >= 0)]
+            places = places[symbols[places] * self.size + symbols[after[places]] == self.pair_of_rank[rank]]
+            if not len(places):
+                continue
+            if rank in self.early:
+                # What the first place of a word makes may come before its other places.
+                first = np.unique(rows[places], return_index=True)[1]
+                others = np.delete(places, first)
+                places = places[first]
+            else:
+                # Of places that share a symbol, every other one from the left is merged.
+                shared = np.concatenate([[False], after[places[:-1]] == places[1:]])
+                at = np.arange(len(places))
+                start = np.maximum.accumulate(np.where(shared, 0, at))
+                others, places = places[:0], places[(at - start) % 2 == 0]
+            gone = after[places]
+            symbols[places] = self.made[rank]
+            alive[gone] = False
+            after[places] = after[gone]
+            linked = places[after[places] >= 0]
+            before[after[linked]] = linked
+            left = before[places]
+            wait(np.unique(np.concatenate([left[left >= 0], places, others])))
+        return symbols[alive], rows[alive]
+
+    def _merge_rounds(self, symbols: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges in rounds: each makes the lowest-rank merge of every word."""
         none = len(self.keys)
         done_rows, done_symbols = [], []
         while len(symbols):
@@ -139,8 +217,7 @@ class WordBpe:
             keep[merged + 1] = False
             symbols, rows = symbols[keep], rows[keep]
         rows, symbols = map(np.concatenate, (done_rows or [rows], done_symbols or [symbols]))
-        order = np.argsort(rows, kind="stable")
-        return symbols[order].astype(np.uint32), np.bincount(rows, minlength=len(words))
+        return symbols, rows
 
     # ------------------------------------------------------------------ texts
 

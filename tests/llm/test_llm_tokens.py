@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from helpers import docs_of
+from helpers import docs_of, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -58,6 +59,29 @@ def test_encoders_on_any_text(given_texts):
         assert got == library_ids(spec, given_texts)
 
 
+@pytest.mark.parametrize("long_word", [0, 5, 64])
+def test_words_merged_rank_by_rank_equal_the_library(monkeypatch, long_word):
+    monkeypatch.setattr(word_bpe, "LONG_WORD", long_word)
+    rng = random.Random(7)
+    long_texts = [
+        "".join(rng.choice(letters) for _ in range(size))
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "é日xΣ", "!?.", "a") for size in (1, 2, 63, 64, 65, 700)
+    ]
+    given_texts = texts() + long_texts + ["".join(prose(3, 400).split()), "thequickbrownfox" * 40]
+    flat, lengths = word_bpe.WordBpe(WORDS).encode(pa.array(given_texts))
+    assert [p.tolist() for p in np.split(flat, np.cumsum(lengths)[:-1])] == library_ids(WORDS, given_texts)
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "a"])
+def test_a_word_of_a_million_characters(letters):
+    rng = random.Random(len(letters))
+    text = "".join(rng.choice(letters) for _ in range(1_000_000))
+    began = time.monotonic()
+    flat, _ = word_bpe.WordBpe(WORDS).encode(pa.array([text]))
+    assert time.monotonic() - began < 30
+    assert flat.tolist() == library_ids(WORDS, [text])[0]
+
+
 def test_small_caches_change_nothing():
     bpe = word_bpe.WordBpe(WORDS)
     bpe.word_cache, bpe.piece_cache = PieceCache(bpe.encode_words, 7), PieceCache(bpe._encode_pieces, 5)
