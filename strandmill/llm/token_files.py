@@ -28,7 +28,8 @@ from strandmill.session import fresh_path
 
 END_ID = 0
 #: A text is cut before single spaces and line feeds, and between a letter and a mark, where
-#: byte-level pre-tokenizers always cut. Texts with other white space are encoded in one go.
+#: byte-level pre-tokenizers with the usual pattern always cut. Texts with other white space are
+#: encoded in one go, and so is every text if the tokenizer is of another kind.
 LETTER_THEN_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([,.!?:;$#%*&)|])"
 WHOLE_ONLY = (
     r"[\x00-\x08\t\x0b-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}"
@@ -41,6 +42,18 @@ CACHED_PIECES = 500_000
 SLICE_BYTES = 8 << 20
 
 
+def may_be_cut(spec: dict) -> bool:
+    """Whether a tokenizer file takes bytes as they are, by the usual pattern, and alters no ids."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = ("normalizer", "truncation", "padding")
+    no_marks = ("continuing_subword_prefix", "end_of_word_suffix", "dropout")
+    return (
+        split.get("type") == "ByteLevel" and split.get("use_regex", True)
+        and not split.get("add_prefix_space", True) and not any(spec.get(p) for p in plain)
+        and model.get("type") == "BPE" and not any(model.get(m) for m in no_marks)
+    )
+
+
 class ByteEncoder:
     """Encodes texts with a byte-level tokenizer of the tokenizers library."""
 
@@ -50,6 +63,7 @@ class ByteEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         spec = json.loads(tokenizer_json)
+        self.cuts = may_be_cut(spec)
         self.added = [t["content"] for t in spec["added_tokens"]]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -86,6 +100,10 @@ class ByteEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""
+        if not self.cuts:
+            found = [np.array(ids, np.uint32) for ids in self._whole(texts.to_pylist())]
+            flat = np.concatenate([np.zeros(0, np.uint32), *found])
+            return flat, np.fromiter(map(len, found), np.int64, len(found))
         whole = pc.match_substring_regex(texts, WHOLE_ONLY)
         for token in self.added:
             whole = pc.or_(whole, pc.match_substring(texts, token))

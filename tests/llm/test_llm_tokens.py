@@ -1,6 +1,7 @@
 """Token files and word BPE against the tokenizers library."""
 
 import hashlib
+import json
 import random
 import time
 import zlib
@@ -82,6 +83,21 @@ def test_a_word_of_a_million_characters(letters):
     assert flat.tolist() == library_ids(WORDS, [text])[0]
 
 
+@pytest.mark.parametrize("change", [
+    {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"add_prefix_space": True}},
+    {"pre_tokenizer": {"use_regex": False}},
+])
+def test_other_byte_tokenizers_encode_whole_texts(change):
+    spec = json.loads(BYTES)
+    for part, value in change.items():
+        spec[part] = {**(spec[part] or {}), **value}
+    changed = json.dumps(spec)
+    given_texts = texts()
+    flat, lengths = token_files.ByteEncoder(changed).encode(pa.array(given_texts))
+    assert [p.tolist() for p in np.split(flat, np.cumsum(lengths)[:-1])] == library_ids(changed, given_texts)
+    assert token_files.may_be_cut(json.loads(BYTES)) and not token_files.may_be_cut(spec)
+
+
 def test_small_caches_change_nothing():
     bpe = word_bpe.WordBpe(WORDS)
     bpe.word_cache, bpe.piece_cache = PieceCache(bpe.encode_words, 7), PieceCache(bpe._encode_pieces, 5)
