@@ -101,8 +101,9 @@ def metric_window(spark, sf_dir):
 
 
 def _stream_table(spark, sf_dir, name):
+    """The table as a stream, be it a file or a folder of files; a stream takes one file only as a pattern."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
 
 
 def _drained(spark, stream, name):

@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 
 from strandmill.operators import metrics as M
+from strandmill.plans.catalog import QUERIES
 from strandmill.plans.catalog.tokens import fixed_model
 from strandmill.sources import fasta
 from strandmill.streaming import stateful, streams
@@ -151,3 +152,19 @@ def test_tokens_of_a_replayed_micro_batch(spark, stream, tmp_path):
     # Nothing that is there already is read again.
     streams.stream_tokens(source, fixed_model(), path, progress, **options)
     assert spark.read.parquet(path).count() == 30
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+DOC_ROWS = [(i, f"the end of {i} " * (1 + i % 5), "en", f"src{i % 3}", 0) for i in range(40)]
+
+
+@pytest.mark.parametrize("name", ["stream_tokens", "stream_prepare"])
+def test_streams_of_tables_that_are_folders(spark, tmp_path, name):
+    file, folder = tmp_path / "file", tmp_path / "folder"
+    docs = spark.createDataFrame(DOC_ROWS, DOCS)
+    docs.repartition(3).write.parquet(str(folder / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    file.mkdir()
+    next((tmp_path / "one").glob("part-*")).rename(file / "documents.parquet")
+    found = [rows(QUERIES[name](spark, str(d))) for d in (file, folder)]
+    assert len(found[0]) == len(DOC_ROWS) and found[0] == found[1]
