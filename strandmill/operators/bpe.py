@@ -8,6 +8,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -20,8 +21,8 @@ from strandmill.operators.bpe_kernel import (
 )
 from strandmill.session import materialize, scratch, two_paths
 
-# Characters encoded together in one task step.
-CHARS_PER_STEP = 4_000_000
+# Characters encoded together in one task step; arrays over them take some hundred bytes each.
+CHARS_PER_STEP = 500_000
 # Best pairs looked at per training pass, and merges applied before the corpus is rewritten.
 PAIRS_PER_PASS = 64
 MERGES_PER_REWRITE = 16
@@ -105,16 +106,16 @@ class BpeModel:
         return spark.createDataFrame(rows, "rank int, left string, right string")
 
 
-def _steps(texts: list[str], limit: int | None = None):
+def _steps(batch: pa.RecordBatch, text: str, limit: int | None = None):
     """Slices of a batch with a bounded number of characters, at least one text each."""
     limit = limit or CHARS_PER_STEP
+    sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64))
     at = 0
-    while at < len(texts):
-        stop, chars = at, 0
-        while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= limit):
-            chars += len(texts[stop])
-            stop += 1
-        yield at, stop
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(at, stop - at)
         at = stop
 
 
@@ -196,9 +197,9 @@ def _coded_pair_counts(words: DataFrame, pending: list[tuple[int, int, int]]) ->
 
     def task(batches):
         for record in batches:
-            texts, copies = record.column("text").to_pylist(), record.column("copies").to_numpy()
-            for at, stop in _steps(texts):
-                pairs, cnt = weighted_pairs(replace_all(texts[at:stop], merges), copies[at:stop])
+            for part in _steps(record, "text"):
+                texts, copies = part.column("text").to_pylist(), part.column("copies").to_numpy()
+                pairs, cnt = weighted_pairs(replace_all(texts, merges), copies)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array(cnt)], ["pair", "cnt"])
 
     counted = words.select("text", "copies").mapInArrow(task, "pair string, cnt bigint")
@@ -328,11 +329,10 @@ def tokenize(
     def task(batches):
         tables = EncoderTables(**fields.value)
         for batch in batches:
-            texts = [x or "" for x in batch.column(text).to_pylist()]
-            keys = batch.column(key).cast(pa.string()).to_pylist() if dropout else []
-            for at, stop in _steps(texts):
-                lists = run(texts[at:stop], keys[at:stop], tables)
-                part = batch.slice(at, stop - at)
+            for part in _steps(batch, text):
+                texts = [x or "" for x in part.column(text).to_pylist()]
+                keys = part.column(key).cast(pa.string()).to_pylist() if dropout else []
+                lists = run(texts, keys, tables)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *lists], [*part.schema.names, "input_ids", "starts", "ends"]
                 )
