@@ -286,22 +286,24 @@ def bpe_tokenize_dropout(spark, sf_dir):
     if all merges are dropped, every character is one. No text holds a special token."""
     model = fixed_model()
     rows = docs(spark, sf_dir).withColumn("text", F.translate("text", "\n\t\r", "   "))
-    done = rows
-    for tag, rate in (("some", DROPOUT), ("all", 1.0), ("least", 1e-12)):
-        done = bpe.tokenize(done, model, dropout=rate, seed=SEED).withColumnsRenamed(
-            {c: f"{tag}_{c}" for c in ("input_ids", "starts", "ends")}
-        )
-    done = bpe.tokenize(done, model)
-    starts, ends = F.col("some_starts"), F.col("some_ends")
+    # Each result is checked before the next one is made, so only the ids that are compared travel on.
+    some = bpe.tokenize(rows, model, dropout=DROPOUT, seed=SEED)
+    starts, ends = F.col("starts"), F.col("ends")
     end_to_end = F.concat(F.array(F.lit(0)), ends) == F.concat(starts, F.array(F.length("text")))
     # An unknown token stands for one character, any other for its own text.
     sizes = F.zip_with(starts, ends, lambda a, b: b - a)
-    name_sizes = F.transform(bpe.token_names(F.col("some_input_ids"), model), lambda t: F.when(t == model.unk, 1).otherwise(F.length(t)))
-    return done.select(
-        "id", F.coalesce(F.array_max(ends), F.lit(0)).cast("bigint").alias("n_chars"),
+    name_sizes = F.transform(bpe.token_names(F.col("input_ids"), model), lambda t: F.when(t == model.unk, 1).otherwise(F.length(t)))
+    done = some.select(
+        "id", "text", F.coalesce(F.array_max(ends), F.lit(0)).cast("bigint").alias("n_chars"),
         (end_to_end & (sizes == name_sizes)).alias("spelled"),
-        F.size("all_input_ids").cast("bigint").alias("all_dropped"),
-        (F.col("least_input_ids") == F.col("input_ids")).alias("none_dropped"),
+    )
+    dropped = bpe.tokenize(done, model, dropout=1.0, seed=SEED)
+    done = dropped.select(*done.columns, F.size("input_ids").cast("bigint").alias("all_dropped"))
+    least = bpe.tokenize(done, model, dropout=1e-12, seed=SEED)
+    done = least.select(*done.columns, F.col("input_ids").alias("least_ids"))
+    plain = bpe.tokenize(done, model)
+    return plain.select(
+        "id", "n_chars", "spelled", "all_dropped", (F.col("least_ids") == F.col("input_ids")).alias("none_dropped"),
     )
 
 

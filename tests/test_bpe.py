@@ -1,8 +1,10 @@
 import json
 import random
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from tokenizers.trainers import BpeTrainer
 
 from strandmill.functions.text import SPECIAL_TOKENS
 from strandmill.operators import bpe, bpe_index, bpe_kernel, vocab
+from strandmill.plans.catalog import QUERIES
+from strandmill.plans.catalog.tokens import fixed_model
 from strandmill.plans.prepare import prepare_corpus
 from strandmill.sources.writers import read_vocab, write_vocab
 
@@ -287,3 +291,36 @@ def test_prepare_labels_and_prefix(spark):
         assert labels == [-100] * cut + ids[cut:]
     prompt = prepare_corpus(df, model, seed=1, generate=True)
     assert "labels" not in prompt.columns
+
+
+def test_a_step_takes_bounded_memory():
+    """Millions of characters in one batch are encoded in small steps."""
+    batch = pa.RecordBatch.from_pydict({"text": ["the chen " * 20_000] * 20 + [None]})
+    tables, n_chars = fixed_model().tables(), 0
+    tracemalloc.start()
+    try:
+        for part in bpe._steps(batch, "text"):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            n_chars += sum(map(len, texts))
+            bpe.encode(texts, tables)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n_chars == 3_600_000 and peak < 100e6
+
+
+def test_dropout_query_carries_few_arrays(spark, tmp_path, monkeypatch):
+    """What goes into each tokenizing step: the texts, and at most one array to compare with."""
+    docs = [(i, f"the end of {i}\t ", "en", "s", 0) for i in range(9)] + [(9, None, "en", "s", 0), (10, "", "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    carried, plain = [], bpe.tokenize
+
+    def recorded(df, *args, **options):
+        carried.append(sum(kind.startswith("array") for _, kind in df.dtypes))
+        return plain(df, *args, **options)
+
+    monkeypatch.setattr(bpe, "tokenize", recorded)
+    got = QUERIES["bpe_tokenize_dropout"](spark, str(tmp_path)).collect()
+    assert len(carried) == 4 and max(carried) <= 1
+    assert all(r.spelled and r.none_dropped and r.all_dropped == r.n_chars for r in got if r.id != "9") and len(got) == 11
