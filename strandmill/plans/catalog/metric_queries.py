@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.text import wrap_lines
 from strandmill.operators import metrics as M
+from strandmill.operators.rowid import running_total
 from strandmill.plans.catalog.corpus import _SEQ_SQL, DOC_LINES_SQL, _sequences, _write_lines
 from strandmill.plans.catalog.padded import padded_sql, padded_text
 from strandmill.plans.catalog.registry import (
@@ -159,17 +160,43 @@ def stream_tokens(spark, sf_dir):
     return padded_text(spark.read.parquet(path))
 
 
-# Micro-batches that the streams below are cut into.
+# Micro-batches that the streams below are cut into: so many, or more where one would hold more bytes.
 PARTS = 4
-
-
-def _in_parts(spark, rows, part: str, name: str):
-    """A stream of the rows in ``PARTS`` micro-batches, by a column that says which."""
+PART_BYTES = 256 << 20
+# Bytes that a row counts besides its text.
+ROW_BYTES = 64
+
+
+def _parts(spark, rows, order: str, size, name: str):
+    """The rows in parts that follow each other in ``order``, of about the same sum of ``size``.
+
+    Rows of one value of ``order`` stay together; rows without one are left out. The driver gets one
+    value per part.
+    """
+    rows = rows.where(F.col(order).isNotNull())
+    sizes = rows.groupBy(order).agg(F.sum(size).alias("size"))
+    placed = running_total(sizes, [order], "size", "before")
+    total = placed.agg(F.max(F.col("before") + F.col("size"))).first()[0] or 0
+    most = max(1, min(PART_BYTES, -(-total // PARTS)))
+    starts = placed.groupBy(F.expr(f"before div {most}")).agg(F.min(order)).collect()
+    cuts = F.array(*[F.lit(first).cast("bigint") for _, first in sorted(starts)[1:]])
+    part = F.size(F.filter(cuts, lambda first: first <= F.col(order)))
+    tasks = max(spark.sparkContext.defaultParallelism, 2 * len(starts))
+    dealt = rows.withColumn("part", part).repartitionByRange(tasks, order)
     path = fresh_path(spark, name)
-    for k in range(PARTS):
-        rows.where(F.col(part) == k).drop(part).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.drop(part).schema).option("maxFilesPerTrigger", 1).option("latestFirst", False)
-    return stream.parquet(path)
+    dealt.write.partitionBy("part").parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    return [dealt.where(F.col("part") == k).drop("part") for k in range(max(1, len(starts)))]
+
+
+def _drained_by_part(spark, parts, run, name: str):
+    """What ``run`` makes of a stream to which one part after another comes, each a micro-batch."""
+    path, arrived, progress = (fresh_path(spark, f"{name}{x}") for x in ("", "-arrived", "-progress"))
+    for part in parts:
+        part.write.mode("append").parquet(arrived)
+        stream = run(spark.readStream.schema(part.schema).parquet(arrived))
+        streams.drain(stream, path, progress)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 @query("metric_steps_stream", f"""
@@ -180,35 +207,38 @@ def _in_parts(spark, rows, part: str, name: str):
 def metric_steps_stream(spark, sf_dir):
     """The roll-up by step intervals, from rows that come in parts; a null step ends a phase."""
     rows = _rows(table(spark, sf_dir, "events")).drop("ts")
-    last = rows.agg(F.max("step")).first()[0] or 0
-    part = F.least(F.floor(F.col("step") * PARTS / (last + 1)), F.lit(PARTS - 1)).cast("int")
     ends = rows.select("phase").distinct().select(
         F.lit(None).cast("bigint").alias("step"), "phase", F.lit(None).cast("boolean").alias("is_fim"),
-        F.lit(None).cast("double").alias("loss"), F.lit(PARTS - 1).alias("part"),
+        F.lit(None).cast("double").alias("loss"),
     )
-    parts = rows.withColumn("part", part).unionByName(ends)
-    steps = stateful.stream_metric_steps(_in_parts(spark, parts, "part", "steps"), LOGGING_STEPS)
-    return _drained(spark, steps, "metric-steps").select(
+    parts = _parts(spark, rows, "step", F.lit(ROW_BYTES), "steps")
+    parts[-1] = parts[-1].unionByName(ends)
+    steps = _drained_by_part(
+        spark, parts, lambda stream: stateful.stream_metric_steps(stream, LOGGING_STEPS), "metric-steps"
+    )
+    return steps.select(
         "phase", "interval", *[_round(m) for m in ("n_fim", "n_std", "loss_fim", "loss_std")], "n_steps", "late_rows"
     )
 
 
 def _record_lines(spark, sf_dir, ended: bool):
-    """Lines of FASTA records, a file per source; each document goes to one of the parts, in order."""
+    """Lines of FASTA records, a file per source, in parts; the documents of a part come in order."""
     rows = _sequences(spark, sf_dir).select("source", "doc_id", "id", "text")
-    last = rows.agg(F.max("doc_id")).first()[0] or 0
-    part = F.floor(F.col("doc_id") * PARTS / (last + 1)).cast("int").alias("part")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES
     pieces = F.concat(F.array(F.concat(F.lit(">"), "id")), F.split(wrap_lines(F.col("text")), "\n"))
-    lines = rows.select(
-        F.col("source").alias("file"), part, "doc_id", F.posexplode(pieces).alias("pos", "line")
-    ).select("file", "part", (F.col("doc_id") * F.lit(1 << 24) + F.col("pos")).alias("line_no"), "line")
-    if not ended:
-        return lines
-    ends = rows.select("source").distinct().select(
-        F.col("source").alias("file"), F.lit(PARTS - 1).alias("part"),
-        F.lit((last + 1) << 24).cast("bigint").alias("line_no"), F.lit(None).cast("string").alias("line"),
-    )
-    return lines.unionByName(ends)
+    parts = [
+        part.select(F.col("source").alias("file"), "doc_id", F.posexplode(pieces).alias("pos", "line")).select(
+            "file", (F.col("doc_id") * F.lit(1 << 24) + F.col("pos")).alias("line_no"), "line"
+        )
+        for part in _parts(spark, rows, "doc_id", size, "records")
+    ]
+    if ended:
+        last = rows.agg(F.max("doc_id")).first()[0] or 0
+        parts[-1] = parts[-1].unionByName(rows.select("source").distinct().select(
+            F.col("source").alias("file"), F.lit((last + 1) << 24).cast("bigint").alias("line_no"),
+            F.lit(None).cast("string").alias("line"),
+        ))
+    return parts
 
 
 @query("stream_fasta", f"""
@@ -219,8 +249,7 @@ def _record_lines(spark, sf_dir, ended: bool):
 """)
 def stream_fasta(spark, sf_dir):
     """Records whose lines come in several micro-batches."""
-    lines = _in_parts(spark, _record_lines(spark, sf_dir, True), "part", "record-lines")
-    return _drained(spark, stateful.stream_records(lines), "stream-records")
+    return _drained_by_part(spark, _record_lines(spark, sf_dir, True), stateful.stream_records, "stream-records")
 
 
 @query("stream_row_id", f"""
@@ -231,5 +260,5 @@ def stream_fasta(spark, sf_dir):
 """)
 def stream_row_id(spark, sf_dir):
     """Running ids of lines that come in several micro-batches."""
-    lines = _in_parts(spark, _record_lines(spark, sf_dir, False), "part", "id-lines")
-    return _drained(spark, stateful.stream_row_ids(lines), "stream-row-ids").select("file", "id", "text")
+    lines = _record_lines(spark, sf_dir, False)
+    return _drained_by_part(spark, lines, stateful.stream_row_ids, "stream-row-ids").select("file", "id", "text")

@@ -5,9 +5,10 @@ from collections import defaultdict
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from strandmill.operators import metrics as M
-from strandmill.plans.catalog import QUERIES
+from strandmill.plans.catalog import QUERIES, metric_queries
 from strandmill.plans.catalog.tokens import fixed_model
 from strandmill.sources import fasta
 from strandmill.streaming import stateful, streams
@@ -168,3 +169,23 @@ def test_streams_of_tables_that_are_folders(spark, tmp_path, name):
     next((tmp_path / "one").glob("part-*")).rename(file / "documents.parquet")
     found = [rows(QUERIES[name](spark, str(d))) for d in (file, folder)]
     assert len(found[0]) == len(DOC_ROWS) and found[0] == found[1]
+
+
+def test_parts_are_cut_by_size(spark, monkeypatch):
+    """Keys lie far apart; a part holds a bounded share of the bytes, and is written by several tasks."""
+    monkeypatch.setattr(metric_queries, "PART_BYTES", 2000)
+    keys = [*range(50), *range(10**9, 10**9 + 50), -5]
+    docs = spark.createDataFrame([(k, "x" * (k % 7 * 30)) for k in keys] + [(3, "twice"), (None, "none")], "k long, text string")
+    parts = [p.collect() for p in metric_queries._parts(spark, docs, "k", F.length("text") + 64, "parts")]
+    assert len(parts) > metric_queries.PARTS
+    assert sorted((r.k, r.text) for p in parts for r in p) == sorted((r.k, r.text) for r in docs.collect() if r.k is not None)
+    assert all(max(r.k for r in a) < min(r.k for r in b) for a, b in zip(parts, parts[1:]))
+    assert max(sum(len(r.text) + 64 for r in p) for p in parts) < 2000 + 2 * (6 * 30 + 64)
+
+
+@pytest.mark.parametrize("name", ["stream_fasta", "stream_row_id"])
+def test_streams_in_more_micro_batches(spark, tmp_path, monkeypatch, name):
+    spark.createDataFrame([(i * i * i, *rest) for i, *rest in DOC_ROWS], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    want = rows(QUERIES[name](spark, str(tmp_path)))
+    monkeypatch.setattr(metric_queries, "PART_BYTES", 800)
+    assert rows(QUERIES[name](spark, str(tmp_path))) == want and len(want) >= len(DOC_ROWS)
