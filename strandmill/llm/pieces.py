@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from strandmill.llm.text_arrays import gather_runs
+
 #: Encodes pieces; returns all their ids in a row, and how many each has.
 EncodePieces = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -15,7 +17,8 @@ PIECE_IDS = 16
 
 
 class PieceCache:
-    """Remembers the ids of up to ``limit`` pieces, few where they are long; a fuller cache is started anew."""
+    """Remembers the ids of up to ``limit`` pieces, few where they are long; a fuller cache keeps only
+    the pieces that are asked for just then."""
 
     def __init__(self, encode: EncodePieces, limit: int):
         self.encode, self.limit = encode, limit
@@ -28,8 +31,17 @@ class PieceCache:
         self.lengths = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, pieces: list[str]) -> None:
-        ids, lengths = self.encode(pieces)
+    def _keep(self, pieces: list[str]) -> None:
+        """Forget all but these pieces."""
+        at = self._places(pieces)
+        ids, lengths = gather_runs(self.ids, self.starts[at], self.lengths[at]), self.lengths[at]
+        self._clear()
+        self._add(pieces, ids, lengths)
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+
+    def _add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         known, total = len(self.index), len(self.index) + len(pieces)
         if total > len(self.starts):
             self.starts = np.resize(self.starts, 2 * total)
@@ -47,8 +59,7 @@ class PieceCache:
         missing = [p for p in pieces if p not in self.index]
         if missing:
             if len(self.index) + len(missing) > self.limit or self.used > PIECE_IDS * self.limit:
-                self._clear()
-                missing = pieces
-            self._add(missing)
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+                self._keep([p for p in pieces if p in self.index])
+            self._add(missing, *self.encode(missing))
+        at = self._places(pieces)
         return self.starts[at], self.lengths[at]

@@ -90,7 +90,7 @@ class ByteEncoder:
         ]
         found = [np.array(ids, np.uint32) for ids in self._whole(texts)]
         flat = np.concatenate([np.zeros(0, np.uint32), *found])
-        sizes = np.fromiter((len(pieces[i].encode()) for i in order), np.int64, len(order))
+        sizes = pc.binary_length(pa.array([pieces[i] for i in order], pa.string())).to_numpy()
         cuts = np.searchsorted(np.cumsum(self.widths[flat]), np.cumsum(sizes), side="right")
         lengths = np.diff(np.concatenate([[0], cuts]))
         back = np.empty(len(order), np.int64)
@@ -113,7 +113,7 @@ class ByteEncoder:
         for blank in " \n":
             marked = pc.replace_substring(marked, blank, MARK + blank)
         ids, distinct, offsets = encoded_lists(pc.split_pattern(marked, MARK))
-        starts, lengths = self.cache.runs(distinct.to_pylist())
+        starts, lengths = self.cache.runs(distinct.to_numpy(zero_copy_only=False).tolist())
         counts = lengths[ids]
         flat = gather_runs(self.cache.ids, starts[ids], counts)
         totals = np.diff(np.concatenate([[0], np.cumsum(counts)])[offsets])

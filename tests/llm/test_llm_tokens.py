@@ -183,3 +183,19 @@ def test_encode_then_decode(spark):
     got = {r.doc_id: r.text for r in word_bpe.decode_ids(rows, WORDS).collect()}
     assert got == {i: lib.decode(lib.encode(t, add_special_tokens=False).ids, skip_special_tokens=False)
                    for i, t in enumerate(ODD)}
+
+
+def test_a_full_cache_keeps_what_is_asked_for():
+    """What is known of the pieces asked for is not encoded again; all ids stay right."""
+    asked = []
+
+    def encode(pieces):
+        asked.append(list(pieces))
+        return np.array([ord(c) for p in pieces for c in p], np.uint32), np.array([len(p) for p in pieces])
+
+    cache = PieceCache(encode, 3)
+    cache.runs(["a", "bb", "ccc"])
+    starts, lengths = cache.runs(["bb", "dd", "a"])
+    assert asked == [["a", "bb", "ccc"], ["dd"]] and set(cache.index) == {"a", "bb", "dd"}
+    found = ["".join(map(chr, cache.ids[at:at + n])) for at, n in zip(starts, lengths)]
+    assert found == ["bb", "dd", "a"]
