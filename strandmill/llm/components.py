@@ -14,6 +14,13 @@ def _least_neighbour(links: DataFrame) -> DataFrame:
     return links.join(low, "a")
 
 
+def _two_rows(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Rows (a, b) from these pairs of columns of each row; what makes the rows is run once."""
+    return rows.select(
+        F.inline(F.array(*(F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs)))
+    )
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """Rows (key, label) of all keys in ``links`` (a, b): label is the least key that is reached.
 
@@ -33,17 +40,14 @@ def connected_components(links: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = _two_rows(now, ("a", "b"), ("b", "a"))
         large = (
             _least_neighbour(both).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
             .where("a <> b").distinct()
         )
         small = _least_neighbour(large)
         now = stored(
-            small.select(F.col("b").alias("a"), F.col("low").alias("b"))
-            .unionByName(small.select("a", F.col("low").alias("b")))
-            .where("a <> b").distinct(),
-            "links",
+            _two_rows(small, ("b", "low"), ("a", "low")).where("a <> b").distinct(), "links",
         )
     return now.select(F.col("a").alias("key"), F.col("b").alias("label")).unionByName(
         now.select(F.col("b").alias("key"), F.col("b").alias("label")).distinct()

@@ -104,10 +104,7 @@ def _packed(counts: np.ndarray, kind: int) -> pa.RecordBatch:
     parts, firsts = np.unique(found >> RANGE_BITS, return_index=True)
     cells = []
     for at in np.split(found, firsts[1:]) if len(found) else []:
-        table = np.stack([np.diff(at, prepend=0), counts[at]])
-        # Bytes of equal weight together: most are 0.
-        planes = np.ascontiguousarray(table.astype("<i8").view(np.uint8).reshape(-1, 8).T)
-        cells.append(zlib.compress(planes.tobytes(), 1))
+        cells.append(_pack(np.stack([at, counts[at]])))
     kinds = np.full(len(parts), kind, np.int32)
     return pa.RecordBatch.from_arrays(
         [pa.array(kinds), pa.array(parts.astype(np.int32)), pa.array(cells, pa.binary())],
@@ -115,10 +112,19 @@ def _packed(counts: np.ndarray, kind: int) -> pa.RecordBatch:
     )
 
 
-def _unpacked(cells: bytes) -> np.ndarray:
-    """Buckets and counts of a packed range, one line each."""
+def _pack(table: np.ndarray) -> bytes:
+    """Ascending buckets and their counts, one line each, as one value."""
+    steps = table.astype("<i8", order="C")
+    steps[0] = np.diff(steps[0], prepend=0)
+    # Bytes of equal weight together: most are 0.
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def _unpacked(cells: bytes, lines: int = 2) -> np.ndarray:
+    """Buckets and counts of a packed value, one line each."""
     planes = np.frombuffer(zlib.decompress(cells), np.uint8).reshape(8, -1)
-    table = np.ascontiguousarray(planes.T).view("<i8").reshape(2, -1).astype(np.int64)
+    table = np.ascontiguousarray(planes.T).view("<i8").reshape(lines, -1).astype(np.int64)
     table[0] = np.cumsum(table[0])
     return table
 
@@ -182,15 +188,32 @@ class Ratios:
         return np.round(out * FIXED_POINT).astype(np.int64) * weight
 
 
+def _pack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (most, cells): the largest count of a batch of ``COUNTED``, and the batch packed."""
+    for batch in batches:
+        if batch.num_rows:
+            table = np.stack([c.to_numpy() for c in batch.columns])
+            table = table[:, np.argsort(table[0], kind="stable")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([table[1:].max()]), pa.array([_pack(table)], pa.binary())], names=["most", "cells"]
+            )
+
+
 def log_ratios(counts: DataFrame) -> Ratios:
-    """What ``ngram_counts`` found; a table of ``N_BUCKETS`` rows whatever the corpus."""
-    table = counts.select(COUNTED).toArrow()
-    bucket, *found = (table.column(c).to_numpy() for c in COUNTED)
-    wide = np.zeros((len(found), N_BUCKETS), np.int64)
-    wide[:, bucket] = found
+    """What ``ngram_counts`` found; a table of ``N_BUCKETS`` rows whatever the corpus.
+
+    The rows are packed before they are sent to the driver, which fills the arrays in place. They
+    are written first, so no task needs two Python workers, one that counts and one that packs.
+    """
+    table = stored(counts.select(COUNTED), "ngram-counts")
+    packed = table.mapInArrow(_pack_counts, "most long, cells binary").collect()
     # Every task is sent these arrays, so they are as narrow as their counts allow.
-    narrow = np.uint32 if wide.max() < 1 << 32 else np.int64
-    return Ratios(*wide.astype(narrow))
+    narrow = np.uint32 if all(row.most < 1 << 32 for row in packed) else np.int64
+    wide = np.zeros((len(COUNTED) - 1, N_BUCKETS), narrow)
+    for row in packed:
+        bucket, *found = _unpacked(row.cells, len(COUNTED))
+        wide[:, bucket] = found
+    return Ratios(*wide)
 
 
 def _repeat_words(words: tuple, width: int = 3) -> np.ndarray:

@@ -170,6 +170,20 @@ def test_leaks_equal_brute_force(spark, monkeypatch, sent):
     assert left.columns == docs_of(spark, rows, clash=True).columns
 
 
+def test_filed_fingerprints_are_not_sent_to_every_task(spark, monkeypatch):
+    plans = {}
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return store.stored(df, name)
+
+    monkeypatch.setattr(decontaminate, "stored", spy)
+    rows, items = leak_tables()
+    decontaminate.leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    join = plans["fingerprint-pairs"]
+    assert "Generate" in join and "SortMergeJoin" in join and "Broadcast" not in join
+
+
 def test_leaks_of_nothing(spark):
     benchmark = spark.createDataFrame([(1, prose(1, 20))], "item_id long, text string")
     assert decontaminate.leaks(docs_of(spark, []), benchmark).count() == 0

@@ -219,6 +219,38 @@ def test_counts_survive_packing():
     assert quality._packed(np.zeros(quality.N_BUCKETS, np.int64), 0).num_rows == 0
 
 
+@pytest.mark.parametrize("most, kind", [(1 << 20, np.uint32), (1 << 40, np.int64)])
+def test_counts_are_sent_to_the_driver_packed(spark, monkeypatch, most, kind):
+    rng = np.random.default_rng(3)
+    bucket = rng.permutation(quality.N_BUCKETS)[:60_000]
+    raw = rng.integers(1, 2000, len(bucket))
+    raw[7] = most
+    target = raw // 3
+    frame = type(spark.range(0))
+    sent, to_arrow, collect = [], frame.toArrow, frame.collect
+
+    def as_arrow(self):
+        table = to_arrow(self)
+        sent.append(table.nbytes)
+        return table
+
+    def as_rows(self):
+        rows = collect(self)
+        sent.append(sum(8 if isinstance(v, int) else len(v) for row in rows for v in row))
+        return rows
+
+    table = pa.table([pa.array(c) for c in (bucket, raw, target)], names=quality.COUNTED)
+    counts = spark.createDataFrame(table).repartition(5)
+    monkeypatch.setattr(frame, "toArrow", as_arrow)
+    monkeypatch.setattr(frame, "collect", as_rows)
+    ratios = quality.log_ratios(counts)
+    assert ratios.raw.dtype == ratios.target.dtype == kind
+    want = np.zeros((2, quality.N_BUCKETS), np.int64)
+    want[:, bucket] = raw, target
+    assert (ratios.raw == want[0]).all() and (ratios.target == want[1]).all()
+    assert sum(sent) < table.nbytes / 2
+
+
 # ------------------------------------------------------------------------ languages
 
 
